@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, mixing, near_duplicates, secrets, toxicity
+from . import decontaminate, html, mixing, near_duplicates, secrets, suffix_dedup, toxicity
 from .storage import table
 
 
@@ -13,6 +13,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.removed_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -38,7 +43,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op3_toxicity, op5_minhash, op8_secrets, op9_mixing, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_html, op2_suffix_array, op3_toxicity, op5_minhash, op8_secrets, op9_mixing, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
