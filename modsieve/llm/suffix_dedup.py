@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -39,8 +38,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import chunks
 from . import words as W
-from .storage import shared_dir, written
+from .storage import written
 
 LENGTH = 50
 GRAM = 24
@@ -50,34 +50,9 @@ COLUMNS = SPAN - 1 + LENGTH
 FREQUENT = 256
 #: Bytes of text for each partition of the two shuffles.
 PART_BYTES = 16 << 20
-_LAST = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def _chunks(batches):
-    """Documents packed into chunks of about one PIECE: (chunk, ids, lengths, z)."""
-    z = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        raw, off = W.buffers(b.column(1))
-        ids = b.column(0)
-        for i, j in W.groups(off):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(off[i : j + 1])], pa.list_(pa.int64())), pa.array([z.compress(raw[off[i] : off[j]].tobytes())], pa.binary())],
-                names=["chunk", "ids", "lengths", "z"],
-            )
-
-
-def _unpacked(b):
-    """(chunk, doc_ids with nulls last, offsets, bytes) of each row of a batch."""
-    z = zstandard.ZstdDecompressor()
-    at = {n: i for i, n in enumerate(b.schema.names)}
-    for k in range(b.num_rows):
-        ids = np.array([_LAST if x is None else x for x in b.column(at["ids"])[k].as_py()], np.int64)
-        off = np.concatenate([[0], np.cumsum(np.array(b.column(at["lengths"])[k].as_py(), np.int64))])
-        raw = np.frombuffer(z.decompress(b.column(at["z"])[k].as_py()) if off[-1] else b"", np.uint8)
-        yield k, b.column(at["chunk"])[k].as_py(), ids, off, raw
-
-
 def _leftmost(h: np.ndarray, first: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For windows that start at ``first``, the first place of their least hash."""
     out = np.empty(len(first), np.int64)
@@ -136,7 +111,7 @@ def _keys(h: np.ndarray, parts: int) -> np.ndarray:
 def _anchors(batches, parts):
     """The distinct anchors of a chunk for each partition: (part, chunk, low, high, many)."""
     for b in batches:
-        for _, chunk, ids, off, raw in _unpacked(b):
+        for _, chunk, ids, off, raw in chunks.unpacked(b):
             _, _, _, h, doc, _ = segments(raw, off)
             key = _keys(h, parts)
             order = np.argsort(key)
@@ -184,7 +159,7 @@ def _sent(batches, parts):
     z = zstandard.ZstdCompressor(level=3)
     for b in batches:
         column = b.schema.names.index("bits")
-        for k, chunk, ids, off, raw in _unpacked(b):
+        for k, chunk, ids, off, raw in chunks.unpacked(b):
             bits = {x["part"]: (x["shared"], x["often"]) for x in b.column(column)[k].as_py() or ()}
             first, n, anchor, h, doc, total = segments(raw, off)
             if not bits or not len(first):
@@ -240,7 +215,7 @@ def smallest_owners(text: np.ndarray, begin: np.ndarray, end: np.ndarray, owner:
     smallest owner of an equal window.
 
     ``text`` is (documents, COLUMNS) bytes, of which a document has the columns begin to end."""
-    out = np.full((len(text), SPAN), _LAST, np.int64)
+    out = np.full((len(text), SPAN), chunks.LAST, np.int64)
     by_end = np.argsort(end, kind="stable")
     ends = end[by_end]
     with tempfile.TemporaryFile(dir=scratch) as before, tempfile.TemporaryFile(dir=scratch) as after:
@@ -305,7 +280,7 @@ def _removed(pdf: pd.DataFrame) -> pd.DataFrame:
     _, first, back = np.unique(whole.view(np.dtype((np.void, whole.shape[1]))).ravel(), return_index=True, return_inverse=True)
     del whole
     of = np.repeat(back, copy)
-    own = np.full(len(first), _LAST, np.int64)
+    own = np.full(len(first), chunks.LAST, np.int64)
     np.minimum.at(own, of, owner)
     least = smallest_owners(text[first], begin[first], begin[first] + size[first], own)
     del text
@@ -334,7 +309,7 @@ def _results(batches):
     for b in batches:
         column = b.schema.names.index("gone")
         id_column = b.schema.names.index("ids")
-        for k, _, _, off, raw in _unpacked(b):
+        for k, _, _, off, raw in chunks.unpacked(b):
             n = len(raw)
             edge = np.zeros(n + 1, np.int64)
             for x in b.column(column)[k].as_py() or ():
@@ -358,13 +333,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n_bytes = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-n_bytes // PART_BYTES))
-    # the chunks are joined with twice by their number; in buckets of it they are not shuffled again
-    name = f"chunks_{uuid.uuid4().hex}"
-    (
-        text.mapInArrow(_chunks, "chunk long, ids array<long>, lengths array<long>, z binary")
-        .write.option("path", f"{shared_dir(spark)}/tables/{name}").option("compression", "uncompressed").bucketBy(int(min(parts, 4096)), "chunk").saveAsTable(name)
-    )
-    chunks = spark.table(name)
+    packed = chunks.packed(text, parts)
 
     def anchors(batches):
         yield from _anchors(batches, parts)
@@ -372,10 +341,10 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
     def sent(batches):
         yield from _sent(batches, parts)
 
-    hashes = chunks.mapInArrow(anchors, "part int, chunk long, low binary, high binary, many binary")
+    hashes = packed.mapInArrow(anchors, "part int, chunk long, low binary, high binary, many binary")
     bits = hashes.groupBy("part").applyInPandas(_shared, "part int, chunk long, shared binary, often binary")
     bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("part", "shared", "often")).alias("bits"))
-    rows = chunks.join(bits, "chunk").mapInArrow(sent, "part int, chunk long, n int, n_all int, packed binary")
+    rows = packed.join(bits, "chunk").mapInArrow(sent, "part int, chunk long, n int, n_all int, packed binary")
     gone = written(rows.groupBy("part").applyInPandas(_removed, "chunk long, starts binary, ends binary"), "removed")
     gone = gone.groupBy("chunk").agg(F.collect_list(F.struct("starts", "ends")).alias("gone"))
-    return chunks.join(gone, "chunk", "left").mapInArrow(_results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    return packed.join(gone, "chunk", "left").mapInArrow(_results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
