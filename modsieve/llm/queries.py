@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language_model, mixing, near_duplicates, neighbours, secrets, suffix_dedup, toxicity
+from . import decontaminate, html, language_model, mixing, near_duplicates, neighbours, secrets, suffix_dedup, surrogates, toxicity
 from .storage import table
 
 
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_suffix_array, op3_toxicity, op5_minhash, op6_neighbours, op7_language_model, op8_secrets, op9_mixing, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_html, op2_suffix_array, op3_toxicity, op4_surrogates, op5_minhash, op6_neighbours, op7_language_model, op8_secrets, op9_mixing, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
