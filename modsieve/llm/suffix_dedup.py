@@ -49,7 +49,7 @@ COLUMNS = SPAN - 1 + LENGTH
 #: Anchors found in so many chunks are sent window by window.
 FREQUENT = 256
 #: Bytes of text for each partition of the two shuffles.
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 _LOW = np.uint64((1 << 40) - 1)
 
 
