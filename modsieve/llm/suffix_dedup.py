@@ -47,7 +47,7 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1
 COLUMNS = SPAN - 1 + LENGTH
 #: Anchors found in so many chunks are sent window by window.
-FREQUENT = 256
+FREQUENT = 4096
 #: Bytes of text for each partition of the two shuffles.
 PART_BYTES = 6 << 20
 _LOW = np.uint64((1 << 40) - 1)
@@ -108,6 +108,11 @@ def _keys(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(44)) % np.uint64(parts) << np.uint64(40)) | (h & _LOW)
 
 
+def _steps(x: np.ndarray) -> bytes:
+    """Differences of neighbours, which compress well for rising numbers."""
+    return np.diff(x, prepend=0).astype(np.int32).tobytes()
+
+
 def _anchors(batches, parts):
     """The distinct anchors of a chunk for each partition: (part, chunk, low, high, many)."""
     for b in batches:
@@ -180,17 +185,20 @@ def _sent(batches, parts):
             _, down = W.powers(len(raw) + 1)
             text = W.mix((total[start + count - 1 + LENGTH] - total[start]) * down[start]) + (count.astype(np.uint64) << np.uint64(5)) + lead.astype(np.uint64)
             to = np.concatenate([key[plain] >> np.uint64(40), text[len(plain) :] % np.uint64(parts)])
-            order = np.lexsort((own, text, to))
+            order = np.lexsort((start, to))
             text, to, start, count, lead, own = text[order], to[order], start[order], count[order], lead[order], own[order]
-            head = np.ones(len(text), bool)
-            head[1:] = (text[1:] != text[:-1]) | (to[1:] != to[:-1])
             cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.empty(0, np.int64)
             rows = []
             for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=True):
-                u = np.flatnonzero(head[s:e]) + s
+                # equal segments once, in the order of their first places, so that all differences are small
+                _, at, same = np.unique(text[s:e], return_index=True, return_inverse=True)
+                rank = np.argsort(at)
+                u = at[rank] + s
+                which = np.empty(len(rank), np.int64)
+                which[rank] = np.arange(len(rank))
                 size = count[u] - 1 + LENGTH
-                at = np.repeat(start[u] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                pieces = [raw[at].tobytes(), count[u].astype(np.uint8).tobytes(), lead[u].astype(np.uint8).tobytes(), np.diff(np.append(u, e)).astype(np.int32).tobytes(), ids[own[s:e]].tobytes(), start[s:e].astype(np.int64).tobytes()]
+                place = np.repeat(start[u] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                pieces = [raw[place].tobytes(), count[u].astype(np.uint8).tobytes(), lead[u].astype(np.uint8).tobytes(), _steps(which[same]), _steps(start[s:e]), ids[own[s:e]].tobytes()]
                 rows.append((int(to[s]), chunk, len(u), e - s, z.compress(b"".join(pieces))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "chunk", "n", "n_all", "packed"])
@@ -257,18 +265,21 @@ def smallest_owners(text: np.ndarray, begin: np.ndarray, end: np.ndarray, owner:
 def _removed(pdf: pd.DataFrame) -> pd.DataFrame:
     """The removed byte ranges of each chunk, from one partition's segments."""
     z = zstandard.ZstdDecompressor()
-    texts, counts, leads, copies, owners, starts, chunk_of = [], [], [], [], [], [], []
+    texts, counts, leads, owners, starts, of_all, chunk_of = [], [], [], [], [], [], []
+    known = 0
     for i, (n, n_all, packed) in enumerate(zip(pdf.n, pdf.n_all, pdf.packed, strict=True)):
         data = z.decompress(packed)
-        at = len(data) - n_all * 16 - n * 6
+        at = len(data) - n_all * 16 - n * 2
         texts.append(np.frombuffer(data, np.uint8, at))
         counts.append(np.frombuffer(data, np.uint8, n, at))
         leads.append(np.frombuffer(data, np.uint8, n, at + n))
-        copies.append(np.frombuffer(data, np.int32, n, at + 2 * n))
-        owners.append(np.frombuffer(data, np.int64, n_all, at + 6 * n))
-        starts.append(np.frombuffer(data, np.int64, n_all, at + 6 * n + 8 * n_all))
+        at += 2 * n
+        of_all.append(np.cumsum(np.frombuffer(data, np.int32, n_all, at), dtype=np.int64) + known)
+        starts.append(np.cumsum(np.frombuffer(data, np.int32, n_all, at + 4 * n_all), dtype=np.int64))
+        owners.append(np.frombuffer(data[at + 8 * n_all :], np.int64))
         chunk_of.append(np.full(n_all, i))
-    flat, count, begin, copy = np.concatenate(texts), np.concatenate(counts).astype(np.int64), np.concatenate(leads).astype(np.int64), np.concatenate(copies)
+        known += n
+    flat, count, begin = np.concatenate(texts), np.concatenate(counts).astype(np.int64), np.concatenate(leads).astype(np.int64)
     owner, start, chunk = np.concatenate(owners), np.concatenate(starts), np.concatenate(chunk_of)
     size = count - 1 + LENGTH
     row = np.repeat(np.arange(len(size)), size)
@@ -279,7 +290,7 @@ def _removed(pdf: pd.DataFrame) -> pd.DataFrame:
     whole = np.concatenate([text, begin[:, None].astype(np.uint8), count[:, None].astype(np.uint8)], axis=1)
     _, first, back = np.unique(whole.view(np.dtype((np.void, whole.shape[1]))).ravel(), return_index=True, return_inverse=True)
     del whole
-    of = np.repeat(back, copy)
+    of = back[np.concatenate(of_all)]
     own = np.full(len(first), chunks.LAST, np.int64)
     np.minimum.at(own, of, owner)
     least = smallest_owners(text[first], begin[first], begin[first] + size[first], own)
@@ -297,11 +308,26 @@ def _removed(pdf: pd.DataFrame) -> pd.DataFrame:
         for x, y in zip(out, (chunk[k : k + (1 << 16)][r], base + s, base + t - 1 + LENGTH), strict=False):
             x.append(y)
     c, s, e = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out[:3])
-    order = np.argsort(c, kind="stable")
+    order = np.lexsort((s, c))
     c, s, e = c[order], s[order], e[order]
     cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
     ends = np.append(cut[1:], len(c))
-    return pd.DataFrame({"chunk": pdf.chunk.to_numpy()[c[cut]], "starts": [s[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], "ends": [e[a:z].tobytes() for a, z in zip(cut, ends, strict=True)]})
+    pack = zstandard.ZstdCompressor(level=3)
+    ranges = [pack.compress(_steps(s[a:b]) + (e[a:b] - s[a:b]).astype(np.uint8).tobytes()) for a, b in zip(cut, ends, strict=True)]
+    return pd.DataFrame({"chunk": pdf.chunk.to_numpy()[c[cut]], "ranges": ranges})
+
+
+def _ranges(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the packed byte ranges of a chunk."""
+    z = zstandard.ZstdDecompressor()
+    starts, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for x in packed:
+        data = z.decompress(x)
+        n = len(data) // 5
+        starts.append(np.cumsum(np.frombuffer(data, np.int32, n), dtype=np.int64))
+        lengths.append(np.frombuffer(data, np.uint8, n, 4 * n).astype(np.int64))
+    start = np.concatenate(starts)
+    return start, start + np.concatenate(lengths)
 
 
 def _results(batches):
@@ -311,11 +337,8 @@ def _results(batches):
         id_column = b.schema.names.index("ids")
         for k, _, _, off, raw in chunks.unpacked(b):
             n = len(raw)
-            edge = np.zeros(n + 1, np.int64)
-            for x in b.column(column)[k].as_py() or ():
-                edge += np.bincount(np.frombuffer(x["starts"], np.int64), minlength=n + 1)
-                edge -= np.bincount(np.frombuffer(x["ends"], np.int64), minlength=n + 1)
-            gone = np.cumsum(edge)[:n] > 0
+            starts, ends = _ranges(b.column(column)[k].as_py() or [])
+            gone = np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
             rows = []
             for i, (doc, s, e) in enumerate(zip(b.column(id_column)[k].as_py(), off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 own = gone[s:e]
@@ -332,7 +355,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n_bytes = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-n_bytes // PART_BYTES))
+    parts = int(max(1, -(-n_bytes // PART_BYTES)))
     packed = chunks.packed(text, parts)
 
     def anchors(batches):
@@ -343,8 +366,9 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
 
     hashes = packed.mapInArrow(anchors, "part int, chunk long, low binary, high binary, many binary")
     bits = hashes.groupBy("part").applyInPandas(_shared, "part int, chunk long, shared binary, often binary")
-    bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("part", "shared", "often")).alias("bits"))
+    buckets = min(parts, chunks.MOST_BUCKETS)  # as the chunks are, so that neither join deals them out again
+    bits = bits.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "shared", "often")).alias("bits"))
     rows = packed.join(bits, "chunk").mapInArrow(sent, "part int, chunk long, n int, n_all int, packed binary")
-    gone = written(rows.groupBy("part").applyInPandas(_removed, "chunk long, starts binary, ends binary"), "removed")
-    gone = gone.groupBy("chunk").agg(F.collect_list(F.struct("starts", "ends")).alias("gone"))
+    gone = written(rows.groupBy("part").applyInPandas(_removed, "chunk long, ranges binary"), "removed")
+    gone = gone.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list("ranges").alias("gone"))
     return packed.join(gone, "chunk", "left").mapInArrow(_results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
