@@ -15,8 +15,9 @@ GENESIS = "0" * 64
 
 def _quoted(s: Column) -> Column:
     """A JSON string with the least escaping; U+2028 and U+2029 are escaped too."""
+    plain = ~F.regexp_like(s, F.lit("[\"\\\\\\x00-\\x1f\\x7f\u2028\u2029]"))
     body = F.regexp_extract(F.to_json(F.struct(s.alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
-    return F.replace(F.replace(body, F.lit("\u2028"), F.lit("\\u2028")), F.lit("\u2029"), F.lit("\\u2029"))
+    return F.when(plain, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(F.replace(F.replace(body, F.lit("\u2028"), F.lit("\\u2028")), F.lit("\u2029"), F.lit("\\u2029")))
 
 
 def canonical(payload: Column) -> Column:
@@ -39,9 +40,9 @@ def verify(records: DataFrame) -> DataFrame:
     """For each chain the first broken seq (NULL if none) and the records valid before it.
 
     Every record is checked against its own fields in parallel; only ``lag`` needs a chain's order."""
-    order = Window.partitionBy("chain_id").orderBy("_place")
-    placed = records.withColumn("_place", F.row_number().over(Window.partitionBy("chain_id").orderBy("seq")))
-    before = F.coalesce(F.lag("entry_hash").over(order), F.lit(GENESIS))
+    order = Window.partitionBy("chain_id").orderBy("seq")
+    placed = records.withColumn("_place", F.row_number().over(order)).withColumn("_before", F.lag("entry_hash").over(order))
+    before = F.coalesce("_before", F.lit(GENESIS))
     bad = (F.col("seq") != F.col("_place")) | (F.col("prev_hash") != before) | (F.col("entry_hash") != entry_hash(F.col("seq"), F.col("timestamp"), F.col("prev_hash"), F.col("payload")))
     checked = placed.withColumn("_bad", F.coalesce(bad, F.lit(True)))
     return checked.groupBy("chain_id").agg(F.min(F.when(F.col("_bad"), F.col("seq"))).alias("first_broken"), F.min(F.when(F.col("_bad"), F.col("_place"))).alias("_at"), F.count("*").alias("n")).select(
