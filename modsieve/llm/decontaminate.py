@@ -173,3 +173,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))).alias("b")).select(
         "doc_id", "item_id", (-F.col("b.col3")).alias("doc_start"), (-F.col("b.col4")).alias("item_start"), (-F.col("b.col2")).alias("n_words"), F.col("b.n_same").alias("n_same")
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that overlap with no test item. Rows are matched by a
+    hash of doc_id and text, so null and repeated ids do no harm."""
+    key = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), docs["text"].cast("string"))
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(found, key == F.col("_key"), "left_anti")

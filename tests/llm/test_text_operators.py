@@ -35,6 +35,8 @@ def test_passages_and_substitutions_are_found(spark):
     assert set(got) == {(1, 10), (2, 10), (7, 10), (None, 10)}
     assert (got[1, 10].n_same, got[1, 10].n_words) == (40, 40)
     assert (got[2, 10].n_words, got[2, 10].n_same, got[2, 10].doc_start) == (40, 37, 30)
+    clean = decontaminate.keep_clean(d, b)
+    assert clean.columns == d.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["3", "4", "5", "6"]
     short = spark.createDataFrame([(20, " ".join(words(6, 7)) + " tail", "s", 0)], DOCS)
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(short, b).collect()] == [(20, 13)]
 
