@@ -74,8 +74,9 @@ def mixed(docs: DataFrame, budget_share: float = 1.0, entropy_share: float = 0.9
     document is drawn. ``block_pos`` is the block's place in its pass, ``doc_pos`` the document's
     place in its block, ``at`` the share of the source's budget drawn before the block, by which
     sources interleave. The target entropy is ``entropy_share`` times that of equal weights."""
-    tokens = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens"))
-    tokens = written(tokens.withColumn("_s", F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("null"))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), "tokens")
+    tokens = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long").alias("n_tokens"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
+    tokens = written(tokens.withColumn("_s", F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("null"))).withColumn("_h", hashed), "tokens")
     sources = written(tokens.groupBy("_s").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"), "sources")
     facts = sources.agg(F.sum("tokens").alias("total"), F.count("*").alias("n")).first()
     total = facts.total or 1

@@ -58,5 +58,38 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_html, op2_suffix_array, op3_toxicity, op4_surrogates, op5_minhash, op6_neighbours, op7_language_model, op8_secrets, op9_mixing, op10_decontaminate)}
 
 
+#: All 50-byte strings as hexadecimal text, cut out of blocks of 500 bytes, and the union of the
+#: places whose string a smaller doc_id has.
+SUFFIX_ARRAY_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, k, substr(h, 1000 * k + 1, 1098) AS p FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1000 + 1)) AS k FROM d)),
+w AS (SELECT doc_id, 500 * k + j AS i, substr(p, 2 * j + 1, 100) AS s FROM (SELECT doc_id, k, p, unnest(range(0, least(500, greatest(0, length(p) // 2 - 49)))) AS j FROM b)),
+m AS (SELECT s, min(doc_id) AS o FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE o < doc_id),
+e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS head FROM r),
+g AS (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM e),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, k),
+cut AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y, b FROM span),
+kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - y)::BIGINT AS n_removed, max(b) AS last, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY y) AS k FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+#: The exponent by plain halving, the same 32 places; budgets, blocks and passes by window sums.
+MIXING_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS n_tokens, coalesce('s:' || source, 'null') AS s, ('0x' || substr(md5(concat_ws(':', 'mix', doc_id)), 1, 15))::BIGINT AS h FROM documents),
+src AS (SELECT s, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY s HAVING sum(n_tokens) > 0),
+f AS (SELECT sum(tokens)::DOUBLE AS total, 0.97::DOUBLE * ln(count(*)) AS target FROM src),
+p AS (SELECT s, tokens, tokens / total AS p, target, total FROM src, f),
+bis AS (SELECT 0 AS step, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0::DOUBLE AS lo2, 1::DOUBLE AS hi2 UNION ALL
+ SELECT step + 1, CASE WHEN spread THEN (lo + hi) / 2 ELSE lo END, CASE WHEN spread THEN hi ELSE (lo + hi) / 2 END, CASE WHEN over THEN (lo2 + hi2) / 2 ELSE lo2 END, CASE WHEN over THEN hi2 ELSE (lo2 + hi2) / 2 END
+ FROM (SELECT step, lo, hi, lo2, hi2, ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) >= any_value(target) AS spread, max(pow(p, (lo2 + hi2) / 2 - 1)) / sum(pow(p, (lo2 + hi2) / 2)) > 4 AS over FROM bis, p WHERE step < 32 GROUP BY step, lo, hi, lo2, hi2)),
+e AS (SELECT greatest(CASE WHEN (SELECT -sum(p * ln(p)) >= any_value(target) FROM p) THEN 1 ELSE lo END, CASE WHEN (SELECT max(1 / p) / count(*) <= 4 FROM p) THEN 0 ELSE hi2 END) AS a FROM bis WHERE step = 32),
+z AS (SELECT sum(pow(p, a)) AS z FROM p, e),
+b AS (SELECT s, tokens, round(pow(p, a) / z * total)::BIGINT AS budget, greatest(1, ceil(tokens / 200000))::BIGINT AS n FROM p, e, z),
+placed AS (SELECT t.*, tokens, budget, h % n AS block FROM t JOIN b USING (s)),
+blocks AS (SELECT s, block, sum(n_tokens)::BIGINT AS bt, any_value(tokens) AS tokens, any_value(budget) AS budget FROM placed GROUP BY s, block),
+passes AS (SELECT *, unnest(range(0, (budget - 1) // tokens + 1)) AS pass FROM blocks WHERE budget > 0),
+drawn AS (SELECT s, block, pass, row_number() OVER o - 1 AS block_pos, budget, coalesce(sum(bt) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + pass * tokens AS before FROM passes WINDOW o AS (PARTITION BY s, pass ORDER BY md5(concat_ws(':', 'mix', s, pass, block)), block)),
+ranked AS (SELECT *, row_number() OVER o - 1 AS doc_pos, (sum(n_tokens) OVER (o ROWS UNBOUNDED PRECEDING))::BIGINT - n_tokens AS done FROM placed WINDOW o AS (PARTITION BY s, block ORDER BY h, doc_id, n_tokens))
+SELECT doc_id, source, n_tokens, pass, r.block, block_pos::INTEGER AS block_pos, doc_pos::INTEGER AS doc_pos, before / d.budget AS at FROM ranked r JOIN drawn d USING (s, block) WHERE before < d.budget AND done < d.budget - before"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_suffix_array": SUFFIX_ARRAY_SQL, "op9_mixing": MIXING_SQL}

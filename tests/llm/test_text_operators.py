@@ -284,3 +284,22 @@ def test_mixing_edges(spark):
     odd = spark.createDataFrame([(1, "a b", None, 0), (1, "a b", None, 0), (2, None, None, 0), (3, "", "empty", 0), (None, "c d", "s", 0)], DOCS).withColumn("pass", F.lit(1)).withColumn("block", F.lit(2))
     rows = mixing.mixed(odd, max_repeats=9.0).collect()
     assert {r.source for r in rows} == {None, "s"} and sum(r.n_tokens for r in rows) >= 6
+
+
+def test_mixing_equals_its_oracle(spark, tmp_path):
+    import duckdb
+
+    from modsieve.llm import queries
+
+    g = random.Random(12)
+    sizes = {"big": 900, "mid": 150, None: 40, "tiny": 3, "empty": 5}
+    rows = [(i, " ".join(["w"] * g.randint(0, 900)) if s != "empty" else "", s, 0) for i, s in enumerate(x for s, n in sizes.items() for x in [s] * n)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.op9_mixing(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op9_mixing"])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    got = [tuple(r[c] for c in names) for r in df.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want.fetchall())) and len(got) > len(rows) // 2
