@@ -52,6 +52,12 @@ def heads(frames: DataFrame, class_map: DataFrame) -> DataFrame:
     return rows.join(known, F.lower("provider_label") == F.col("_label"), "left").withColumn("category", F.coalesce("_category", F.lit("OTHER"))).drop("_label", "_category")
 
 
+def class_map(builtin: DataFrame, overrides: DataFrame) -> DataFrame:
+    """the built-in map (label_lc, category) with a run's overrides (label, category) on top."""
+    own = overrides.select(F.lower("label").alias("label_lc"), canonical(F.upper("category")).alias("category")).dropDuplicates(["label_lc"])
+    return builtin.join(own.select("label_lc"), "label_lc", "left_anti").unionByName(own)
+
+
 def yes_probability(top: Column) -> Column:
     """P5: P(yes) / (P(yes) + P(no)) of the first token's alternatives; NULL if one is missing or
     the result is no number."""

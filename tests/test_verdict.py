@@ -66,3 +66,15 @@ def test_disposition_and_run_outcome(spark):
     rows = df.withColumn("disposition", V.disposition(F.col("s"), F.col("a"), F.col("verdict"))).collect()
     want = {(s, a, v): "retry" if not s else "dead_letter" if not a or v == "error" else "ack" for s, a, v in cases}
     assert {(r.s, r.a, r.verdict): r.disposition for r in rows} == want
+
+
+def test_overrides_of_maps_and_scores(spark):
+    from modsieve.functions import normalize as N
+    from modsieve.plans import fixtures as X
+
+    own = spark.createDataFrame([("Gun_In_Hand", "violence"), ("new_head", "nonsense")], "label string, category string")
+    got = {r.label_lc: r.category for r in N.class_map(X.class_map(spark), own).collect()}
+    assert (got["gun_in_hand"], got["new_head"], got["yes_nazi"]) == ("VIOLENCE", "OTHER", "HATE") and len(got) == 60
+    f = spark.createDataFrame([("a", '{"adult":"LIKELY","racy":"UNKNOWN"}')], "asset_id string, response string")
+    rows = {r.provider_label: r.score for r in N.likelihood(f, {"likely": 0.9}).collect()}
+    assert rows["adult:LIKELY"] == 0.9 and rows["racy:UNKNOWN"] is None
