@@ -46,7 +46,7 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Marks around entities while a text is split, and the escape of marks in the text itself.
-MARK, ESCAPE = "", ""
+MARK, ESCAPE = "\ue000", "\ue001"
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 _PLAIN = (_DIGIT, _LOWER, _UPPER, _CYRILLIC, _CYRILLIC.upper())
