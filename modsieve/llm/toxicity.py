@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The most labelled documents of each class to train on.
-SAMPLE = 4000
+SAMPLE = 3500
 BITS = 18
 PREFIX = 4
 EPOCHS = 120
@@ -77,20 +77,24 @@ def _fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.
     ends = np.flatnonzero(flat == -1)
     length = np.diff(np.concatenate([[-1], ends])) - 1
     first = np.concatenate([[0], np.cumsum(length)[:-1]])
-    doc_of = np.repeat(np.arange(n), [int((b == -1).sum()) for b in bags])
-    sentence_of = np.repeat(np.arange(len(length)), length)
-    names, feature = np.unique(flat[flat >= 0], return_inverse=True)
-    seen = np.bincount(np.unique(feature.astype(np.int64) * n + doc_of[sentence_of]) // n, minlength=len(names)) >= MIN_DOCS
-    w, b, l1 = np.zeros(len(names)), -4.0, PENALTY / n
+    doc_of = np.repeat(np.arange(n, dtype=np.int32), [int((b == -1).sum()) for b in bags])
+    sentence_of = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    feature = flat[flat >= 0]
+    del flat
+    docs = np.zeros(1 << BITS, np.int32)
+    for x in bags:
+        docs[np.unique(x[x >= 0])] += 1
+    seen = docs >= MIN_DOCS
+    w, b, l1 = np.zeros(1 << BITS), -4.0, PENALTY / n
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     toxic, share = y[doc_of] > 0, weight[doc_of]
     for t in range(1, EPOCHS + 1):
-        z = np.clip(np.add.reduceat(w[feature], first) + b, -30, 30)
+        z = np.clip(np.add.reduceat(w.astype(np.float32)[feature], first).astype(float) + b, -30, 30)
         p = 1 / (1 + np.exp(-z))
         none = np.bincount(doc_of, -np.logaddexp(0, z), n)  # log of no offending sentence
         up = np.exp(none) / np.maximum(-np.expm1(none), 1e-9)
         g = share * np.where(toxic, up[doc_of], -1.0) * p
-        gw, gb = np.bincount(feature, g[sentence_of], len(w)) / n, g.sum() / n
+        gw, gb = np.bincount(feature, g.astype(np.float32)[sentence_of], len(w)) / n, g.sum() / n
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
@@ -98,9 +102,7 @@ def _fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.
         w += step * m / c1
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0) * seen
         b += RATE * mb / c1 / (math.sqrt(vb / c2) + 1e-3)
-    out = np.zeros(1 << BITS, np.float32)
-    out[names] = w
-    return out, float(b)
+    return w.astype(np.float32), float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
