@@ -6,11 +6,16 @@ number of hashed cells. Each of K sampling functions picks one (shingle, level)
 that two documents agree with a probability equal to their weighted Jaccard similarity; bands of
 samples propose candidates, and the exact weighted Jaccard similarity verifies them.
 
-Exact copies are one node from the start. A bucket never emits its pairs: its member that shares
-most buckets leads it, and every other member is compared with the leader alone. Members that
-fail form the next round's bucket and get a leader of their own, until no bucket has two; after
-``PLAIN_ROUNDS`` rounds every round also splits the rest of a bucket by its members' next band,
-so rounds end. Classes are the connected components of the verified links.
+Exact copies are one node from the start. The member of a bucket that shares most buckets leads
+it, and every other member is compared with the leader first. No member leaves its bucket for
+that: members of a bucket stay comparable until they are in one class or have been compared. Two
+of a bucket's members are compared if an upper bound of their similarity, taken from weights
+summed over ``CELL_SUMS`` hashed cells, reaches the threshold. First every member meets only its
+best partner of another class (``BEST_ROUNDS`` rounds, which join most of a group with few
+comparisons), then all that are left of different classes. So each pair of a bucket is linked,
+in one class by other links, or known to be below the threshold. Classes are the connected
+components of the verified links. Large buckets are cut into blocks of ``BLOCK`` members, and
+every two blocks meet.
 
 Defined cases: null and empty texts and texts without words are alone; texts of fewer than five
 words are one shingle; a class is named by its smallest doc_id; a null doc_id takes its copies'
@@ -39,7 +44,10 @@ TABLE = 1 << 13
 #: Weights are rounded to powers of 2 ** (1 / LEVELS); of the first TABLED powers values are tabled.
 LEVELS = 4
 TABLED = 24
-PLAIN_ROUNDS = 2
+#: Cells of the upper bound, members of a block, rounds in which a member meets one partner only.
+CELL_SUMS = 128
+BLOCK = 512
+BEST_ROUNDS = 2
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -194,6 +202,80 @@ def _compare(batches, idf):
         yield pd.DataFrame({"leader": pdf.leader, "doc": pdf.doc, "similarity": scores})
 
 
+def _sketches(batches, idf):
+    """(doc, total, cells): a text's weight and its sums over hashed cells, as half-precision bytes."""
+    z = zstandard.ZstdDecompressor()
+    for pdf in batches:
+        totals, cells = [], []
+        for packed in pdf.z:
+            raw = np.frombuffer(z.decompress(packed), np.uint8)
+            h, level, _ = weighted(raw, np.array([0, len(raw)]), idf)
+            w = np.exp2(level / LEVELS)
+            totals.append(float(w.sum()))
+            with np.errstate(over="ignore"):
+                cells.append(np.bincount((h % np.uint64(CELL_SUMS)).astype(np.int64), weights=w, minlength=CELL_SUMS).astype(np.float16).tobytes())
+        yield pd.DataFrame({"doc": pdf.doc, "total": totals, "cells": cells})
+
+
+def _partners(group: pd.DataFrame, threshold: float, best: bool) -> list[tuple[int, int]]:
+    """Pairs of two blocks (of one, if it has no second) in different classes whose bound reaches ``threshold``."""
+    group = group.sort_values("side", kind="stable")
+    doc, comp, total, side = (group[c].to_numpy() for c in ("doc", "comp", "total", "side"))
+    cells = np.frombuffer(b"".join(group.cells), np.float16).reshape(len(group), CELL_SUMS).astype(np.float32)
+    cut = int((side == 0).sum())
+    one = cut == len(side)
+    top, top_at = np.full(len(doc), -1.0), np.full(len(doc), -1)
+    out = []
+    for i in range(cut):
+        at = np.arange(i + 1 if one else cut, len(doc))
+        at = at[(comp[at] != comp[i]) & (np.minimum(total[at], total[i]) >= threshold * 0.999 * np.maximum(total[at], total[i]))]
+        if not len(at):
+            continue
+        # half-precision sums are right to 1 in 2048, so the bound stays one with 1.001
+        both = np.minimum(np.minimum(cells[at], cells[i]).sum(axis=1) * 1.001, np.minimum(total[at], total[i]))
+        bound = both / (total[at] + total[i] - both)
+        ok = bound >= threshold * 0.999
+        at, bound = at[ok], bound[ok]
+        if not len(at):
+            continue
+        if not best:
+            out += [(doc[i], d) for d in doc[at]]
+            continue
+        k = int(np.argmax(bound))
+        if bound[k] > top[i]:
+            top[i], top_at[i] = bound[k], at[k]
+        better = bound > top[at]
+        top[at[better]], top_at[at[better]] = bound[better], i
+    if best:
+        out = [(doc[i], doc[k]) for i, k in enumerate(top_at.tolist()) if k >= 0]
+    return [(min(x, y), max(x, y)) for x, y in out]
+
+
+def _meet(batches, threshold: float, best: bool):
+    """(a, b) of every group of blocks; groups are runs of equal (bucket, low, high) rows."""
+    rest = None
+    for pdf in _then_none(batches):
+        if pdf is not None:
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if rest is None or not len(rest):
+            continue
+        key = rest[["bucket", "low", "high"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+        ends = np.append(starts[1:], len(rest))
+        whole = len(starts) - (pdf is not None)
+        found: set[tuple[int, int]] = set()
+        for s, e in zip(starts[:whole].tolist(), ends[:whole].tolist(), strict=True):
+            if e - s > 1:
+                found.update(_partners(rest.iloc[s:e], threshold, best))
+        rest = rest.iloc[starts[-1] :].reset_index(drop=True) if pdf is not None else None
+        yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
+
+
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label): every node of (a, b) edges with the smallest node of its component.
 
@@ -215,37 +297,54 @@ def verified_links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold
     """Links (a, b, similarity) between nodes (doc, bands), with weighted Jaccard ``threshold`` or more."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)  # CELLS numbers
-    rows = nodes.select("doc", F.posexplode("bands").alias("band", "hash"), F.col("bands").alias("all"))
+    rows = nodes.select("doc", F.posexplode("bands").alias("band", "hash"))
     sizes = rows.groupBy("band", "hash").agg(F.count("*").alias("size")).filter("size > 1")
     met = written(rows.join(sizes, ["band", "hash"]), "buckets")
     degree = met.groupBy("doc").agg(F.sum("size").alias("degree"))
-    bucket = written(met.join(degree, "doc").select(F.xxhash64("band", "hash").alias("bucket"), "band", "doc", "degree", "all"), "members")
+    bucket = written(met.join(degree, "doc").select(F.xxhash64("band", "hash").alias("bucket"), "doc", "degree"), "members")
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_packed, "doc_id long, z binary")
     texts = written(packed.withColumnRenamed("doc_id", "doc").join(degree.select("doc"), "doc", "left_semi").dropDuplicates(["doc"]), "texts", "uncompressed")
 
     def compare(batches):
         yield from _compare(batches, shared.value)
 
-    links = None
-    turn = 0
-    while True:
-        lead = bucket.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"))).alias("top"), F.count("*").alias("size")).filter("size > 1").select("bucket", (-F.col("top.minus")).alias("leader"))
-        pairs = written(bucket.join(lead, "bucket").filter("doc <> leader"), "pairs")
-        if not pairs.limit(1).count():
-            break
-        edges = pairs.select("leader", "doc").distinct()
+    def sketch(batches):
+        yield from _sketches(batches, shared.value)
+
+    def score(edges: DataFrame) -> DataFrame:
         loaded = edges.join(texts, "doc").join(texts.select(F.col("doc").alias("leader"), F.col("z").alias("z_leader")), "leader").select("leader", "doc", "z_leader", "z")
-        scored = written(loaded.mapInPandas(compare, "leader long, doc long, similarity double"), "scores")
-        good = scored.filter(F.col("similarity") >= threshold).select(F.col("leader").alias("a"), F.col("doc").alias("b"), "similarity")
-        links = good if links is None else links.unionByName(good)
-        turn += 1
-        failed = pairs.join(scored.filter(F.col("similarity") < threshold).select("leader", "doc"), ["leader", "doc"])
-        key = F.col("bucket")
-        if turn >= PLAIN_ROUNDS:
-            further = F.pmod(F.col("band") + 1 + turn - PLAIN_ROUNDS, F.lit(BANDS)) + 1
-            key = F.xxhash64("bucket", F.element_at("all", further.cast("int")))
-        bucket = failed.select(key.alias("bucket"), "band", "doc", "degree", "all")
-    return links if links is not None else spark.createDataFrame([], "a long, b long, similarity double")
+        return written(loaded.mapInPandas(compare, "leader long, doc long, similarity double").select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b"), "similarity"), "scores")
+
+    lead = bucket.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"))).alias("top"), F.count("*").alias("size")).filter("size > 1").select("bucket", (-F.col("top.minus")).alias("leader"), "size")
+    led = written(bucket.join(lead, "bucket").filter("doc <> leader"), "pairs")
+    scored = score(led.select("leader", "doc").distinct())
+    # a leader has met its whole bucket
+    rest = led.filter("size > 2").select("bucket", "doc")
+    sketches = None
+    for turn in range(BEST_ROUNDS + 1):
+        label = components(scored.filter(F.col("similarity") >= threshold))
+        named = rest.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("comp"))
+        open_ = named.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("bucket", "size")
+        left = written(named.join(open_, "bucket"), "open")
+        rest = left.select("bucket", "doc")
+        if not left.limit(1).count():
+            break
+        if sketches is None:
+            sketches = written(texts.join(left.select("doc").distinct(), "doc", "left_semi").mapInPandas(sketch, "doc long, total double, cells binary"), "sketches")
+        best = turn < BEST_ROUNDS
+
+        def partners(batches, best=best):
+            yield from _meet(batches, threshold, best)
+
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = left.withColumn("own", F.pmod(F.xxhash64("doc", F.lit(turn)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp")
+        keys = ["bucket", "low", "high"]
+        grouped = dealt.join(sketches, "doc").select(*keys, "side", "doc", "comp", "total", "cells").repartition(*keys).sortWithinPartitions(*keys)
+        found = grouped.mapInPandas(partners, "a long, b long").distinct().join(scored.select("a", "b"), ["a", "b"], "left_anti")
+        new = score(written(found, "candidates").select(F.col("a").alias("leader"), F.col("b").alias("doc")))
+        scored = scored.unionByName(new)
+    return scored.filter(F.col("similarity") >= threshold)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

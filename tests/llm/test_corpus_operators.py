@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,52 @@ def test_a_large_group_needs_no_pairs(spark):
     assert sum(r.n_links for r in got) / 2 < 400 * 12
 
 
+def linked_in_one_bucket(spark, texts):
+    """Links found among texts that share one bucket alone, and all pairs of 0.8 or more."""
+    d = frame(spark, list(enumerate(texts))).repartition(3)
+    idf = near_duplicates.idf_table(d)
+    nodes = spark.createDataFrame([(i, [7] + [1000 * i + b for b in range(1, near_duplicates.BANDS)]) for i in range(len(texts))], "doc long, bands array<long>")
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    sets = [(h, np.exp2(w / near_duplicates.LEVELS)) for h, w, _ in (near_duplicates.weighted(r, np.array([0, len(r)]), idf) for r in raw)]
+    want = [(a, b) for b in range(len(texts)) for a in range(b) if near_duplicates.similarity(sets[a], sets[b]) >= 0.8]
+    links = near_duplicates.verified_links(d, nodes, idf).collect()
+    assert len({(r.a, r.b) for r in links}) == len(links) and {(r.a, r.b) for r in links} <= set(want)
+    label = {r.node: r.label for r in near_duplicates.components(spark.createDataFrame([(r.a, r.b) for r in links] or [(-1, -1)], "a long, b long")).collect()}
+    return want, label, links
+
+
+def test_a_bucket_of_many_groups_loses_no_group(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    g = random.Random(12)
+    texts = []
+    for _ in range(25):
+        base = prose(400, g).split()
+        for _ in range(4):
+            w = base[:]
+            for _ in range(2):
+                w[g.randrange(len(w))] = f"q{g.randrange(10**6)}"
+            texts.append(" ".join(w))
+    want, label, links = linked_in_one_bucket(spark, texts)
+    assert len(want) >= 100 and all(label.get(a, a) == label.get(b, b) for a, b in want)
+    assert len(links) < 8 * len(texts)
+
+
+def test_the_bound_is_above_the_similarity():
+    g = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(g.integers(1, 400))
+        h = g.choice(1 << 20, 2 * n, replace=False).astype(np.uint64)
+        w = np.exp2(g.integers(0, 40, 2 * n) / near_duplicates.LEVELS)
+        cut = int(g.integers(0, n // 4 + 1))
+        sets = [tuple(x[np.argsort(h[i])] for x in (h[i], w[i])) for i in (np.arange(n), np.arange(cut, n + cut))]
+        s = near_duplicates.similarity(*sets)
+        cells = [np.bincount((a % np.uint64(near_duplicates.CELL_SUMS)).astype(np.int64), weights=b, minlength=near_duplicates.CELL_SUMS).astype(np.float16).tobytes() for a, b in sets]
+        group = pd.DataFrame({"doc": [1, 2], "comp": [1, 2], "side": [0, 0], "total": [b.sum() for _, b in sets], "cells": cells})
+        for best in (True, False):
+            assert set(near_duplicates._partners(group, s, best)) == {(1, 2)}
+            assert not near_duplicates._partners(group.assign(comp=1), s, best)
+
+
 def test_weighted_similarity_is_estimated_by_samples():
     g = np.random.default_rng(3)
     s = near_duplicates.Sampler()
