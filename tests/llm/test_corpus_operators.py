@@ -162,6 +162,19 @@ def test_a_bucket_of_many_groups_loses_no_group(spark, monkeypatch):
     assert len(links) < 8 * len(texts)
 
 
+def test_a_chain_is_linked_past_its_leader(spark):
+    g = random.Random(13)
+    texts = []
+    for _ in range(6):  # each text of a chain differs from the next by a piece; the leader fails at the second
+        w = prose(400, g).split()
+        for k in range(6):
+            texts.append(" ".join(w))
+            w[k * 40 : k * 40 + 20] = prose(20, g).split()
+    want, label, _ = linked_in_one_bucket(spark, texts)
+    assert {(6 * c + k, 6 * c + k + 1) for c in range(6) for k in range(5)} <= set(want) and (0, 5) not in want
+    assert all(label.get(a, a) == label.get(b, b) for a, b in want)
+
+
 def test_the_bound_is_above_the_similarity():
     g = np.random.default_rng(8)
     for _ in range(300):
