@@ -87,13 +87,16 @@ def _scan(batches):
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Interval join over (uid, kind, start, end): the weak parts whose complement is in scope.
 
-    Parts are put into cells of ``scope`` code points; a part meets the parts of its own cell and
-    of the two beside it, so the join has an equality key and no pair is missed or met twice.
+    A weak part is put into every cell of ``scope`` code points from its start to its end, its
+    partners into every cell from ``scope`` before their start to ``scope`` after their end. Two
+    parts in scope share a point of these ranges and so its cell: the join has an equality key,
+    misses no pair of any length, and meeting twice does not change what is kept.
     """
     role = F.create_map(*[x for k, v in ROLE.items() for x in (F.lit(k), F.lit(v))])
-    parts = parts.withColumn("cell", F.floor(F.col("start") / scope)).withColumn("role", role[F.col("kind")])
-    other = parts.select("uid", F.col("role").alias("role2"), F.col("start").alias("start2"), F.col("end").alias("end2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    weak_parts = parts.filter(F.col("kind").isin("account", "token", "endpoint"))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope))).alias("cell")
+    parts = parts.withColumn("role", role[F.col("kind")])
+    other = parts.filter("role <> 'endpoint'").select("uid", F.col("role").alias("role2"), F.col("start").alias("start2"), F.col("end").alias("end2"), cells(F.col("start") - scope, F.col("end") + scope))
+    weak_parts = parts.filter(F.col("kind").isin("account", "token", "endpoint")).select("uid", "kind", "start", "end", cells(F.col("start"), F.col("end")))
     met = weak_parts.join(other, ["uid", "cell"]).filter((F.col("start2") - F.col("end") <= scope) & (F.col("start") - F.col("end2") <= scope))
     seen = met.groupBy("uid", "kind", "start", "end").agg(F.max(F.col("role2") == "ident").alias("ident"), F.max(F.col("role2") == "secret").alias("secret"))
     needs = F.when(F.col("kind") == "token", F.col("ident")).when(F.col("kind") == "account", F.col("secret")).otherwise(F.col("ident") & F.col("secret"))

@@ -115,6 +115,24 @@ def test_linking_is_an_interval_join(spark):
     assert {tuple(r) for r in secrets.linked(df).select("uid", "kind", "start", "end").collect()} == want
 
 
+def test_single_pairs_and_long_spans_are_linked(spark):
+    g = random.Random(6)
+    rows = [(0, "assign", 399, 410), (0, "account", 800, 820), (1, "assign", 10, 2000), (1, "account", 2300, 2310), (2, "endpoint", 5, 3000), (2, "account", 3100, 3110), (2, "assign", 3390, 3400), (3, "account", 1200, 1210), (3, "hex", 1611, 1700), (4, "token", 900, 5000), (4, "access", 480, 500)]
+    for uid in range(10, 410):
+        s, n = g.randint(0, 3000), g.choice([20, 390, 400, 410, 1500])
+        t = max(0, s + g.choice([n, -n]) + g.randint(-410, 410))
+        rows += [(uid, g.choice(["assign", "access", "hex"]), s, s + n), (uid, g.choice(["account", "token", "endpoint"]), t, t + g.choice([10, 700]))]
+    want = set()
+    for u, k, s, e in rows:
+        near = {secrets.ROLE[k2] for u2, k2, s2, e2 in rows if u2 == u and s2 - e <= 400 and s - e2 <= 400}
+        need = {"token": {"ident"}, "account": {"secret"}, "endpoint": {"ident", "secret"}}.get(k)
+        if need and need <= near:
+            want.add((u, k, s, e))
+    assert {u for u, *_ in want} >= {0, 1, 2, 4} and 3 not in {u for u, *_ in want}
+    df = spark.createDataFrame(rows, "uid long, kind string, start long, end long")
+    assert sorted(map(tuple, secrets.linked(df).select("uid", "kind", "start", "end").collect())) == sorted(want)
+
+
 # --- toxicity
 
 
