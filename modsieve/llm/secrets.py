@@ -34,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Weak kinds.
 ACCOUNT = re.compile(r"""\b(?:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,64})""", re.I | re.A)
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/=_-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.A)
 KINDS = ("assign", "access", "hex", "account", "token", "endpoint")
 #: What a kind can be in a credential: an identifier, a secret or an endpoint.
@@ -78,8 +78,8 @@ def _scan(batches):
             text = text if isinstance(text, str) else ""
             base = strong(text)
             n = Counter(k for *_, k in base)
-            # a weak part needs an identifier and a secret beside it, so a text without digits has none
-            more = weak(text, base) if _SIGNS.search(text) else []
+            # every link needs a secret: a strong one, or a token, which has a digit
+            more = weak(text, base) if base or _SIGNS.search(text) else []
             rows.append((doc, uuid.uuid4().int >> 65, n["assign"], n["access"], n["hex"], _joined(base), [{"kind": k, "start": s, "end": e} for s, e, k in [*base, *more]] if more else []))
         yield pd.DataFrame(rows, columns=kept).astype({"doc_id": "Int64"})
 
