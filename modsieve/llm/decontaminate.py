@@ -10,13 +10,14 @@ filter has a fixed number of bits (2 MB), so its size does not grow with either
 passes it wrongly finds no partner in the join. Hits are rows, never collected.
 
 Defined cases: a null or empty text has no words and matches nothing; items of fewer than
-``MIN_WORDS`` words are not searched, items shorter than a mask get a full mask of their length;
-repeated document rows give repeated hits and one result row for each (doc_id, item_id); a null
+``MIN_WORDS`` words are not searched; items of fewer than ``FULL`` words get masks of their length
+that leave out every set of places the allowed substitutions can fall on; repeated document rows give repeated hits and one result row for each (doc_id, item_id); a null
 id stays a null id; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import numpy as np
@@ -30,14 +31,32 @@ from .storage import written
 
 MASKS = ("111001011", "1101000111", "10110010011")
 MIN_WORDS = 5
-#: Matching words that an overlap needs (or the whole item, if shorter), and the cost of one
-#: substitution in matches: a positive sum means that at least four words in five agree.
+#: Matching words that an overlap needs (or four words in five of the item, if that is less), and
+#: the cost of one substitution in matches: a sum of 0 means that four words in five agree.
 MIN_OVERLAP = 13
+#: Items of so many words are found by ``MASKS``.
+FULL = 16
 SUBSTITUTION = 4
 BLOOM_BITS = 24
 _LONGEST = max(map(len, MASKS))
 
 
+def needed(n: int) -> int:
+    """Matching words that an item of ``n`` words needs."""
+    return min(MIN_OVERLAP, -(-4 * n // 5))
+
+
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks of ``n`` places: whichever places the allowed substitutions take, one mask ignores them."""
+    allowed = n - needed(n)
+    parts = np.array_split(np.arange(n), n if allowed < 2 else allowed + 3)
+    return tuple("".join("0" if any(k in parts[i] for i in out) else "1" for k in range(n)) for out in itertools.combinations(range(len(parts)), allowed))
+
+
+def _tag(mask: str) -> int:
+    return int("1" + mask, 2)
+
+
 def _seed_hashes(h: np.ndarray, offsets: np.ndarray, mask: str, tag: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of one mask at every place where it fits into a row, and those places."""
     m = len(h) - len(mask) + 1
@@ -63,13 +82,14 @@ def _item_rows(batches):
             n = len(own)
             if n < MIN_WORDS:
                 continue
-            masks = MASKS if n >= _LONGEST else ("1" * n,)
-            rows = [(np.int64(len(m) if m not in MASKS else 100 + MASKS.index(m)), *_seed_hashes(own, np.array([0, n]), m, len(m))) for m in masks]
-            key = np.concatenate([x[1] for x in rows])
-            pos = np.concatenate([x[2] for x in rows])
+            masks = MASKS if n >= FULL else short_masks(n)
+            rows = [_seed_hashes(own, np.array([0, n]), m, _tag(m)) for m in masks]
+            key = np.concatenate([x[0] for x in rows])
+            pos = np.concatenate([x[1] for x in rows])
+            row = uuid.uuid4().int >> 65
             yield pa.RecordBatch.from_arrays(
-                [pa.array([item] * len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array([own.astype(np.uint32).tobytes()] + [None] * (len(key) - 1), pa.binary()), pa.array(np.full(len(key), n, np.int32))],
-                names=["item_id", "hash", "item_pos", "item_words", "item_n"],
+                [pa.array([row] * len(key), pa.int64()), pa.array([item] * len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array([own.astype(np.uint32).tobytes()] + [None] * (len(key) - 1), pa.binary()), pa.array(np.full(len(key), n, np.int32))],
+                names=["item", "item_id", "hash", "item_pos", "item_words", "item_n"],
             )
 
 
@@ -86,7 +106,7 @@ def _doc_regions(batches, bloom: np.ndarray, masks: tuple[str, ...], reach: int)
                 continue
             found_key, found_at = [], []
             for m in masks:
-                key, at = _seed_hashes(h, wo, m, len(m))
+                key, at = _seed_hashes(h, wo, m, _tag(m))
                 low = key & bits
                 hit = np.flatnonzero(bloom[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
                 found_key.append(key[hit])
@@ -128,6 +148,20 @@ def _best_segment(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end - start, int(equal[start:end].sum())
 
 
+def _longest_overlap(equal: np.ndarray) -> tuple[int, int, int]:
+    """Start, length and matches of the segment with the most matches of those in which four words in five agree."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -SUBSTITUTION))])
+    matches = np.concatenate([[0], np.cumsum(equal)])
+    # the last end at which a start's sum is not negative: later ends only add matches
+    later = np.maximum.accumulate(total[::-1])
+    end = len(total) - 1 - np.searchsorted(later, total)
+    start = int(np.argmax(matches[end] - matches))
+    inside = np.flatnonzero(equal[start : end[start]])
+    if not len(inside):
+        return 0, 0, 0
+    return start + int(inside[0]), int(inside[-1] - inside[0] + 1), len(inside)
+
+
 def _verify(batches):
     for pdf in batches:
         out = []
@@ -136,8 +170,8 @@ def _verify(batches):
             lo, hi = max(0, -diagonal), min(len(t), len(d) - diagonal)
             if hi <= lo:
                 continue
-            s, n, same = _best_segment(d[lo + diagonal : hi + diagonal] == t[lo:hi])
-            if same >= min(MIN_OVERLAP, len(t)):
+            s, n, same = _longest_overlap(d[lo + diagonal : hi + diagonal] == t[lo:hi])
+            if same >= needed(len(t)):
                 out.append((doc, item, int(start + diagonal + lo + s), lo + s, n, same))
         yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
@@ -146,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and test item that overlap: (doc_id, item_id, doc_start,
     item_start, n_words, n_same), positions and lengths in words, the best overlap of each pair."""
     spark = docs.sparkSession
-    schema = "item_id long, hash long, item_pos int, item_words binary, item_n int"
+    schema = "item long, item_id long, hash long, item_pos int, item_words binary, item_n int"
     items = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_rows, schema), "seeds")
     # a fixed number of bits: at most 2**(BLOOM_BITS - 5) rows, whatever the benchmark's size
     low = F.col("hash").bitwiseAND((1 << BLOOM_BITS) - 1)
@@ -155,8 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for x in bits:
         cells[x.cell] = x.bits
     bloom = spark.sparkContext.broadcast(cells.view(np.uint8))
-    facts = items.agg(F.max("item_n").alias("longest"), F.array_sort(F.collect_set(F.when(F.col("item_n") < _LONGEST, F.col("item_n")))).alias("short")).first()
-    masks, reach = (*MASKS, *("1" * n for n in facts.short)), (facts.longest or 0) + 1
+    facts = items.agg(F.max("item_n").alias("longest"), F.array_sort(F.collect_set(F.when(F.col("item_n") < FULL, F.col("item_n")))).alias("short")).first()
+    masks, reach = (*MASKS, *(m for n in facts.short for m in short_masks(n))), (facts.longest or 0) + 1
 
     def regions_of(batches):
         yield from _doc_regions(batches, bloom.value, masks, reach)
@@ -166,9 +200,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "regions",
     )
     hits = regions.select("region", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("region", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    pairs = hits.join(items.select("item_id", "hash", "item_pos"), "hash").select("region", "item_id", (F.col("place") - F.col("item_pos")).alias("diagonal")).distinct()
-    texts = items.filter("item_words is not null").select("item_id", "item_words").distinct()
-    aligned = pairs.join(regions.select("region", "doc_id", "start", "words"), "region").join(texts, "item_id").select("doc_id", "item_id", "start", "words", "item_words", "diagonal")
+    pairs = hits.join(items.select("item", "hash", "item_pos"), "hash").select("region", "item", (F.col("place") - F.col("item_pos")).alias("diagonal")).distinct()
+    # rows of the benchmark meet by a key of their own, so null and repeated ids do no harm
+    texts = items.filter("item_words is not null").select("item", "item_id", "item_words")
+    aligned = pairs.join(regions.select("region", "doc_id", "start", "words"), "region").join(texts, "item").select("doc_id", "item_id", "start", "words", "item_words", "diagonal")
     checked = aligned.mapInPandas(_verify, "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_same long")
     return checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))).alias("b")).select(
         "doc_id", "item_id", (-F.col("b.col3")).alias("doc_start"), (-F.col("b.col4")).alias("item_start"), (-F.col("b.col2")).alias("n_words"), F.col("b.n_same").alias("n_same")

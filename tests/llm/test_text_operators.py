@@ -60,6 +60,45 @@ def test_best_segment_is_the_largest_sum():
         assert same == e[s : s + n].sum()
 
 
+def test_longest_overlap_is_brute_force():
+    import numpy as np
+
+    g = np.random.default_rng(2)
+    for _ in range(300):
+        e = g.random(g.integers(1, 30)) < 0.8
+        s, n, same = decontaminate._longest_overlap(e)
+        fits = [int(e[a:b].sum()) for a in range(len(e)) for b in range(a + 1, len(e) + 1) if 5 * e[a:b].sum() >= 4 * (b - a)]
+        assert same == max([0, *fits]) == e[s : s + n].sum() and 5 * same >= 4 * n
+
+
+def test_short_masks_ignore_every_allowed_substitution():
+    import itertools
+
+    for n in range(decontaminate.MIN_WORDS, decontaminate.FULL):
+        masks = decontaminate.short_masks(n)
+        for places in itertools.combinations(range(n), n - decontaminate.needed(n)):
+            assert any(all(m[k] == "0" for k in places) for m in masks)
+
+
+def test_substitutions_near_the_ends_and_in_short_items_are_found(spark):
+    items = {1: words(16, 21), 2: words(40, 22), 3: words(6, 23), 4: words(10, 24), None: words(20, 25)}
+    docs = []
+    for item, w in items.items():
+        for k in range(0, len(w), 1 if len(w) == 16 else 3):
+            docs.append((item, [k]))
+    docs += [(2, list(range(4, 40, 5))), (4, [2, 7])]
+    bad = [(3, [1, 4]), (4, [1, 4, 8]), (1, [2, 5, 8, 11])]
+    rows = []
+    for n, (item, places) in enumerate([*docs, *bad]):
+        w = [f"x{n}y{k}" if k in places else t for k, t in enumerate(items[item])]
+        rows.append((n, " ".join(words(30, 100 + n) + w + words(20, 500 + n)), "s", 0))
+    d = spark.createDataFrame(rows, DOCS)
+    other = [(1, " ".join(words(18, 31)))]  # repeats an id
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + other, "item_id long, text string")
+    got = sorted((r.doc_id, str(r.item_id)) for r in decontaminate.contaminated(d, b).collect())
+    assert got == sorted((n, str(item)) for n, (item, _) in enumerate(docs))
+
+
 # --- secrets
 
 
