@@ -1,43 +1,52 @@
 """Approximate nearest neighbours by largest inner product, over shifted Hilbert curves.
 
 Vectors get one more component that makes their lengths equal, so that the largest inner product
-is the smallest distance. Each curve projects them at random to ``DIMS`` dimensions, shifts and
-quantises them and takes the place on a Hilbert curve as key. Spark range-partitions all rows by
-(curve, key); a partition is a block of neighbours. A query goes to the blocks of a key window
-around its own place on every curve; each block ranks its rows by the exact inner product, and the
-blocks' best are merged and ranked again.
-
-The window's share of the rows is fitted on at most ``SAMPLE`` rows: the smallest share of
-``SHARES`` at which the curves together find ``AIM`` of the true neighbours there. Clustered
-vectors need a few hundredths; vectors without structure need large windows, as no curve can
-separate them. Every row is indexed; of more than ``k`` + 1 equal vectors the smallest ids stand
-for all, as no other can be among the ``k`` nearest.
+is the smallest distance. Each of ``CURVES`` curves projects them at random to ``DIMS`` dimensions,
+shifts and quantises them and takes the place on a Hilbert curve as key. Spark range-partitions
+all rows by (curve, key); a partition is a block of neighbours that knows its rows' ranks. A query
+takes the curves on which it lies farthest from the middle (there its neighbours stand apart from
+other rows most), and meets on each of them the rows of a window of ranks around its own place,
+cut out of the blocks the window reaches. The windows' best are merged and ranked again by the
+exact inner product.
+
+How many curves a query takes and how wide the windows are is fitted: the true neighbours of at
+most ``FIT`` rows are found among all rows, and of all settings that hold ``AIM`` of them the one
+with the fewest comparisons is taken. The windows of one query together never hold more than all
+rows: the widest setting is one window over one whole curve. Clustered vectors need a few
+hundredths of all pairs. Vectors without any structure need most of them while rows are few; the
+share falls as rows grow, for the neighbours then come closer. Every row is indexed; of more than
+``k`` + 1 equal vectors the smallest ids stand for all, as no other can be among the ``k`` nearest.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those of another length than the commonest; ties go to the smaller id; a null id takes no
-part; repeated ids are separate rows; an empty table gives an empty result; other columns are
-ignored.
+part; repeated ids are separate rows: each has its own list, and meets the others as candidates;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import written
 
-CURVES = 6
+CURVES = 16
 DIMS = 6
 BITS = 8
 SAMPLE = 4096
-SHARES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.75, 1.0)
-AIM = 0.955
-BLOCKS = 16
-#: A block has at most about so many rows; beyond BLOCKS of them there are more blocks.
-BLOCK_ROWS = 1 << 17
+FIT = 128
+AIM = 0.93
+#: Settings: curves a query takes, and the share of all rows that its windows hold together.
+TAKEN = (1, 2, 4, 8)
+SHARES = (0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
+BLOCKS = 4
+#: A block has at most about so many rows, and meets so many queries at once.
+BLOCK_ROWS = 1 << 16
+QUERY_ROWS = 1 << 12
 
 
 def hilbert_keys(x: np.ndarray, bits: int) -> np.ndarray:
@@ -71,106 +80,194 @@ def hilbert_keys(x: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(v: np.ndarray, longest: float, plan: dict) -> np.ndarray:
-    """(CURVES, rows) keys of candidate vectors or queries."""
-    rest = np.sqrt(np.maximum(0.0, longest * longest - (v * v).sum(axis=1)))
-    full = np.column_stack([v, rest])
-    out = []
-    for project, low, step in zip(plan["project"], plan["low"], plan["step"], strict=True):
-        cell = np.clip((full @ project - low) / step, 0, (1 << BITS) - 1)
-        out.append(hilbert_keys(cell.astype(np.int64), BITS))
-    return np.array(out)
+def _full(v: np.ndarray, longest: float, stretched: bool) -> np.ndarray:
+    """Vectors of length ``longest``, by one more component or, for queries, by stretching them: a
+    stretched query is nearest to its largest inner products, one that is not to its like."""
+    size = (v * v).sum(axis=1)
+    if stretched:
+        return np.column_stack([v * (longest / np.sqrt(size))[:, None], np.zeros(len(v))])
+    return np.column_stack([v, np.sqrt(np.maximum(0.0, longest * longest - size))])
+
+
+def curve_keys(v: np.ndarray, longest: float, plan: dict, stretched: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(CURVES, rows) keys, and how far from the middle of each curve's rows the vectors lie."""
+    full = _full(v, longest, stretched)
+    keys, far = [], []
+    for project, low, step, middle in zip(plan["project"], plan["low"], plan["step"], plan["middle"], strict=True):
+        at = full @ project
+        cell = np.clip((at - low) / step, 0, (1 << BITS) - 1)
+        keys.append(hilbert_keys(cell.astype(np.int64), BITS))
+        far.append((((at - middle) / step) ** 2).sum(axis=1))
+    return np.array(keys), np.array(far)
 
 
-def make_plan(sample: np.ndarray, longest: float, k: int, seed: int = 11) -> dict:
-    """Projections, shifts and window share, fitted on a bounded sample."""
+def make_plan(sample: np.ndarray, longest: float, seed: int = 11) -> dict:
+    """Projections and shifts, and each curve's sorted keys of a bounded sample."""
     g = np.random.default_rng(seed)
-    d = sample.shape[1] + 1
-    rest = np.sqrt(np.maximum(0.0, longest * longest - (sample * sample).sum(axis=1)))
-    full = np.column_stack([sample, rest])
-    plan: dict = {"project": [], "low": [], "step": [], "share": 1.0}
+    full = _full(sample, longest, False)
+    d = full.shape[1]
+    plan: dict = {"project": [], "low": [], "step": [], "middle": []}
     for _ in range(CURVES):
         project = np.linalg.qr(g.normal(size=(d, min(DIMS, d))))[0]
         at = full @ project
-        spread = np.maximum(at.max(axis=0) - at.min(axis=0), 1e-9)
+        spread = np.full(at.shape[1], max(float((at.max(axis=0) - at.min(axis=0)).max()), 1e-9))
         plan["project"].append(project)
         plan["low"].append(at.min(axis=0) - spread * g.random(project.shape[1]) * 0.25)  # the shift
         plan["step"].append(spread * 1.25 / (1 << BITS))
-    n = len(sample)
-    if n > 4 * k:
-        asked = np.arange(n)[:: max(1, n // 256)]
-        score = sample[asked] @ sample.T
-        score[np.arange(len(asked)), asked] = -np.inf
-        true = np.argpartition(-score, k, axis=1)[:, :k]
-        keys = curve_keys(sample, longest, plan)
-        rank = np.argsort(np.argsort(keys, axis=1, kind="stable"), axis=1)
-        gap = np.abs(rank[:, true] - rank[:, asked][:, :, None]).min(axis=0) / n
-        plan["share"] = next((s for s in SHARES if (gap <= s / 2).mean() >= AIM), 1.0)
+        plan["middle"].append(at.mean(axis=0))
+    plan["keys"] = np.sort(curve_keys(sample, longest, plan)[0], axis=1)
     return plan
 
 
+def fit_windows(plan: dict, asked: np.ndarray, true: np.ndarray, longest: float) -> tuple[int, float, bool]:
+    """(curves taken, share of all rows in the windows together, whether queries are stretched) with
+    the fewest comparisons that hold AIM of the true neighbours (queries, neighbours, components)."""
+    q, n, d = true.shape
+    place = lambda keys: np.array([np.searchsorted(s, k) / len(s) for s, k in zip(plan["keys"], keys, strict=True)])
+    at = place(curve_keys(true.reshape(q * n, d), longest, plan)[0]).reshape(CURVES, q, n)
+    ways = []
+    for stretched in (False, True):
+        keys, far = curve_keys(asked, longest, plan, stretched)
+        ways.append((stretched, place(keys), np.argsort(-far, axis=0, kind="stable")))
+    for share in SHARES[:-1]:
+        for taken in TAKEN:
+            half = share / taken / 2
+            for stretched, own, best in ways:
+                low = np.clip(own - half, 0, 1 - 2 * half)
+                inside = (at >= low[:, :, None]) & (at <= low[:, :, None] + 2 * half)
+                if np.take_along_axis(inside, best[:taken, :, None], axis=0).any(axis=0).mean() >= AIM:
+                    return taken, share, stretched
+    return 1, 1.0, False
+
+
 def _vectors(column: pd.Series) -> np.ndarray:
     return np.array([np.asarray(x, np.float64) for x in column]) if len(column) else np.empty((0, 0))
 
 
-def nearest(vectors: DataFrame, queries: F.Column, k: int = 20) -> DataFrame:
+def _true_neighbours(kept: DataFrame, few: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bounded number of sampled rows and their ``k`` nearest of all rows, by a full scan."""
+    asked = few.iloc[:: max(1, len(few) // FIT)].head(FIT)
+    ids, v = asked.uid.to_numpy(), _vectors(asked.embedding)
+    shared = kept.sparkSession.sparkContext.broadcast((ids, v))  # FIT vectors
+
+    def best(batches):
+        ids, v = shared.value
+        top: list[list[tuple]] = [[] for _ in ids]
+        for pdf in batches:
+            m, own = _vectors(pdf.embedding), pdf.uid.to_numpy()
+            score = v @ m.T
+            score[own[None, :] == ids[:, None]] = -np.inf
+            first = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            for i, row in enumerate(first):
+                top[i] = sorted(top[i] + [(-score[i, j], own[j], m[j]) for j in row if score[i, j] > -np.inf], key=lambda x: x[:2])[:k]
+        rows = [(i, -s, u, x.tolist()) for i, t in enumerate(top) for s, u, x in t]
+        yield pd.DataFrame(rows, columns=["asked", "score", "uid", "embedding"])
+
+    found = kept.select("uid", "embedding").mapInPandas(best, "asked int, score double, uid long, embedding array<double>")
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "uid")
+    got = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).orderBy("asked", "n").toPandas()  # FIT * k vectors
+    sizes = got.groupby("asked").size()
+    n = int(sizes.min()) if len(sizes) == len(asked) else 0
+    return v, _vectors(got[got.n <= n].embedding).reshape(len(asked), n, v.shape[1]) if n else np.empty((0, 0, v.shape[1]))
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row that ``queries`` picks."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id is not null and embedding is not null")
+    held = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(held).alias("embedding"), F.coalesce(queries, F.lit(False)).alias("query")).filter("vec_id is not null and embedding is not null")
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.filter(whole)
     length = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if length is None:
         return spark.createDataFrame([], schema)
-    rows = rows.filter(F.size("embedding") == length.d)
-    facts = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("longest"), F.count("*").alias("n")).first()
+    # rows get numbers of their own, so that repeated ids stay apart; written once, the numbers hold
+    rows = written(rows.filter(F.size("embedding") == length.d).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    copy = Window.partitionBy("embedding").orderBy("vec_id", "uid")
+    kept = written(rows.withColumn("_copy", F.row_number().over(copy)).filter(F.col("_copy") <= k + 1).select("uid", "vec_id", "embedding"), "kept")
+    square = lambda a, x: a + x.cast("double") * x.cast("double")
+    facts = kept.agg(F.max(F.aggregate("embedding", F.lit(0.0), square)).alias("longest"), F.count("*").alias("n")).first()
     longest, n = float(np.sqrt(facts.longest)), facts.n
-    few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
-    plan = make_plan(_vectors(few.embedding), longest, k)
-    shared = spark.sparkContext.broadcast(plan)
-
-    copy = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = rows.withColumn("_copy", F.row_number().over(copy)).filter(F.col("_copy") <= k + 1).drop("_copy").withColumn("query", F.lit(False))
-    both = kept.unionByName(rows.filter(queries).withColumn("query", F.lit(True)))
+    few = kept.orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(SAMPLE).toPandas()
+    plan = make_plan(_vectors(few.embedding), longest)
+    asked, true = _true_neighbours(kept, few, k)
+    taken, share, stretched = fit_windows(plan, asked, true, longest) if len(true) else (1, 1.0, False)
+    shared = spark.sparkContext.broadcast(plan)  # CURVES projections and CURVES * SAMPLE keys
 
     def keyed(batches):
         for pdf in batches:
-            keys = curve_keys(_vectors(pdf.embedding), longest, shared.value)
-            for c in range(CURVES):
-                yield pdf.assign(curve=c, key=keys[c])
+            for is_query in (False, True):
+                own = pdf[pdf["query"] == is_query]
+                if not len(own):
+                    continue
+                keys, far = curve_keys(_vectors(own.embedding), longest, shared.value, is_query and stretched)
+                use = np.argsort(np.argsort(-far, axis=0, kind="stable"), axis=0) < (taken if is_query else CURVES)
+                if taken == 1 and share == 1.0:
+                    use[1:], use[0] = False, True  # one window over one whole curve
+                for c in range(CURVES):
+                    if use[c].any():
+                        yield own[use[c]].assign(curve=c, key=keys[c][use[c]])
 
-    blocks = CURVES * max(BLOCKS, -(-n // BLOCK_ROWS))
-    placed = both.mapInPandas(keyed, "vec_id long, embedding array<double>, query boolean, curve int, key long")
-    placed = written(placed.repartitionByRange(blocks, "curve", "key", "vec_id").withColumn("block", F.spark_partition_id()), "curves")
+    def ranked(batches):
+        """Each row's block and the number of candidates before it there."""
+        block, before = TaskContext.get().partitionId(), {}
+        for pdf in batches:
+            place = np.empty(len(pdf), np.int64)
+            for c in pdf.curve.unique():
+                at = np.flatnonzero(pdf.curve.to_numpy() == c)
+                row = ~pdf["query"].to_numpy()[at]
+                place[at] = np.cumsum(row) - row + before.get(c, 0)
+                before[c] = before.get(c, 0) + int(row.sum())
+            yield pdf.assign(block=block, place=place)
 
-    # the key window: blocks within half a window of rows before and after the query's block
-    size = placed.filter("not query").groupBy("curve", "block").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("curve").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    edges = written(size.select("curve", "block", (F.sum("n").over(order) - F.col("n")).alias("low"), F.sum("n").over(order).alias("high")), "blocks")
-    half = plan["share"] * n / 2
-    own = placed.filter("query").select("curve", "block").distinct().join(edges, ["curve", "block"], "left")
-    near = own.join(edges.select("curve", F.col("block").alias("to"), F.col("low").alias("low2"), F.col("high").alias("high2")), "curve").filter((F.col("low2") < F.coalesce("high", F.lit(n)) + half) & (F.col("high2") > F.coalesce("low", F.lit(0)) - half)).select("curve", "block", "to")
+    both = kept.withColumn("query", F.lit(False)).unionByName(rows.filter("query").select("uid", "vec_id", "embedding", "query"))
+    fields = f"uid long, vec_id long, embedding {held}, query boolean, curve int, key long"
+    blocks = CURVES * max(BLOCKS, -(-n // BLOCK_ROWS))
+    dealt = both.mapInPandas(keyed, fields).repartitionByRange(blocks, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "query", "vec_id", "uid")
+    placed = written(dealt.mapInPandas(ranked, f"{fields}, block int, place long"), "curves")
 
-    asked = placed.filter("query").select("curve", "block", "vec_id", "embedding").join(near, ["curve", "block"]).select("curve", F.col("to").alias("block"), "vec_id", "embedding")
-    held = placed.filter("not query").select("curve", "block", "vec_id", "embedding")
+    # ranks: a block's first row comes after all rows of the curve's earlier blocks
+    size = placed.filter("not query").groupBy("curve", "block").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("curve").orderBy("block")
+    edges = written(placed.select("curve", "block").distinct().join(size, ["curve", "block"], "left").select("curve", "block", F.coalesce("size", F.lit(0)).alias("size")).withColumn("low", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")), "blocks")
+    width = max(1, int(np.ceil(share * n / taken)))
+    rank = F.col("low") + F.col("place")
+    start = F.greatest(F.lit(0), F.least(rank - width // 2, F.lit(n - width)))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / BLOCK_ROWS), F.floor(b / BLOCK_ROWS))).alias("cell")
+    windows = placed.filter("query").join(edges, ["curve", "block"]).select("curve", "uid", "vec_id", "embedding", start.alias("first"), (start + width).alias("last"))
+    reach = edges.filter("size > 0").select("curve", "block", "size", "low", cells(F.col("low"), F.col("low") + F.col("size") - 1))
+    # a window meets the blocks of the cells of ranks it covers: an equality join; each block once
+    met = windows.select("*", cells(F.col("first"), F.col("last") - 1)).join(reach, ["curve", "cell"])
+    met = met.filter((F.col("low") < F.col("last")) & (F.col("low") + F.col("size") > F.col("first")) & (F.col("cell") == F.floor(F.greatest("first", "low") / BLOCK_ROWS)))
+    met = met.select("curve", "block", "uid", "vec_id", "embedding", F.greatest(F.lit(0), F.col("first") - F.col("low")).alias("a"), F.least("size", F.col("last") - F.col("low")).alias("b"))
+    groups = F.ceil(F.col("asked") / QUERY_ROWS).cast("int")
+    crowd = written(met.groupBy("curve", "block").agg(F.count("*").alias("asked")).select("curve", "block", groups.alias("groups")), "crowds")
+    met = met.join(crowd, ["curve", "block"]).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("groups")).cast("int")).drop("groups")
+    held_rows = placed.filter("not query").select("curve", "block", "uid", "vec_id", "embedding", "place").join(crowd, ["curve", "block"]).select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).drop("groups")
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            c = c.sort_values("vec_id", kind="stable")
-            ids, m = c.vec_id.to_numpy(), _vectors(c.embedding)
-            at, v = q.vec_id.to_numpy(), _vectors(q.embedding)
-            for i in range(0, len(q), 512):
-                score = v[i : i + 512] @ m.T
-                score[ids[None, :] == at[i : i + 512, None]] = -np.inf
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"query_id": np.repeat(at[i : i + 512], top.shape[1]), "vec_id": ids[top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()}))
-        out = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            c, q = c.sort_values("place", kind="stable"), q.sort_values(["a", "b"], kind="stable")
+            own, ids, m = c.uid.to_numpy(), c.vec_id.to_numpy(), _vectors(c.embedding)
+            asked, v, a, b = q.uid.to_numpy(), _vectors(q.embedding), q.a.to_numpy(), q.b.to_numpy()
+            query_ids = q.vec_id.to_numpy()
+            for i in range(0, len(q), 32):
+                lo, hi = int(a[i : i + 32].min()), int(b[i : i + 32].max())
+                score = v[i : i + 32] @ m[lo:hi].T
+                at = np.arange(lo, hi)
+                out_of = (at[None, :] < a[i : i + 32, None]) | (at[None, :] >= b[i : i + 32, None])
+                score[out_of | (own[None, lo:hi] == asked[i : i + 32, None])] = -np.inf
+                top = np.array([np.lexsort((own[lo:hi], ids[lo:hi], -s))[:k] for s in score])
+                n_top = top.shape[1]
+                out.append(pd.DataFrame({"uid": np.repeat(asked[i : i + 32], n_top), "query_id": np.repeat(query_ids[i : i + 32], n_top), "other": own[lo:hi][top].ravel(), "vec_id": ids[lo:hi][top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()}))
+        out = pd.concat(out) if out else pd.DataFrame({"uid": [], "query_id": [], "other": [], "vec_id": [], "score": []}).astype({"uid": "int64", "query_id": "int64", "other": "int64", "vec_id": "int64"})
         return out[out.score > -np.inf]
 
-    asked, held = asked.toDF(*asked.columns), held.toDF(*held.columns)
-    found = asked.groupBy("curve", "block").cogroup(held.groupBy("curve", "block")).applyInPandas(best, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met, held_rows = met.toDF(*met.columns), held_rows.toDF(*held_rows.columns)
+    keys = ["curve", "block", "part"]
+    found = met.groupBy(*keys).cogroup(held_rows.groupBy(*keys)).applyInPandas(best, "uid long, query_id long, other long, vec_id long, score double")
+    found = found.groupBy("uid", "query_id", "other", "vec_id").agg(F.max("score").alias("score"))
+    nearest_first = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "other")
+    return found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

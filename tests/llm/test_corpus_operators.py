@@ -263,6 +263,35 @@ def test_recall_and_exact_scores(spark):
     assert neighbours.nearest(d.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_clustered_vectors_need_few_comparisons():
+    g = np.random.default_rng(6)
+    centre = g.normal(size=(60, 32))
+    x = centre[g.integers(0, 60, 4000)] + 0.15 * g.normal(size=(4000, 32))
+    longest = float(np.sqrt((x * x).sum(axis=1).max()))
+    plan = neighbours.make_plan(x, longest)
+    asked = x[:: 4000 // 100][:100]
+    score = asked @ x.T
+    score[np.arange(100), np.arange(0, 4000, 40)] = -np.inf
+    true = x[np.argsort(-score, axis=1)[:, :20]]
+    assert neighbours.fit_windows(plan, asked, true, longest)[1] <= 0.25
+    noise = g.normal(size=(4000, 32))
+    assert neighbours.fit_windows(plan, asked, noise[g.integers(0, 4000, (100, 20))], longest)[1] <= 1.0
+
+
+def test_repeated_ids_are_separate_rows(spark):
+    g = np.random.default_rng(7)
+    x = g.normal(size=(60, 8)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[3].tolist()), (20, x[4].tolist())]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.nearest(d, F.col("vec_id") == 20, 5).collect())
+    want = collections.Counter()
+    for i, (q, v) in enumerate(rows):
+        if q == 20:
+            near = sorted((-round(float(np.dot(v, w)), 9), j) for k, (j, w) in enumerate(rows) if k != i)[:5]
+            want.update((20, n + 1, j, -s) for n, (s, j) in enumerate(near))
+    assert got == want
+
+
 # --- language model
 
 
