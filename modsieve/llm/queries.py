@@ -26,7 +26,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replaced(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    # a demonstration key; a real run sets its own
+    key = spark.conf.get("modsieve.surrogates.key", "demonstration")
+    return surrogates.replaced(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,7 +265,7 @@ def test_pages_table(spark):
 def test_surrogates_keep_kind_format_and_identity(spark):
     text = "mail Ann.Lee3@mail0.example.com or ann.lee3@MAIL0.example.com, +1 (676) 555-8919 / +1 676 555 8919, card 4539578763621486 ip 10.20.30.40, Mrs. Anna Schmidt and Mr John Smith, Herr Müller, DE89 3704 0044 0532 0130 00. " + surrogates.MARK + surrogates.ESCAPE + "b"
     docs = spark.createDataFrame([(1, text, "s", 0), (2, "nothing here 12", "s", 0), (3, None, "s", 0), (4, "", "s", 0), (None, "x@y.org", "s", 0), (5, "b 10.20.30.40", "s", 0), (5, "b 10.20.30.40", "s", 0)], DOCS).withColumn("entities", F.lit(1))
-    rows = surrogates.replaced(docs).collect()
+    rows = surrogates.replaced(docs, "k").collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == 7 and got[2].text == "nothing here 12" and got[3].text is None and got[4].text == ""
     e = {x.original: (x.kind, x.surrogate) for x in got[1].entities}
@@ -289,7 +289,7 @@ def test_surrogates_keep_kind_format_and_identity(spark):
     assert got[1].text.endswith(surrogates.MARK + surrogates.ESCAPE + "b")
     other = {r.doc_id: r.text for r in surrogates.replaced(docs, key="another").collect()}
     assert other[5] != got[5].text
-    assert surrogates.replaced(docs.limit(0)).count() == 0
+    assert surrogates.replaced(docs.limit(0), "k").count() == 0
 
 
 def test_surrogates_never_meet(spark):
@@ -297,10 +297,38 @@ def test_surrogates_never_meet(spark):
     phones = {f"+1 ({g.randint(200, 999)}) 555-{g.randint(0, 9999):04d}" for _ in range(3000)}
     ips = {".".join(str(g.randint(0, 255)) for _ in range(4)) for _ in range(3000)}
     docs = spark.createDataFrame([(i, f"call {x} now", "s", 0) for i, x in enumerate([*phones, *ips])], DOCS).repartition(4)
-    texts = [r.text for r in surrogates.replaced(docs).collect()]
+    texts = [r.text for r in surrogates.replaced(docs, "k").collect()]
     assert len(set(texts)) == len(phones) + len(ips)
 
 
+def test_names_of_all_kinds_are_replaced_everywhere(spark):
+    texts = [
+        "Mrs Muñoz spoke. Muñoz left. Anna Muñoz called. MUÑOZ again, Muñoz's car.", "Mr Ολ and Herr Größe; Größe", "Ms Antonia Becker met Mr Ludwig van Beethoven. Beethoven smiled at brown becker.",
+        "Госпожа Иванова, Иванова", "DE89 3704 0044 0532 0130 00 or DE88370400440532013000", "word " * 20000 + "Mr Smith " + "and " * 20000 + "Smith",
+    ]
+    docs = spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in surrogates.replaced(docs, "k").collect()}
+    for i, gone in enumerate((("Muñoz", "MUÑOZ", "Anna"), ("Ολ", "Größe", "ö", "ß"), ("Antonia", "Becker", "Ludwig", "Beethoven"), ("Иванова",), ("0532",), ("Smith",))):
+        assert not [x for x in gone if x in got[i].text], got[i].text[:200]
+    first = got[0].text.replace(",", "").replace(".", "").split()
+    assert first[1] == first[3] == first[6] == first[10].removesuffix("'s") and first[8] == first[1].upper()
+    assert first[5].lower() in surrogates.NAMES["f"] and " van " in got[2].text and got[2].text.endswith("brown becker.")
+    assert got[2].text.split()[1].endswith("a") and got[3].text.split()[1].endswith("а,")
+    number = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    one, other = (e.surrogate for e in got[4].entities)
+    assert number(one.replace(" ", "")) == 1 and number(other) != 1 and [len(x) for x in one.split(" ")] == [4, 4, 4, 4, 4, 2]
+    assert one.replace(" ", "")[4:] == other[4:] and len(got[5].text) == len(texts[5])
+
+
+def test_many_names_never_meet(spark):
+    v, c = "aeiou", "bcdfghjklmnpqrstvwxyz"
+    names = {(a + b + d + e).title() for a in v for b in c for d in c for e in v} | {n.title() for n in surrogates.LISTED}
+    docs = spark.createDataFrame([(i, f"Mrs {n}", "s", 0) for i, n in enumerate(sorted(names))], DOCS).repartition(8)
+    rows = surrogates.replaced(docs, "k").collect()
+    assert len({r.text for r in rows}) == len(names) > 11000
+    assert all(r.entities[0].original != r.entities[0].surrogate for r in rows)
+
+
 # --- mixing
 
 
