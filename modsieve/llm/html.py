@@ -2,19 +2,23 @@
 
 Standard-library parser events are turned into lines (one per block). Each line has a
 text-to-tag ratio; the ratios, on a log scale, are smoothed with a Gaussian and split by
-two-means clustering. The lines of the high cluster say which element holds the article; all
-blocks of that element count, short ones too, except blocks that elements or class names mark as
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
-
-Defined cases: null or empty HTML gives an empty text; a page cut off in the middle gives what
-came before the cut; unclosed elements end where their parents end; HTML without an article
-element uses the smallest element that holds most of the high cluster.
+two-means clustering. The lines of the high cluster say which element holds the article: the
+innermost article or main element with most of their text or, if none has it, the innermost block that can hold paragraphs;
+all its blocks count, short ones too, except blocks that elements, class names or attributes mark
+as menus, headers, footers, sidebars, notices, adverts, forms, reader comments or hidden. Where no
+article or main element holds the text, blocks before and after it that are mostly links go too.
+
+Defined cases: null or empty HTML gives an empty text; a null page_id or url stays null; a page cut
+off in the middle gives what came before the cut; unclosed elements end where their parents end;
+very long and very deep pages are read whole, in time proportional to their length; repeated rows
+are read one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,6 +31,7 @@ BLOCK = frozenset("address article aside blockquote body dd details dialog div d
 NOT_TEXT = frozenset("head script style noscript template iframe svg object canvas audio video math".split())
 NOT_ARTICLE = frozenset("nav aside footer form menu dialog button select textarea".split())
 PARTS = frozenset("article main".split())
+HOLDERS = frozenset("article body div main section table tbody td".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments respond replies disqus cookie cookies consent notice notices alert newsletter subscribe subscription popup modal overlay breadcrumb breadcrumbs menu nav navbar navigation footer share sharing social related recommended widget pagination pager login signup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SIGMA = 1.0
@@ -35,37 +40,48 @@ HOLDS = 0.7
 
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-2, 3)]
 _NAMES = re.compile(r"[^a-z0-9]+")
-_CUT = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
+#: What a tag begins with, or a page that ends in the middle of one.
+_TAG = re.compile(r"<(?:[a-zA-Z/!?]|\Z)")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class _Blocks(HTMLParser):
-    """Collects lines: (text, tags, is heading, left out, path of element numbers)."""
+    """Collects lines: (text, tags, code points of links, left out, element number).
+
+    Elements are numbered as they open; ``last[n]`` is the largest number inside element n, so a
+    line is inside n if its own element's number lies from n to last[n]. How many elements of a
+    name are open is counted, so that end tags without a start cost nothing, however deep the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, bool]] = []  # element, left out
-        self.path: list[int] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.stack: list[tuple[str, bool, bool, int]] = []  # element, left out, inside the article, number
+        self.open: Counter[str] = Counter()
         self.names: list[str] = []
+        self.parent: list[int] = []
+        self.last: list[int] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.silent = 0
+        self.tags = self.linked = self.silent = 0
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                heading = any(t[0] == "h" and t[1:].isdigit() for t, _ in self.stack[-3:])
-                self.lines.append((text, self.tags, heading, bool(self.stack) and self.stack[-1][1], tuple(self.path)))
+                top = self.stack[-1] if self.stack else ("", False, False, -1)
+                self.lines.append((text, self.tags, self.linked, top[1], top[3]))
             self.text = []
-            self.tags = 0
+            self.tags = self.linked = 0
 
     def pop_to(self, depth: int) -> None:
-        for tag, _ in self.stack[depth:]:
+        for tag, _, _, n in self.stack[depth:]:
             self.silent -= tag in NOT_TEXT
-        del self.stack[depth:], self.path[depth:]
+            self.open[tag] -= 1
+            self.last[n] = len(self.names) - 1
+        del self.stack[depth:]
 
     def close_open(self, tag: str, stop: frozenset[str]) -> None:
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self.pop_to(i)
@@ -89,18 +105,21 @@ class _Blocks(HTMLParser):
             return
         if tag == "body":
             self.close_open("head", frozenset())
-        out = bool(self.stack) and self.stack[-1][1]
+        _, out, inside, parent = self.stack[-1] if self.stack else ("", False, False, -1)
         if not out:
-            inside = any(t in PARTS for t, _ in self.stack)
             out = tag in NOT_ARTICLE or tag == "header" and not inside
             for k, v in attrs:
-                if v and k in ("class", "id", "role", "hidden") and tag not in ("html", "body", "article", "main"):
+                if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _UNSEEN.search(v.lower()):
+                    out = True
+                if v and k in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
                     words = _NAMES.split(v.lower())
                     out = out or (v.lower() in ROLES if k == "role" else any(w in MARKS for w in words) or not inside and "header" in words)
         self.silent += tag in NOT_TEXT
-        self.stack.append((tag, out))
-        self.path.append(len(self.names))
+        self.open[tag] += 1
+        self.stack.append((tag, out, inside or tag in PARTS, len(self.names)))
         self.names.append(tag)
+        self.parent.append(parent)
+        self.last.append(-1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -111,14 +130,14 @@ class _Blocks(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.pop_to(i)
-                break
+        if self.open[tag]:
+            self.close_open(tag, frozenset())
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.text.append(data)
+            if self.open["a"]:
+                self.linked += len(data)
 
 
 def two_means(values: list[float]) -> float:
@@ -147,15 +166,21 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
+def _uncut(html: str) -> str:
+    """A page without the tag that its end cuts off, however long that tag is."""
+    at = html.find("<", html.rfind(">") + 1)
+    return html[:at] if at >= 0 and _TAG.match(html, at) else html
+
+
 def extract(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
     parser = _Blocks()
-    cut = _CUT.search(html[-4096:])
-    parser.feed(html[: len(html) - len(cut[0])] if cut else html)
+    parser.feed(_uncut(html))
     parser.close()
     parser.flush()
+    parser.pop_to(0)
     lines = parser.lines
     if not lines:
         return ""
@@ -165,22 +190,25 @@ def extract(html: str | None) -> str:
     if not usable:
         return ""
     content = [i for i in usable if ratio[i] > threshold] or usable
-    mass: dict[int, int] = {}
+    mass = [0] * len(parser.names)
     for i in content:
-        for node in lines[i][4]:
-            mass[node] = mass.get(node, 0) + len(lines[i][0])
+        if lines[i][4] >= 0:
+            mass[lines[i][4]] += len(lines[i][0])
+    for n in range(len(mass) - 1, -1, -1):  # an element's text counts for its parent, which has a smaller number
+        if parser.parent[n] >= 0:
+            mass[parser.parent[n]] += mass[n]
     total = sum(len(lines[i][0]) for i in content)
-    parts = [n for n in {n for i in usable for n in lines[i][4]} if parser.names[n] in PARTS]
-    held = [n for n in parts if mass.get(n, 0) >= HOLDS * total] or (parts if len(parts) == 1 else [])
-    if held:
-        chosen = max(held)  # numbers grow inwards: the innermost
-        return " ".join(lines[i][0] for i in usable if chosen in lines[i][4])
-    chosen = max((n for n, m in mass.items() if m >= HOLDS * total and parser.names[n] in BLOCK), default=-1)
-    inside = [i for i in usable if chosen < 0 or chosen in lines[i][4]]
-    first, last = min(content), max(i for i in content)
-    while first - 1 in inside and lines[first - 1][2]:
-        first -= 1
-    return " ".join(lines[i][0] for i in inside if first <= i <= last)
+    holds = [n for n, m in enumerate(mass) if m >= HOLDS * total]
+    chosen = max((n for n in holds if parser.names[n] in PARTS), default=-1)  # numbers grow inwards: the innermost
+    article = chosen >= 0
+    if not article:
+        chosen = max((n for n in holds if parser.names[n] in HOLDERS), default=-1)
+    inside = [i for i in usable if chosen < 0 or chosen <= lines[i][4] <= parser.last[chosen]]
+    if article:
+        return " ".join(lines[i][0] for i in inside)
+    # without an article element, blocks before and after the content count unless they are links
+    first, last = min(content), max(content)
+    return " ".join(lines[i][0] for i in inside if first <= i <= last or 2 * lines[i][2] < len(lines[i][0]))
 
 
 def _pages(batches):

@@ -246,6 +246,10 @@ LONG = "This sentence is long enough to be part of the main text of a page. " *
         (page(f"<div><a>x</a> <a>y</a></div><div><h2>Title</h2><p>{LONG}</p><p>short</p><p>{LONG}</p></div><div>(c)</div>"), f"Title {LONG.strip()} short {LONG.strip()}"),
         (page(f"<article><p>{LONG}</p><aside>no</aside><p>co<b>de</b>r&eacute;</p></article>"), f"{LONG.strip()} coderé"),
         (f"<article><p>{LONG}</p><p>cut <a hre", f"{LONG.strip()} cut"),
+        (f"<article><p>{LONG}</p><img src='data:{'A' * 6000}", LONG.strip()),
+        (f"<body><div><a href=x>Home</a></div><p>Start.</p><p>{LONG}</p><p hidden>unseen words</p><p style='display: none'>no</p><p>End.</p></body>", f"Start. {LONG.strip()} End."),
+        (f"<body><article class='card'>teaser</article><div><p>{LONG}</p><p>{LONG}</p><p>End.</p></div></body>", f"{LONG.strip()} {LONG.strip()} End."),
+        ("<article>" + "<div>" * 30000 + f"<p>{LONG}</p>" + "</span>" * 30000, LONG.strip()),
     ],
 )
 def test_main_text(raw, want):
