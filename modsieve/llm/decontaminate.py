@@ -9,10 +9,16 @@ The training side sends only hashes that pass a Bloom filter of the benchmark's
 filter has a fixed number of bits (2 MB), so its size does not grow with either table; what
 passes it wrongly finds no partner in the join. Hits are rows, never collected.
 
-Defined cases: a null or empty text has no words and matches nothing; items of fewer than
-``MIN_WORDS`` words are not searched; items of fewer than ``FULL`` words get masks of their length
-that leave out every set of places the allowed substitutions can fall on; repeated document rows give repeated hits and one result row for each (doc_id, item_id); a null
-id stays a null id; other columns are ignored.
+Hits are joined under the hash and a part of ``PARTS`` that the document's region decides, so a
+hash or an item that a large share of the documents holds is dealt to several tasks.
+
+Defined cases: a null or empty text has no words and matches nothing; an item of fewer than
+``MIN_WORDS`` words matches documents that have exactly its words and no others; items of fewer
+than ``FULL`` words get masks of their length that leave out every set of places the allowed
+substitutions can fall on; very long texts are searched whole; of overlaps of a pair the one with
+most equal words, then fewest words, then the first is reported; repeated document rows and items
+give one result row for each (doc_id, item_id); a null id stays a null id; empty tables give an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ from .storage import written
 
 MASKS = ("111001011", "1101000111", "10110010011")
 MIN_WORDS = 5
+PARTS = 8
 #: Matching words that an overlap needs (or four words in five of the item, if that is less), and
 #: the cost of one substitution in matches: a sum of 0 means that four words in five agree.
 MIN_OVERLAP = 13
@@ -80,7 +87,7 @@ def _item_rows(batches):
         for i, item in enumerate(ids):
             own = h[wo[i] : wo[i + 1]]
             n = len(own)
-            if n < MIN_WORDS:
+            if not n:
                 continue
             masks = MASKS if n >= FULL else short_masks(n)
             rows = [_seed_hashes(own, np.array([0, n]), m, _tag(m)) for m in masks]
@@ -88,7 +95,7 @@ def _item_rows(batches):
             pos = np.concatenate([x[1] for x in rows])
             row = uuid.uuid4().int >> 65
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row] * len(key), pa.int64()), pa.array([item] * len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array([own.astype(np.uint32).tobytes()] + [None] * (len(key) - 1), pa.binary()), pa.array(np.full(len(key), n, np.int32))],
+                [pa.array([row] * len(key), pa.int64()), pa.array([item] * len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array([W.folded(raw[off[i] : off[i + 1]])] + [None] * (len(key) - 1), pa.binary()), pa.array(np.full(len(key), n, np.int32))],
                 names=["item", "item_id", "hash", "item_pos", "item_words", "item_n"],
             )
 
@@ -101,12 +108,15 @@ def _doc_regions(batches, bloom: np.ndarray, masks: tuple[str, ...], reach: int)
         ids = b.column(0)
         for i0, i1 in W.groups(off_all):
             raw, off = raw_all[off_all[i0] : off_all[i1]], off_all[i0 : i1 + 1] - off_all[i0]
-            h, wo = W.hashes(raw, off)
+            h, wo, begin, end = W.placed(raw, off)
             if not len(h):
                 continue
             found_key, found_at = [], []
             for m in masks:
                 key, at = _seed_hashes(h, wo, m, _tag(m))
+                if len(m) < MIN_WORDS:  # such an item is a whole document or nothing
+                    whole = np.diff(wo)[np.searchsorted(wo, at, side="right") - 1] == len(m)
+                    key, at = key[whole], at[whole]
                 low = key & bits
                 hit = np.flatnonzero(bloom[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
                 found_key.append(key[hit])
@@ -128,26 +138,15 @@ def _doc_regions(batches, bloom: np.ndarray, masks: tuple[str, ...], reach: int)
                 doc.append(ids[i0 + r].as_py())
                 uid.append(uuid.uuid4().int >> 65)
                 start.append(lo - int(wo[r]))
-                words.append(h[lo:hi].astype(np.uint32).tobytes())
+                words.append(W.folded(raw[begin[lo] : end[hi - 1]]))
                 hashes.append(key[f : l + 1].view(np.int64))
                 places.append((at[f : l + 1] - lo).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(uid, pa.int64()), pa.array(start, pa.int64()), pa.array(words, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-                names=["doc_id", "region", "start", "words", "hashes", "places"],
+                [pa.array(doc, pa.string()), pa.array(uid, pa.int64()), pa.array(start, pa.int64()), pa.array(words, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+                names=["doc", "region", "start", "words", "hashes", "places"],
             )
 
 
-def _best_segment(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, length and matches of the segment with the largest sum of matches less substitutions."""
-    gain = np.where(equal, 1, -SUBSTITUTION)
-    total = np.concatenate([[0], np.cumsum(gain)])
-    low = np.minimum.accumulate(total)
-    best = total - low
-    end = int(np.argmax(best))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end - start, int(equal[start:end].sum())
-
-
 def _longest_overlap(equal: np.ndarray) -> tuple[int, int, int]:
     """Start, length and matches of the segment with the most matches of those in which four words in five agree."""
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -SUBSTITUTION))])
@@ -163,25 +162,34 @@ def _longest_overlap(equal: np.ndarray) -> tuple[int, int, int]:
 
 
 def _verify(batches):
+    known: tuple[bytes, list[bytes]] = (b"", [])
     for pdf in batches:
         out = []
-        for doc, item, start, words, item_words, diagonal in zip(pdf.doc_id, pdf.item_id, pdf.start, pdf.words, pdf.item_words, pdf.diagonal, strict=True):
-            d, t = np.frombuffer(words, np.uint32), np.frombuffer(item_words, np.uint32)
+        for doc, item, start, words, item_words, diagonal in zip(pdf.doc, pdf.item_id, pdf.start, pdf.words, pdf.item_words, pdf.diagonal, strict=True):
+            if words is not known[0]:
+                known = (words, words.split())
+            d, t = known[1], item_words.split()
             lo, hi = max(0, -diagonal), min(len(t), len(d) - diagonal)
-            if hi <= lo:
+            if hi <= lo or len(t) < MIN_WORDS and (start, len(d)) != (0, len(t)):
                 continue
-            s, n, same = _longest_overlap(d[lo + diagonal : hi + diagonal] == t[lo:hi])
+            s, n, same = _longest_overlap(np.array([x == y for x, y in zip(d[lo + diagonal : hi + diagonal], t[lo:hi], strict=True)]))
             if same >= needed(len(t)):
                 out.append((doc, item, int(start + diagonal + lo + s), lo + s, n, same))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc", "item_id", "doc_start", "item_start", "n_words", "n_same"]).astype({"item_id": "Int64"})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and test item that overlap: (doc_id, item_id, doc_start,
     item_start, n_words, n_same), positions and lengths in words, the best overlap of each pair."""
+    found = _overlaps(docs.select(F.col("doc_id").cast("long").cast("string").alias("doc"), F.col("text").cast("string").alias("text")), benchmark)
+    return found.select(F.col("doc").cast("long").alias("doc_id"), "item_id", "doc_start", "item_start", "n_words", "n_same")
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contaminated`` for documents (doc, text) named by any text."""
     spark = docs.sparkSession
     schema = "item long, item_id long, hash long, item_pos int, item_words binary, item_n int"
-    items = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_rows, schema), "seeds")
+    items = written(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_item_rows, schema), "seeds")
     # a fixed number of bits: at most 2**(BLOOM_BITS - 5) rows, whatever the benchmark's size
     low = F.col("hash").bitwiseAND((1 << BLOOM_BITS) - 1)
     bits = items.select(F.shiftright(low, 5).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(31).cast("int")).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()
@@ -195,24 +203,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def regions_of(batches):
         yield from _doc_regions(batches, bloom.value, masks, reach)
 
-    regions = written(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(regions_of, "doc_id long, region long, start long, words binary, hashes array<long>, places array<int>"),
-        "regions",
-    )
-    hits = regions.select("region", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("region", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    pairs = hits.join(items.select("item", "hash", "item_pos"), "hash").select("region", "item", (F.col("place") - F.col("item_pos")).alias("diagonal")).distinct()
+    regions = written(docs.mapInArrow(regions_of, "doc string, region long, start long, words binary, hashes array<long>, places array<int>"), "regions")
+    part = F.pmod(F.xxhash64("region"), F.lit(PARTS)).cast("int").alias("part")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    hits = regions.select("region", part, F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("region", "part", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
+    pairs = hits.join(items.select("item", "hash", "item_pos", parts), ["hash", "part"]).select("region", "part", "item", (F.col("place") - F.col("item_pos")).alias("diagonal")).distinct()
     # rows of the benchmark meet by a key of their own, so null and repeated ids do no harm
-    texts = items.filter("item_words is not null").select("item", "item_id", "item_words")
-    aligned = pairs.join(regions.select("region", "doc_id", "start", "words"), "region").join(texts, "item").select("doc_id", "item_id", "start", "words", "item_words", "diagonal")
-    checked = aligned.mapInPandas(_verify, "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_same long")
-    return checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))).alias("b")).select(
-        "doc_id", "item_id", (-F.col("b.col3")).alias("doc_start"), (-F.col("b.col4")).alias("item_start"), (-F.col("b.col2")).alias("n_words"), F.col("b.n_same").alias("n_same")
+    texts = items.filter("item_words is not null").select("item", "item_id", "item_words", parts)
+    aligned = pairs.join(regions.select("region", "doc", "start", "words"), "region").join(texts, ["item", "part"]).select("doc", "item_id", "start", "words", "item_words", "diagonal")
+    checked = aligned.mapInPandas(_verify, "doc string, item_id long, doc_start long, item_start long, n_words long, n_same long")
+    return checked.groupBy("doc", "item_id").agg(F.max(F.struct("n_same", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))).alias("b")).select(
+        "doc", "item_id", (-F.col("b.col3")).alias("doc_start"), (-F.col("b.col4")).alias("item_start"), (-F.col("b.col2")).alias("n_words"), F.col("b.n_same").alias("n_same")
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that overlap with no test item. Rows are matched by a
-    hash of doc_id and text, so null and repeated ids do no harm."""
-    key = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), docs["text"].cast("string"))
-    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
+    """The rows of ``docs``, all columns, that overlap with no test item. Rows are matched by doc_id
+    and the SHA-256 of the text, so null and repeated ids do no harm."""
+    text = docs["text"].cast("string")
+    key = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(F.sha2(text, 256), F.lit("null")))
+    found = _overlaps(docs.select(key.alias("doc"), text.alias("text")), benchmark).select(F.col("doc").alias("_key")).distinct()
     return docs.join(found, key == F.col("_key"), "left_anti")

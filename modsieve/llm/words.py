@@ -96,12 +96,24 @@ def hashes(raw: np.ndarray, offsets: np.ndarray, words: str = "alnum") -> tuple[
     ``words``: "alnum" (letters, digits, non-ASCII; case folded in ASCII and Latin-1) or
     "space" (what lies between ASCII white space; A-Z lower-cased).
     """
+    return placed(raw, offsets, words)[:2]
+
+
+def folded(raw: np.ndarray) -> bytes:
+    """Bytes with the words of "alnum" case-folded and spaces in place of other bytes."""
+    out = _fold_latin(_ALNUM[raw])
+    out[out == 0] = 0x20
+    return out.tobytes()
+
+
+def placed(raw: np.ndarray, offsets: np.ndarray, words: str = "alnum") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``hashes``, and the first byte of every word and the byte after its last."""
     is_word = _ALNUM_WORD if words == "alnum" else _SPACE_WORD
     fold = _ALNUM if words == "alnum" else _SPACE
     n = len(raw)
     if not n:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    out, at = [], []
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    out, at, to = [], [], []
     i = 0
     starts_of_rows = offsets[:-1][offsets[:-1] < offsets[1:]]
     while i < n:
@@ -139,10 +151,12 @@ def hashes(raw: np.ndarray, offsets: np.ndarray, words: str = "alnum") -> tuple[
             np.cumsum(_VALUE[folded] * up[: len(part)], out=total[1:])
             out.append(mix((total[end] - total[start]) * down[start]))
             at.append(start + i)
+            to.append(end + i)
         i = j
     if not out:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(out), np.searchsorted(np.concatenate(at), offsets).astype(np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    start = np.concatenate(at)
+    return np.concatenate(out), np.searchsorted(start, offsets).astype(np.int64), start, np.concatenate(to)
 
 
 def shingles(h: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -48,18 +48,6 @@ def test_empty_tables_give_nothing(spark, which):
     assert decontaminate.contaminated(d.limit(0) if which == "docs" else d, b.limit(0) if which == "items" else b).count() == 0
 
 
-def test_best_segment_is_the_largest_sum():
-    import numpy as np
-
-    g = np.random.default_rng(1)
-    for _ in range(200):
-        e = g.random(g.integers(1, 25)) < 0.8
-        s, n, same = decontaminate._best_segment(e)
-        value = lambda a, b: sum(1 if x else -decontaminate.SUBSTITUTION for x in e[a:b])
-        assert value(s, s + n) == max([0, *(value(a, b) for a in range(len(e)) for b in range(a + 1, len(e) + 1))])
-        assert same == e[s : s + n].sum()
-
-
 def test_longest_overlap_is_brute_force():
     import numpy as np
 
@@ -99,6 +87,57 @@ def test_substitutions_near_the_ends_and_in_short_items_are_found(spark):
     assert got == sorted((n, str(item)) for n, (item, _) in enumerate(docs))
 
 
+def test_overlaps_equal_brute_force(spark):
+    g = random.Random(41)
+    plain = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = [" ".join(words(n, 700 + n)) for n in (1, 2, 4, 5, 7, 10, 13, 15, 16, 17, 24, 40, 90)] + [None, "", "..."]
+    rows = [(1000 + k, t) for k, t in enumerate(items)]
+    for k in range(220):
+        w = words(g.randint(0, 60), 5000 + k)
+        for _ in range(g.randint(0, 2)):
+            t = plain(g.choice(items))
+            a = g.randint(0, max(0, len(t) - 20)) if g.random() < 0.3 else 0
+            piece = [x if g.random() > 0.06 else "zz" for x in t[a:]]
+            at = g.randint(0, len(w))
+            w[at:at] = piece
+        rows.append((k, g.choice([" ", ", ", "\n"]).join(w).title()))
+    rows += [(7, rows[-1][1]), (None, rows[-2][1]), (500, " ".join(words(20000, 9)) + " " + items[10])]
+
+    def fits(d, t, n):  # the most equal words on a diagonal in a stretch where four in five agree
+        best = 0
+        for diagonal in range(1 - n, len(d)):
+            equal = [d[i + diagonal] == t[i] for i in range(max(0, -diagonal), min(n, len(d) - diagonal))]
+            if sum(equal) < decontaminate.needed(n):
+                continue
+            for a in range(len(equal)):
+                same = 0
+                for b in range(a, len(equal)):
+                    same += equal[b]
+                    if 5 * same >= 4 * (b + 1 - a):
+                        best = max(best, same)
+        return best
+
+    want = {}
+    for i, text in rows:
+        d = plain(text)
+        for j, item in enumerate(items):
+            t = plain(item)
+            if not t or len(t) < 5 and d != t or len(d) > 10000 and j != 10:
+                continue
+            same = len(t) if len(d) > 10000 else fits(d, t, len(t))
+            if same >= decontaminate.needed(len(t)):
+                want[i, j] = max(same, want.get((i, j), 0))
+    d = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], DOCS).repartition(3)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_same for r in decontaminate.contaminated(d, b).collect()}
+    assert set(got) <= set(want) and all(got[k] <= want[k] for k in got)
+    lost = [k for k in want if k not in got]
+    # every mask has at least eleven places: a few overlaps with a substitution in each of their stretches are lost
+    assert len(want) > 100 and len(lost) <= 0.02 * len(want) and all(len(plain(items[j])) >= decontaminate.FULL for _, j in lost)
+    assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+    assert {(1000, 0), (1001, 1), (1002, 2)} <= set(got) and (500, 10) in got
+
+
 # --- secrets
 
 
