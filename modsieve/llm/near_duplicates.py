@@ -4,7 +4,8 @@ Shingles are five words; a shingle's weight is its count in the text times the m
 document frequency of its words. Document frequencies cover all documents, in a table of a fixed
 number of hashed cells. Each of K sampling functions picks one (shingle, level) of a document so
 that two documents agree with a probability equal to their weighted Jaccard similarity; bands of
-samples propose candidates, and the exact weighted Jaccard similarity verifies them.
+samples propose candidates, and the exact weighted Jaccard similarity verifies them. The sampler
+rounds weights to powers of 2 ** (1 / LEVELS); the verification doesn't.
 
 Exact copies are one node from the start. The member of a bucket that shares most buckets leads
 it, and every other member is compared with the leader first. No member leaves its bucket for
@@ -18,8 +19,9 @@ components of the verified links. Large buckets are cut into blocks of ``BLOCK``
 every two blocks meet.
 
 Defined cases: null and empty texts and texts without words are alone; texts of fewer than five
-words are one shingle; a class is named by its smallest doc_id; a null doc_id takes its copies'
-class, or null if there is none; repeated rows are copies; other columns are ignored.
+words are one shingle; very long texts are shingled whole; a class is named by its smallest doc_id,
+or null if all its rows lack one; a doc_id that several texts share belongs to each text's class;
+repeated rows are copies; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -77,13 +79,14 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     return (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
 
 
-def weighted(raw: np.ndarray, off: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's distinct shingles (48 bits), sorted, with levels of weight, and the rows' offsets."""
+def weighted(raw: np.ndarray, off: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct shingles (48 bits), sorted, with their weights, these as levels for the
+    sampler, and the rows' offsets."""
     h, wo = W.hashes(raw, off)
     sh, so = W.shingles(h, wo, WORDS)
     n = len(off) - 1
     if not len(sh):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(n + 1, np.int64)
+        return np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64), np.zeros(n + 1, np.int64)
     total = np.concatenate([[0.0], np.cumsum(idf[(h & np.uint64(CELLS - 1)).astype(np.int64)], dtype=np.float64)])
     counts = np.diff(so)
     row = np.repeat(np.arange(n), counts)
@@ -99,10 +102,11 @@ def weighted(raw: np.ndarray, off: np.ndarray, idf: np.ndarray) -> tuple[np.ndar
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         tf = np.diff(np.append(new, len(key)))
         out_h.append(key[new] & _LOW)
-        out_w.append(np.maximum(0, np.rint(LEVELS * np.log2(weight[a:b][order[new]] * tf))).astype(np.int64))
+        out_w.append(weight[a:b][order[new]] * tf)
         per = np.bincount((key[new] >> np.uint64(48)).astype(np.int64), minlength=min(n - k, 1 << 15))
         out_o.extend((out_o[-1] + np.cumsum(per)).tolist())
-    return np.concatenate(out_h), np.concatenate(out_w), np.array(out_o)
+    w = np.concatenate(out_w)
+    return np.concatenate(out_h), w, np.maximum(0, np.rint(LEVELS * np.log2(w))).astype(np.int64), np.array(out_o)
 
 
 class Sampler:
@@ -154,7 +158,7 @@ def _signatures(batches, idf):
     for b in batches:
         raw_all, off_all = W.buffers(b.column(2))
         for i, j in W.groups(off_all):
-            h, w, o = weighted(raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i], idf)
+            h, _, w, o = weighted(raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i], idf)
             bands = []
             for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
                 if x == y:
@@ -171,7 +175,7 @@ def _signatures(batches, idf):
 def _packed(batches):
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["copy", "z"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -189,8 +193,7 @@ def _compare(batches, idf):
 
     def load(packed: bytes):
         raw = np.frombuffer(z.decompress(packed), np.uint8)
-        h, level, _ = weighted(raw, np.array([0, len(raw)]), idf)
-        return h, np.exp2(level / LEVELS)
+        return weighted(raw, np.array([0, len(raw)]), idf)[:2]
 
     leader, own = None, None
     for pdf in batches:
@@ -209,8 +212,7 @@ def _sketches(batches, idf):
         totals, cells = [], []
         for packed in pdf.z:
             raw = np.frombuffer(z.decompress(packed), np.uint8)
-            h, level, _ = weighted(raw, np.array([0, len(raw)]), idf)
-            w = np.exp2(level / LEVELS)
+            h, w, _, _ = weighted(raw, np.array([0, len(raw)]), idf)
             totals.append(float(w.sum()))
             with np.errstate(over="ignore"):
                 cells.append(np.bincount((h % np.uint64(CELL_SUMS)).astype(np.int64), weights=w, minlength=CELL_SUMS).astype(np.float16).tobytes())
@@ -294,7 +296,8 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 
 
 def verified_links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b, similarity) between nodes (doc, bands), with weighted Jaccard ``threshold`` or more."""
+    """Links (a, b, similarity) between nodes (doc, copy, bands), with weighted Jaccard ``threshold``
+    or more; ``copy`` is the SHA-256 of a node's text, which tells it from all others."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)  # CELLS numbers
     rows = nodes.select("doc", F.posexplode("bands").alias("band", "hash"))
@@ -302,8 +305,10 @@ def verified_links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold
     met = written(rows.join(sizes, ["band", "hash"]), "buckets")
     degree = met.groupBy("doc").agg(F.sum("size").alias("degree"))
     bucket = written(met.join(degree, "doc").select(F.xxhash64("band", "hash").alias("bucket"), "doc", "degree"), "members")
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_packed, "doc_id long, z binary")
-    texts = written(packed.withColumnRenamed("doc_id", "doc").join(degree.select("doc"), "doc", "left_semi").dropDuplicates(["doc"]), "texts", "uncompressed")
+    text = F.col("text").cast("string")
+    packed = docs.select(_copy(text).alias("copy"), text.alias("text")).mapInArrow(_packed, "copy binary, z binary")
+    wanted = nodes.select("doc", "copy").join(degree.select("doc"), "doc", "left_semi")
+    texts = written(packed.join(wanted, "copy").select("doc", "z").dropDuplicates(["doc"]), "texts", "uncompressed")
 
     def compare(batches):
         yield from _compare(batches, shared.value)
@@ -350,10 +355,16 @@ def verified_links(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_links) for every row: the class's smallest doc_id, and the verified
     links of the row's text."""
-    return _classes(docs, threshold).drop("copy")
+    return _classes(docs, threshold).select("doc_id", "class_id", "n_links")
+
+
+def _copy(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``classes`` with each row's ``copy`` (of its text) and ``first``: whether its text is the one
+    that names its class."""
     idf = idf_table(docs)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -361,23 +372,27 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         yield from _signatures(batches, shared.value)
 
     text = F.col("text").cast("string")
-    signed = written(docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(text, 256)).alias("copy"), text.alias("text")).mapInArrow(sign, "doc_id long, copy binary, bands array<long>"), "signatures")
-    nodes = written(signed.filter("bands is not null and doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "nodes")
-    links = written(verified_links(docs, nodes.select("doc", "bands"), idf, threshold), "links")
+    signed = written(docs.select(F.col("doc_id").cast("long"), _copy(text).alias("copy"), text.alias("text")).mapInArrow(sign, "doc_id long, copy binary, bands array<long>"), "signatures")
+    # a node is a text, whatever ids its rows have; written once, its number holds
+    nodes = written(signed.filter("bands is not null").groupBy("copy").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands")).withColumn("doc", F.monotonically_increasing_id()), "nodes")
+    links = written(verified_links(docs, nodes.select("doc", "copy", "bands"), idf, threshold), "links")
     label = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
-    named = nodes.select("copy", "doc").join(label.withColumnRenamed("node", "doc"), "doc", "left").join(counts, "doc", "left")
-    named = named.select("copy", F.coalesce("label", "doc").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = signed.select("doc_id", "copy", F.col("bands").isNull().alias("alone")).join(named, "copy", "left")
-    return out.select("doc_id", "copy", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.coalesce("label", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    in_class = written(label.withColumnRenamed("node", "doc").join(nodes.select("doc", "name"), "doc").join(counts, "doc"), "linked")
+    named = in_class.groupBy("label").agg(F.min(F.struct(F.col("name").isNull().alias("none"), "name", "doc")).alias("first")).select("label", "first")
+    found = in_class.join(named, "label").select("doc", "n_links", F.col("first.name").alias("class_name"), (F.col("first.doc") == F.col("doc")).alias("first"))
+    every = nodes.select("copy", "doc", "name").join(found, "doc", "left")
+    every = every.select("copy", F.when(F.col("first").isNull(), F.col("name")).otherwise(F.col("class_name")).alias("class_name"), F.coalesce("first", F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = signed.select("doc_id", "copy", F.col("bands").isNull().alias("alone")).join(every, "copy", "left")
+    return out.select("doc_id", "copy", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class_name")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("alone") | F.col("first")).alias("first"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id names their class; of rows that repeat a
-    kept doc_id, one stays."""
+    """The rows of ``docs``, all columns, whose doc_id and text name their class; of rows that
+    repeat both, one stays."""
     found = written(_classes(docs, threshold), "classes")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.count("*").alias("_n"))
-    own = F.unhex(F.sha2(docs["text"].cast("string"), 256))
+    kept = found.filter(F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.count("*").alias("_n"))
+    own = _copy(docs["text"].cast("string"))
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & own.eqNullSafe(kept["_copy"]))
     once = rows.filter("_n = 1").select(docs.columns)
     again = rows.filter("_n > 1").dropDuplicates(["_id", "_copy"]).select(docs.columns)
