@@ -113,14 +113,26 @@ def _doc_regions(batches, bloom: np.ndarray, masks: tuple[str, ...], reach: int)
                 continue
             found_key, found_at = [], []
             for m in masks:
-                key, at = _seed_hashes(h, wo, m, _tag(m))
-                if len(m) < MIN_WORDS:  # such an item is a whole document or nothing
-                    whole = np.diff(wo)[np.searchsorted(wo, at, side="right") - 1] == len(m)
-                    key, at = key[whole], at[whole]
+                n = len(h) - len(m) + 1
+                if n <= 0:
+                    continue
+                # hashes at all places, across rows too; what the filter lets pass is looked at again
+                acc = np.full(n, _tag(m), np.uint64)
+                for k, bit in enumerate(m):
+                    if bit == "1":
+                        acc *= np.uint64(W._BASE)
+                        acc += h[k : k + n]
+                key = W.mix(acc)
                 low = key & bits
-                hit = np.flatnonzero(bloom[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
-                found_key.append(key[hit])
-                found_at.append(at[hit])
+                at = np.flatnonzero(bloom[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                row = np.searchsorted(wo, at, side="right") - 1
+                fits = at + len(m) <= wo[row + 1]
+                if len(m) < MIN_WORDS:  # such an item is a whole document or nothing
+                    fits &= wo[row + 1] - wo[row] == len(m)
+                found_key.append(key[at[fits]])
+                found_at.append(at[fits])
+            if not found_key:
+                continue
             key, at = np.concatenate(found_key), np.concatenate(found_at)
             if not len(key):
                 continue
