@@ -11,7 +11,8 @@ blocks in a permutation of its own, and the last pass stops inside the block whe
 ends. No step brings a source together: blocks are small groups, sums are pre-aggregated.
 
 Defined cases: a null source is a source of its own; null or empty texts have no tokens and ride
-with their block; sources without any token get no budget; repeated rows count as rows; an empty
+with their block; a text longer than a block makes a large block; documents of one hash are
+ordered by doc_id, then tokens; sources without any token get no budget; repeated rows count as rows; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -28,6 +29,8 @@ from .storage import written
 
 STEPS = 8
 _POINTS = 16
+#: Hexadecimal digits that pick a block's slice of its pass.
+SLICE = 3
 
 
 class Plan(NamedTuple):
@@ -90,9 +93,15 @@ def mixed(docs: DataFrame, budget_share: float = 1.0, entropy_share: float = 0.9
     placed = tokens.join(budgets, "_s").withColumn("block", F.pmod(F.col("_h"), F.col("n_blocks"))).drop("n_blocks")
     blocks = placed.groupBy("_s", "block").agg(F.sum("n_tokens").alias("block_tokens"), F.first("tokens").alias("tokens"), F.first("budget").alias("budget"))
     passes = blocks.filter("budget > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("budget") - 1) / F.col("tokens")))))
-    order = Window.partitionBy("_s", "pass").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "_s", "pass", "block")), "block")
-    before = F.coalesce(F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("pass") * F.col("tokens")
-    drawn = passes.select("_s", "block", "pass", (F.row_number().over(order) - 1).alias("block_pos"), (F.col("budget") - before).alias("left"), (before / F.col("budget")).alias("at")).filter("left > 0")
+    # a pass's blocks in order of a hash, in slices by its first digits: sums within slices, and over
+    # the slices, of which a pass has at most 16 ** SLICE
+    keyed = passes.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "_s", "pass", "block"))).withColumn("slice", F.substring("key", 1, SLICE))
+    over = Window.partitionBy("_s", "pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = keyed.groupBy("_s", "pass", "slice").agg(F.sum("block_tokens").alias("t"), F.count("*").alias("n"))
+    slices = slices.select("_s", "pass", "slice", F.coalesce(F.sum("t").over(over), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n0"))
+    order = Window.partitionBy("_s", "pass", "slice").orderBy("key", "block")
+    before = F.col("t0") + F.coalesce(F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("pass") * F.col("tokens")
+    drawn = keyed.join(slices, ["_s", "pass", "slice"]).select("_s", "block", "pass", (F.col("n0") + F.row_number().over(order) - 1).cast("int").alias("block_pos"), (F.col("budget") - before).alias("left"), (before / F.col("budget")).alias("at")).filter("left > 0")
 
     inside = Window.partitionBy("_s", "block").orderBy("_h", "doc_id", "n_tokens")
     ranked = placed.select("doc_id", "source", "n_tokens", "_s", "block", (F.row_number().over(inside) - 1).alias("doc_pos"), (F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("before"))
