@@ -51,11 +51,14 @@ def verify(records: DataFrame) -> DataFrame:
 
 
 def anchors(records: DataFrame, heads: DataFrame) -> DataFrame:
-    """Each chain against its head: ok, truncated, rewritten or unanchored."""
+    """Each chain against its head: ok, truncated, rewritten or unanchored. A chain with a head
+    and no records at all is truncated; one that goes on past its head is ok, as a stop between the
+    append and the head's update leaves it so."""
     ends = records.groupBy("chain_id").agg(F.max("seq").alias("_last"))
     at = records.select("chain_id", "seq", F.col("entry_hash").alias("_own"))
-    out = ends.join(heads.select("chain_id", "seq", F.col("entry_hash").alias("_head")), "chain_id", "left").join(at, ["chain_id", "seq"], "left")
-    status = F.when(F.col("_head").isNull() | (F.coalesce("seq", F.lit(0)) == 0), "unanchored").when(F.col("_last") < F.col("seq"), "truncated").when(F.coalesce(F.col("_own") != F.col("_head"), F.lit(True)), "rewritten").otherwise("ok")
+    named = heads.filter("seq > 0").select("chain_id", "seq", F.col("entry_hash").alias("_head"))
+    out = ends.join(named, "chain_id", "full").join(at, ["chain_id", "seq"], "left")
+    status = F.when(F.col("_head").isNull(), "unanchored").when(F.coalesce("_last", F.lit(0)) < F.col("seq"), "truncated").when(F.coalesce(F.col("_own") != F.col("_head"), F.lit(True)), "rewritten").otherwise("ok")
     return out.select("chain_id", status.alias("status"))
 
 

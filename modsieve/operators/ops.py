@@ -30,13 +30,23 @@ def frame_stats(records: DataFrame) -> DataFrame:
 
 
 def counters(records: DataFrame) -> DataFrame:
-    """A5: (metric, label, value) in long form: one pass and one exchange for all counters."""
-    own = F.array(
-        F.struct(F.lit("jobs").alias("metric"), F.col("verdict").alias("label"), F.lit(1).cast("long").alias("n")),
-        F.struct(F.lit("frames").alias("metric"), F.col("media_type").alias("label"), F.col("frames_scanned").cast("long").alias("n")),
-        F.struct(F.lit("errors").alias("metric"), F.col("adapter").alias("label"), F.when(F.col("verdict") == "error", 1).otherwise(0).cast("long").alias("n")),
-    )
-    return records.select(F.inline(own)).groupBy("metric", "label").agg(F.sum("n").alias("value"))
+    """A5: (metric, label, value) in long form: one pass and one exchange for all counters. Records
+    have verdict, media_type, frames_scanned and adapter, and may have error_code, fetch_reason,
+    fetch_bytes and sink_failure (a sink's type), NULL where there was none."""
+    one = F.lit(1).cast("long")
+
+    def counter(metric: str, label: Column, n: Column = one) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), label.alias("label"), n.alias("n"))
+
+    own = [counter("jobs", F.col("verdict")), counter("frames", F.col("media_type"), F.col("frames_scanned").cast("long")), counter("errors", F.col("adapter"), F.when(F.col("verdict") == "error", 1).otherwise(0).cast("long"))]
+    more = {
+        "error_code": lambda c: F.when(c.isNotNull(), counter("adapter_errors", F.concat_ws(":", F.col("adapter"), c))),
+        "fetch_reason": lambda c: F.when(c.isNotNull(), counter("fetch_failures", c)),
+        "fetch_bytes": lambda c: F.when(c.isNotNull(), counter("fetch_bytes", F.lit("all"), c.cast("long"))),
+        "sink_failure": lambda c: F.when(c.isNotNull(), counter("sink_failures", c)),
+    }
+    own += [make(F.col(c)) for c, make in more.items() if c in records.columns]
+    return records.select(F.inline(F.filter(F.array(*own), lambda x: x.isNotNull()))).groupBy("metric", "label").agg(F.sum("n").alias("value"))
 
 
 def histogram(rows: DataFrame, value: str, edges: list[float], by: str) -> DataFrame:
@@ -101,19 +111,37 @@ def arrival_order(jobs: DataFrame) -> DataFrame:
 
 
 def due(retries: DataFrame, now: Column, most: int = 100) -> DataFrame:
-    """Retries that are due, oldest first, at most ``most``."""
-    return retries.filter(F.col("ready_at") <= now).orderBy("ready_at", "job_id").limit(most)
+    """Retries (job_id, ready_at, maybe attempt) that are due, oldest first, at most ``most``."""
+    ties = ["attempt"] if "attempt" in retries.columns else []
+    return retries.filter(F.col("ready_at") <= now).orderBy("ready_at", "job_id", *ties).limit(most)
 
 
-def outages(outcomes: DataFrame, seconds: int = 60, samples: int = 10) -> DataFrame:
+def outages(outcomes: DataFrame, seconds: int = 60, samples: int = 10, slice_seconds: int = 3600) -> DataFrame:
     """For each adapter the longest run of errors and the worst error share of a trailing
-    window with at least ``samples`` outcomes; the window is open at its old end."""
-    order = Window.partitionBy("adapter").orderBy("at", "seq")
-    island = F.row_number().over(order) - F.row_number().over(Window.partitionBy("adapter", "ok").orderBy("at", "seq"))
-    runs = outcomes.withColumn("_i", island).groupBy("adapter", "ok", "_i").agg(F.count("*").alias("n"))
-    longest = runs.groupBy("adapter").agg(F.coalesce(F.max(F.when(~F.col("ok"), F.col("n"))), F.lit(0)).alias("longest_run"))
+    window with at least ``samples`` outcomes; the window is open at its old end.
+
+    Adapters are few, so their time is cut into slices, each worked on by itself. For the windows a
+    slice also sees the end of the slice before it; runs that touch a slice's edges are joined over
+    the slices, of which one row each is left by then."""
+    length = max(seconds, slice_seconds) * 1_000_000
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    rows = outcomes.select("adapter", "at", "seq", "ok", micros.alias("_t"), F.floor(micros / length).cast("long").alias("_s"))
+    order = Window.partitionBy("adapter", "_s").orderBy("at", "seq")
+    island = F.row_number().over(order) - F.row_number().over(Window.partitionBy("adapter", "_s", "ok").orderBy("at", "seq"))
+    runs = rows.withColumn("_p", F.row_number().over(order)).withColumn("_i", island).groupBy("adapter", "_s", "ok", "_i").agg(F.count("*").alias("n"), F.min("_p").alias("p"))
+    bad = ~F.col("ok")
+    edges = runs.groupBy("adapter", "_s").agg(F.coalesce(F.max(F.when(bad, F.col("n"))), F.lit(0)).alias("longest"), F.sum("n").alias("n"), F.coalesce(F.max(F.when(bad & (F.col("p") == 1), F.col("n"))), F.lit(0)).alias("lead"), F.max(F.struct("p", F.when(bad, F.col("n")).otherwise(0).alias("n")))["n"].alias("trail"))
+    # a slice of errors alone carries the run before it on: a group ends with the slice that doesn't
+    over = Window.partitionBy("adapter").orderBy("_s")
+    whole = (F.col("lead") == F.col("n")).cast("int")
+    grouped = edges.withColumn("_w", whole).withColumn("_g", F.coalesce(F.sum(1 - F.col("_w")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    opened = grouped.groupBy("adapter", "_g").agg(F.sum(F.when(F.col("_w") == 1, F.col("n")).otherwise(F.col("lead"))).alias("first"), F.max(F.when(F.col("_w") == 0, F.col("trail"))).alias("trail"), F.max("longest").alias("longest"))
+    carried = opened.withColumn("_c", F.coalesce(F.lag("trail").over(Window.partitionBy("adapter").orderBy("_g")), F.lit(0)))
+    longest = carried.groupBy("adapter").agg(F.max(F.greatest("longest", F.col("first") + F.col("_c"))).alias("longest_run"))
     # the window is open at the old end, so it reaches back one microsecond less
-    span = Window.partitionBy("adapter").orderBy(F.unix_micros(F.col("at").cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    rates = outcomes.withColumn("_n", F.count("*").over(span)).withColumn("_e", F.count_if(~F.col("ok")).over(span)).filter(F.col("_n") >= samples)
+    span = Window.partitionBy("adapter", "_s").orderBy("_t").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    after = rows.filter(F.col("_t") > (F.col("_s") + 1) * length - seconds * 1_000_000).withColumn("_s", F.col("_s") + 1).withColumn("_own", F.lit(False))
+    seen = rows.withColumn("_own", F.lit(True)).unionByName(after)
+    rates = seen.withColumn("_n", F.count("*").over(span)).withColumn("_e", F.count_if(~F.col("ok")).over(span)).filter(F.col("_own") & (F.col("_n") >= samples))
     worst = rates.groupBy("adapter").agg(F.max(F.col("_e") / F.col("_n")).alias("worst_rate"))
     return longest.join(worst, "adapter", "left")

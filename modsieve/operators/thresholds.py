@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.local import local
 from ..functions.normalize import canonical
 
 SCHEMA = "key string, flag_at double, block_at double"
@@ -13,7 +14,7 @@ SCHEMA = "key string, flag_at double, block_at double"
 
 def defaults(spark: SparkSession) -> DataFrame:
     """The built-in table; a handful of rows."""
-    return spark.createDataFrame(S.DEFAULT_THRESHOLDS, SCHEMA)
+    return local(spark, S.DEFAULT_THRESHOLDS, SCHEMA)
 
 
 def merge(base: DataFrame, labels: DataFrame, mode: str, unarmed: DataFrame | None = None) -> DataFrame:
@@ -34,7 +35,8 @@ def merge(base: DataFrame, labels: DataFrame, mode: str, unarmed: DataFrame | No
 def resolve(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     """``flag_at`` and ``block_at`` of every category row, by three left equi-joins.
 
-    The table has one row for a key; Spark broadcasts it when its size allows."""
+    The table has one row for a key. Spark broadcasts it when its size allows; make small tables with
+    ``local``, whose size it knows before it plans: then no category row is shuffled."""
     by = lambda name: thresholds.select(F.col("key").alias(f"_{name}"), F.col("flag_at").alias(f"_{name}_flag"), F.col("block_at").alias(f"_{name}_block"))
     out = rows.join(by("label"), F.concat(F.lit("label:"), F.lower("provider_label")) == F.col("_label"), "left")
     out = out.join(by("category"), canonical(F.col("category")) == F.col("_category"), "left")

@@ -14,10 +14,11 @@ def roll_up(frames: DataFrame, rows: DataFrame) -> DataFrame:
     ``frames``: (asset_id, frame_ord, status), at least one row for every asset, status NULL for an
     asset without frames (J6). ``rows``: category rows (asset_id, frame_ord, cat_ord, category,
     score, flag_at, block_at, flagged). Both are aggregated on asset_id, partially before the
-    shuffle; nothing is collected but one row an asset."""
+    shuffle; nothing is collected but one row an asset. Rows that carry their frame's ``status``, as
+    the normalisers' do, are filtered by it; others meet their frames in a join."""
     ok = F.col("status") == "ok"
     counted = frames.groupBy("asset_id").agg(F.count("status").alias("n_frames"), F.count_if(F.col("status") != "ok").alias("n_errors"), F.count_if(ok).alias("n_ok"))
-    good = rows.join(frames.filter(ok).select("asset_id", "frame_ord"), ["asset_id", "frame_ord"], "left_semi")
+    good = rows.filter(ok) if "status" in rows.columns else rows.join(frames.filter(ok).select("asset_id", "frame_ord"), ["asset_id", "frame_ord"], "left_semi")
     score = F.when(~F.isnan("score"), F.col("score"))
     first = F.struct(score.alias("s"), (-F.col("frame_ord")).alias("f"), (-F.col("cat_ord")).alias("c"))
     best = good.groupBy("asset_id").agg(

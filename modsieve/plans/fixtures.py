@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.local import local
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -76,7 +77,7 @@ HEADS = f"""{FRAMES}, rows AS (SELECT *, h AS cat_ord, CASE WHEN k % 5 = 0 THEN
 
 
 def class_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(S.CLASS_MAP, "label_lc string, category string")
+    return local(spark, S.CLASS_MAP, "label_lc string, category string")
 
 
 def logprob(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,10 +131,11 @@ def redelivered(spark: SparkSession, sf: str) -> DataFrame:
     j = jobs(spark, sf)
     soon = j.filter("event_id % 10 = 0").withColumn("finished_at", F.expr("finished_at + interval 5 minutes"))
     late = j.filter("event_id % 100 = 0").withColumn("finished_at", F.expr("finished_at + interval 3 hours"))
-    return j.unionByName(soon).unionByName(late)
+    again = [j.filter("event_id % 50 = 3").withColumn("finished_at", F.expr(f"finished_at + interval {m} minutes")) for m in (50, 100)]
+    return j.unionByName(soon).unionByName(late).unionByName(again[0]).unionByName(again[1])
 
 
-REDELIVERED = f"""{JOBS}, redelivered AS (SELECT * FROM jobs UNION ALL SELECT * REPLACE (finished_at + INTERVAL 5 MINUTE AS finished_at) FROM jobs WHERE event_id % 10 = 0 UNION ALL SELECT * REPLACE (finished_at + INTERVAL 3 HOUR AS finished_at) FROM jobs WHERE event_id % 100 = 0)"""
+REDELIVERED = f"""{JOBS}, redelivered AS (SELECT * FROM jobs UNION ALL SELECT * REPLACE (finished_at + INTERVAL 5 MINUTE AS finished_at) FROM jobs WHERE event_id % 10 = 0 UNION ALL SELECT * REPLACE (finished_at + INTERVAL 3 HOUR AS finished_at) FROM jobs WHERE event_id % 100 = 0 UNION ALL SELECT * REPLACE (finished_at + INTERVAL 50 MINUTE AS finished_at) FROM jobs WHERE event_id % 50 = 3 UNION ALL SELECT * REPLACE (finished_at + INTERVAL 100 MINUTE AS finished_at) FROM jobs WHERE event_id % 50 = 3)"""
 
 
 def attempts(spark: SparkSession, sf: str) -> DataFrame:

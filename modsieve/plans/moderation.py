@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .. import schemas as S
 from ..functions import admission as A
 from ..functions import normalize as N
+from ..functions.local import local
 from ..operators import audit, ops, scoring
 from ..operators import frames as FR
 from ..operators import thresholds as T
@@ -104,7 +105,18 @@ def s7_envelopes(spark, sf):
 # --- sinks ---------------------------------------------------------------------------------------
 
 
-@query()
+def _json(*parts: str) -> str:
+    return " || ".join(parts)
+
+
+#: Envelopes as text, put together from rows by string aggregation.
+ENVELOPES = f"""WITH {X.SEVERITY}, {_resolved(DEFAULTS)}{VERDICT.replace("SELECT p.asset_id,", ", v AS (SELECT p.asset_id,", 1)}),
+ cats AS (SELECT asset_id, frame_idx, string_agg({_json("'{\"category\":\"'", "category", "'\",\"provider_label\":\"'", "provider_label", "'\",\"score\":'", "score", "',\"score_origin\":\"severity\",\"threshold\":'", "flag_at", "',\"flagged\":'", "coalesce(score >= flag_at, false)", "'}'")}, ',' ORDER BY cat_ord) AS c FROM res GROUP BY 1, 2),
+ fr AS (SELECT f.asset_id, string_agg({_json("'{\"timestamp_sec\":'", "timestamp_sec", "',\"status\":\"'", "status", "'\"'", "coalesce(',\"error\":\"' || error || '\"', '')", "',\"categories\":['", "CASE WHEN status = 'ok' THEN c ELSE '' END", "']}'")}, ',' ORDER BY timestamp_sec, frame_ord) AS fs, string_agg(error, '; ' ORDER BY frame_ord) AS texts FROM frames f JOIN cats USING (asset_id, frame_idx) GROUP BY 1)
+SELECT asset_id AS job_id, {_json("'{\"job_id\":\"'", "asset_id", "'\",\"source\":{\"kind\":\"file\",\"ref\":\"'", "asset_id", "'\",\"media_type\":\"video\"},\"model_id\":{\"adapter\":\"severity\",\"model_version\":\"1\",\"config_hash\":\"'", "repeat('0', 64)", f"'\"}},\"result\":{{\"schema_version\":\"{S.VERSION}\",\"provider\":\"severity\",\"model_version\":\"1\",\"media_type\":\"video\",\"asset_id\":\"'", "asset_id", "'\",\"frames\":['", "fs", "'],\"overall\":{\"verdict\":\"'", "verdict", "'\",\"flagged\":'", "flagged", "',\"top_category\":'", "coalesce('\"' || top_category || '\"', 'null')", "',\"max_score\":'", "coalesce(max_score::VARCHAR, 'null')", "',\"confidence\":'", "coalesce(confidence::VARCHAR, 'null')", "'}}'", "CASE WHEN verdict = 'error' THEN ',\"error\":\"' || coalesce(texts, 'could not evaluate') || '\"' ELSE '' END", "CASE WHEN split_part(asset_id, '-', 2)::BIGINT % 2 = 0 THEN ',\"metadata\":{\"a\":1}' ELSE '' END", "',\"started_at\":\"2024-01-01T00:00:00.000000Z\",\"finished_at\":\"2024-01-01T00:00:01.000000Z\"}'")} AS value FROM v JOIN fr USING (asset_id)"""
+
+
+@query(ENVELOPES)
 def k1_envelope_json(spark, sf):
     return sinks.envelope_json(_envelopes(spark, sf))
 
@@ -168,7 +180,7 @@ def p7_flags(spark, sf):
 
 @query(f"""SELECT event_id, CASE WHEN cap > 0 AND n > cap THEN concat('image is ', n, ' bytes, over the limit of ', cap) END AS preflight_error FROM (SELECT event_id, event_id * 1000 AS n, CASE event_id % 4 WHEN 0 THEN 4194304 WHEN 3 THEN 0 ELSE 20971520 END AS cap FROM events)""")
 def p8_preflight(spark, sf):
-    caps = spark.createDataFrame(list(S.IMAGE_CAPS.items()), "adapter string, max_bytes long")
+    caps = local(spark, list(S.IMAGE_CAPS.items()), "adapter string, max_bytes long")
     e = X.table(spark, sf, "events").selectExpr("event_id", "event_id * 1000 AS n_bytes", "element_at(array('severity', 'likelihood', 'heads', 'logprob'), cast(event_id % 4 + 1 AS int)) AS adapter")
     return A.oversize(e, caps).select("event_id", "preflight_error")
 
@@ -182,6 +194,17 @@ def p9_media_type(spark, sf):
     return e.select("event_id", A.media_type(F.col("ref")).alias("media_type"))
 
 
+#: The first bytes of files, by the type they tell.
+_HEADS = [("89504E470D0A1A0A", "image/png"), ("FFD8FFE1", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("524946460102030457454250", "image/webp"), ("0000001866747970", "video/mp4"), ("1A45DFA3", "video/webm"), ("474946383861", "application/octet-stream"), ("", "application/octet-stream")]
+
+
+@query(f"SELECT event_id, CASE event_id % {len(_HEADS)} {' '.join(f'WHEN {i} THEN {chr(39)}{t}{chr(39)}' for i, (_, t) in enumerate(_HEADS))} END AS mime FROM events")
+def p10_mime(spark, sf):
+    heads = F.array(*[F.lit(h) for h, _ in _HEADS])
+    content = F.concat(F.unhex(F.element_at(heads, (F.col("event_id") % len(_HEADS) + 1).cast("int"))), F.col("props").cast("binary"))
+    return X.table(spark, sf, "events").select("event_id", A.mime(content).alias("mime"))
+
+
 _HOSTED = "h AS (SELECT *, lower(regexp_replace(regexp_replace(CASE WHEN page_id % 25 = 1 THEN '' WHEN page_id % 25 = 2 THEN '' ELSE hst END, '^.*@', ''), ':[0-9]*$', '')) AS host FROM urls)"
 _REASON = "CASE WHEN page_id % 25 = 0 THEN 'userinfo' WHEN host = '' THEN 'no_host' WHEN NOT (length(host) % 2 = 0 OR host LIKE 'blog.%') THEN 'host' WHEN NOT (sch = 'https' OR sch = 'http' AND host LIKE 'blog.%') THEN 'scheme' END"
 
@@ -215,7 +238,9 @@ def p13_ip_policy(spark, sf):
     return e.select("event_id", A.ip_reason(F.col("addr")).alias("strict"), A.ip_reason(F.col("addr"), "relaxed").alias("relaxed"))
 
 
-@query()
+@query("""WITH ip AS (SELECT event_id, event_id % 8 AS k, event_id % 256 AS b, user_id % 256 AS c, CASE WHEN event_id % 2 = 0 THEN '::ffff:' || ['10', '127', '172', '192', '100', '169', '8', '224'][(event_id % 8 + 1)::INTEGER] || '.' || event_id % 256 || '.' || user_id % 256 || '.' || event_id % 200 ELSE ['fd00:ec2::', '2001:db8::', 'fe80::', 'ff02::', '::1:'][(event_id % 5 + 1)::INTEGER] || hex(event_id % 65536) END AS addr FROM events),
+ r AS (SELECT *, CASE WHEN k % 2 = 0 THEN CASE WHEN k = 4 AND b BETWEEN 64 AND 127 THEN 'CGNAT' END WHEN addr LIKE 'fe80:%' OR addr LIKE 'ff02:%' THEN 'link-local' END AS any_policy, k = 0 OR k = 2 AND b BETWEEN 16 AND 31 OR addr LIKE 'fd00:%' AS private FROM ip)
+SELECT event_id, addr, CASE WHEN private THEN 'private' ELSE any_policy END AS strict, CASE WHEN addr LIKE 'fd00:ec2:%' THEN 'metadata' ELSE any_policy END AS relaxed FROM r""")
 def p13_ip6_policy(spark, sf):
     e = X.table(spark, sf, "events").selectExpr("event_id", f"if(event_id % 2 = 0, concat('::ffff:', {_IP}), concat(element_at(array('fd00:ec2::', '2001:db8::', 'fe80::', 'ff02::', '::1:'), cast(event_id % 5 + 1 AS int)), hex(event_id % 65536))) AS addr")
     return e.select("event_id", "addr", A.ip6_reason("strict")("addr").alias("strict"), A.ip6_reason("relaxed")("addr").alias("relaxed"))
@@ -326,7 +351,7 @@ def p28_empty_skip(spark, sf):
 
 @query(f"WITH {X.SEVERITY}, {_resolved(f'(VALUES {_values(S.DEFAULT_THRESHOLDS + LABELLED)}) th(key, flag_at, block_at)')} SELECT asset_id, frame_idx, cat_ord, flag_at, block_at FROM res")
 def j1_thresholds(spark, sf):
-    t = spark.createDataFrame(S.DEFAULT_THRESHOLDS + LABELLED, T.SCHEMA)
+    t = local(spark, S.DEFAULT_THRESHOLDS + LABELLED, T.SCHEMA)
     return T.resolve(N.severity(X.severity(spark, sf)), t).select("asset_id", "frame_idx", "cat_ord", "flag_at", "block_at")
 
 
@@ -397,18 +422,18 @@ def _tampered(spark, sf) -> DataFrame:
 
 
 @query(f"""WITH {X.PAYLOAD}, n AS (SELECT chain_id, max(seq) AS n, max_by(entry_hash, seq) AS h FROM chain GROUP BY 1), t AS (SELECT chain_id, n, CASE chain_id % 5 WHEN 3 THEN n - 2 WHEN 2 THEN CASE WHEN n = 2 THEN 1 ELSE n END ELSE n END AS last FROM n)
-SELECT chain_id, CASE WHEN chain_id % 7 = 6 THEN 'unanchored' WHEN last < n THEN 'truncated' WHEN chain_id % 7 = 5 THEN 'rewritten' ELSE 'ok' END AS status FROM t WHERE last > 0""")
+SELECT chain_id, CASE WHEN chain_id % 7 = 6 THEN 'unanchored' WHEN last < n THEN 'truncated' WHEN chain_id % 7 = 5 THEN 'rewritten' ELSE 'ok' END AS status FROM t WHERE last > 0 OR chain_id % 7 <> 6""")
 def j8_anchor_check(spark, sf):
     heads = audit.heads_of(_chains(spark, sf)).filter("chain_id % 7 <> 6").withColumn("entry_hash", F.when(F.col("chain_id") % 7 == 5, F.lit("0" * 64)).otherwise(F.col("entry_hash")))
     return audit.anchors(_tampered(spark, sf), heads)
 
 
-@query(f"WITH {X.JOBS}, b AS (SELECT instance_id, max(finished_at) AS last FROM jobs GROUP BY 1), t AS (SELECT max(finished_at) AS now FROM jobs) SELECT job_id, instance_id, last AS last_beat FROM jobs LEFT JOIN b USING (instance_id), t WHERE event_id % 50 = 0 AND (last IS NULL OR last < now - INTERVAL 60 SECOND)")
+@query(f"WITH {X.JOBS}, b AS (SELECT instance_id, max(finished_at) AS last FROM jobs GROUP BY 1), t AS (SELECT max(finished_at) AS now FROM jobs) SELECT job_id, instance_id, last AS last_beat FROM jobs LEFT JOIN b USING (instance_id), t WHERE (last IS NULL OR last < now - INTERVAL 60 SECOND)")
 def j9_stranded_claims(spark, sf):
     j = X.jobs(spark, sf)
     beats = j.select("instance_id", F.col("finished_at").alias("at"))
     now = j.agg(F.max("finished_at")).first()[0]
-    return ops.stranded(j.filter("event_id % 50 = 0").select("job_id", "instance_id"), beats, F.lit(now)).select("job_id", "instance_id", "last_beat")
+    return ops.stranded(j.select("job_id", "instance_id"), beats, F.lit(now)).select("job_id", "instance_id", "last_beat")
 
 
 @query(f"""WITH {X.JOBS} SELECT user_id AS chain_id, 'decision' AS kind, job_id FROM jobs WHERE event_id % 3 <> 0 AND event_id % 11 <> 0 UNION ALL SELECT user_id, 'event', job_id FROM jobs WHERE event_id % 11 = 0 UNION ALL SELECT user_id, 'event', NULL FROM jobs WHERE event_id % 13 = 0""")
@@ -443,6 +468,19 @@ def a1_verdict_heads(spark, sf):
     return _verdicts(N.heads(f, X.class_map(spark)), f, T.defaults(spark))
 
 
+_POLICY_THRESHOLDS = [("label:dangerous", 0.6, 0.85), ("label:sexual", 0.6, 0.85), ("label:violence", 0.6, 0.85)]
+
+
+@query(f"""WITH l AS (WITH {X.LOGPROB} SELECT * FROM rows), rows AS (SELECT * REPLACE (CASE WHEN k % 53 = 0 THEN 'error' ELSE status END AS status) FROM l), frames AS (SELECT DISTINCT asset_id, frame_idx, frame_ord, status FROM rows), {_resolved(f"(VALUES {_values(_POLICY_THRESHOLDS)}) th(key, flag_at, block_at)")}{VERDICT.replace("b.score AS max_score, b.score AS confidence", "round(b.score, 9) AS max_score, round(b.score, 9) AS confidence")}""")
+def a1_verdict_logprob(spark, sf):
+    """Thresholds of labels alone; a frame without an answer to one policy is an error."""
+    rows = N.policies(X.logprob(spark, sf))
+    frames = rows.groupBy("asset_id", "frame_ord").agg(F.max("status").alias("status"), F.min("status").alias("least"))
+    frames = frames.withColumn("status", F.least("status", "least")).drop("least")  # error comes before ok
+    v = _verdicts(rows, frames, local(spark, _POLICY_THRESHOLDS, T.SCHEMA))
+    return v.withColumn("max_score", F.round("max_score", 9)).withColumn("confidence", F.round("confidence", 9))
+
+
 @query(f"""WITH {X.JOBS}, c AS (SELECT count(*) FILTER (verdict = 'allow') AS allow, count(*) FILTER (verdict = 'flag') AS flag, count(*) FILTER (verdict = 'block') AS block, count(*) FILTER (verdict = 'error') AS error, count(*) FILTER (verdict = 'skip') AS skip, count(*) AS total FROM jobs)
 SELECT *, allow + flag + block AS evaluated, coalesce((flag + block) / nullif(allow + flag + block, 0), 0) AS flag_rate, coalesce(block / nullif(allow + flag + block, 0), 0) AS block_rate, coalesce(error / nullif(total, 0), 0) AS error_rate FROM c""")
 def a3_verdict_stats(spark, sf):
@@ -455,9 +493,12 @@ def a4_frame_stats(spark, sf):
     return ops.frame_stats(X.jobs(spark, sf))
 
 
-@query(f"WITH {X.JOBS} SELECT 'jobs' AS metric, verdict AS label, count(*) AS value FROM jobs GROUP BY 2 UNION ALL SELECT 'frames', media_type, sum(frames_scanned)::BIGINT FROM jobs GROUP BY 2 UNION ALL SELECT 'errors', adapter, count(*) FILTER (verdict = 'error') FROM jobs GROUP BY 2")
+@query(f"""WITH {X.JOBS} SELECT 'jobs' AS metric, verdict AS label, count(*) AS value FROM jobs GROUP BY 2 UNION ALL SELECT 'frames', media_type, sum(frames_scanned)::BIGINT FROM jobs GROUP BY 2 UNION ALL SELECT 'errors', adapter, count(*) FILTER (verdict = 'error') FROM jobs GROUP BY 2
+ UNION ALL SELECT 'adapter_errors', adapter || ':' || CASE WHEN user_id % 2 = 0 THEN '429' ELSE 'retryable' END, count(*) FROM jobs WHERE verdict = 'error' GROUP BY 2 UNION ALL SELECT 'fetch_failures', 'timeout', count(*) FROM jobs WHERE verdict = 'error' AND user_id % 3 = 0 HAVING count(*) > 0 UNION ALL SELECT 'fetch_bytes', 'all', sum(user_id)::BIGINT FROM jobs WHERE media_type = 'image' UNION ALL SELECT 'sink_failures', adapter, count(*) FROM jobs WHERE verdict = 'skip' GROUP BY 2""")
 def a5_counters(spark, sf):
-    return ops.counters(X.jobs(spark, sf))
+    j = X.jobs(spark, sf).withColumn("error_code", F.expr("if(verdict = 'error', if(user_id % 2 = 0, '429', 'retryable'), null)")).withColumn("fetch_reason", A.fetch_reason(F.expr("if(verdict = 'error' and user_id % 3 = 0, 'context deadline exceeded', '')")))
+    j = j.withColumn("fetch_reason", F.nullif("fetch_reason", F.lit(""))).withColumn("fetch_bytes", F.expr("if(media_type = 'image', user_id, null)")).withColumn("sink_failure", F.expr("if(verdict = 'skip', adapter, null)"))
+    return ops.counters(j)
 
 
 _EDGES = [1, 2, 4, 8, 16, 32, 64, 128]
@@ -570,9 +611,9 @@ def w11_fifo(spark, sf):
     return ops.arrival_order(X.jobs(spark, sf).selectExpr("job_id", "user_id AS source_partition", "event_id AS enqueue_seq")).select("job_id", "start_order")
 
 
-@query(f"""WITH {X.ATTEMPTS}, t AS (SELECT max(finished_at) - INTERVAL 10 DAY AS now FROM jobs) SELECT job_id, "at" + INTERVAL 30 SECOND AS ready_at FROM attempts, t WHERE disposition = 'retry' AND attempt = 1 AND "at" + INTERVAL 30 SECOND <= now ORDER BY ready_at, job_id LIMIT 100""")
+@query(f"""WITH {X.ATTEMPTS}, t AS (SELECT max(finished_at) - INTERVAL 10 DAY AS now FROM jobs) SELECT job_id, attempt, "at" + INTERVAL 30 SECOND AS ready_at FROM attempts, t WHERE disposition = 'retry' AND "at" + INTERVAL 30 SECOND <= now ORDER BY ready_at, job_id, attempt LIMIT 100""")
 def w12_due_retries(spark, sf):
-    r = X.attempts(spark, sf).filter("disposition = 'retry' and attempt = 1").selectExpr("job_id", "at + interval 30 seconds AS ready_at")
+    r = X.attempts(spark, sf).filter("disposition = 'retry'").selectExpr("job_id", "attempt", "at + interval 30 seconds AS ready_at")
     now = X.jobs(spark, sf).agg(F.expr("max(finished_at) - interval 10 days")).first()[0]
     return ops.due(r, F.lit(now))
 
@@ -598,14 +639,18 @@ def d2_dedup(spark, sf):
 # --- batch twins of streams ----------------------------------------------------------------------
 
 
-@query(f"WITH {X.REDELIVERED} SELECT job_id, finished_at FROM (SELECT *, lag(finished_at) OVER (PARTITION BY job_id ORDER BY finished_at) AS before FROM redelivered) WHERE before IS NULL OR finished_at > before + INTERVAL 1 HOUR")
+@query(f"""WITH RECURSIVE {X.REDELIVERED}, o AS (SELECT job_id, finished_at, row_number() OVER (PARTITION BY job_id ORDER BY finished_at) AS n FROM redelivered),
+ g AS (SELECT job_id, finished_at, n, finished_at AS claim, true AS passes FROM o WHERE n = 1 UNION ALL SELECT o.job_id, o.finished_at, o.n, CASE WHEN o.finished_at > g.claim + INTERVAL 1 HOUR THEN o.finished_at ELSE g.claim END, o.finished_at > g.claim + INTERVAL 1 HOUR FROM g JOIN o ON o.job_id = g.job_id AND o.n = g.n + 1)
+SELECT job_id, finished_at FROM g WHERE passes""")
 def t2_redelivery(spark, sf):
-    order = Window.partitionBy("job_id").orderBy("finished_at")
-    r = X.redelivered(spark, sf).withColumn("_b", F.lag("finished_at").over(order))
-    return r.filter("_b is null or finished_at > _b + interval 1 hour").select("job_id", "finished_at")
+    return B.claims(X.redelivered(spark, sf).select("job_id", "finished_at"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.JOBS}, o AS (SELECT adapter, finished_at AS "at", event_id AS seq, verdict <> 'error' AS ok, epoch_us(finished_at) AS t, row_number() OVER (PARTITION BY adapter ORDER BY finished_at, event_id) AS n FROM jobs),
+ g AS (SELECT DISTINCT adapter, 0::BIGINT AS n, NULL::TIMESTAMP AS "at", NULL::BIGINT AS seq, 0 AS bad, 0 AS good, false AS tripped, []::STRUCT(t BIGINT, ok BOOLEAN)[] AS kept FROM o UNION ALL
+ SELECT adapter, n, "at", seq, bad, good, CASE WHEN ok THEN tripped AND good < 2 ELSE tripped OR bad >= 4 OR len(k) >= 10 AND len(list_filter(k, lambda x: NOT x.ok)) * 100 / len(k) >= 50 END, CASE WHEN ok AND tripped AND good >= 2 THEN [] ELSE k END
+ FROM (SELECT o.adapter, o.n, o."at", o.seq, o.ok, CASE WHEN o.ok THEN 0 ELSE g.bad + 1 END AS bad, CASE WHEN o.ok THEN g.good + 1 ELSE 0 END AS good, g.tripped, list_append(list_filter(g.kept, lambda x: x.t > o.t - 60000000), {{'t': o.t, 'ok': o.ok}}) AS k FROM g JOIN o ON o.adapter = g.adapter AND o.n = g.n + 1))
+SELECT adapter, "at", seq, tripped FROM g WHERE n > 0""")
 def t3_backpressure(spark, sf):
     return B.backpressure(X.jobs(spark, sf).selectExpr("adapter", "finished_at AS at", "event_id AS seq", "verdict <> 'error' AS ok"), n=4, m=2)
 
@@ -632,13 +677,13 @@ def t6_liveness(spark, sf):
 @query(f"""WITH {X.URLS}, {_HOSTED}, r AS (SELECT page_id, page_id % 4 AS part, CASE WHEN {_REASON} IS NOT NULL THEN 'bad_request:' || {_REASON} END AS r FROM h), n AS (SELECT *, count(*) FILTER (r IS NULL) OVER (PARTITION BY part ORDER BY page_id) AS n FROM r)
 SELECT concat('job-', page_id) AS job_id, coalesce(r, CASE WHEN n > 10 THEN 'queue_full' END) IS NULL AS accepted, coalesce(r, CASE WHEN n > 10 THEN 'queue_full' END) AS reason FROM n""")
 def t7_intake_gate(spark, sf):
-    control = spark.createDataFrame([(False, False, 3, 10)], "tripped boolean, paused boolean, dead_letters int, free int")
+    control = local(spark, [(False, False, 3, 10)], "tripped boolean, paused boolean, dead_letters int, free int")
     j = _admitted(spark, sf).selectExpr("concat('job-', page_id) AS job_id", "page_id % 4 AS source_partition", "page_id AS enqueue_seq", "reject_reason AS bad_request")
     return B.gate(j, control)
 
 
-@query()
+@query(f"""WITH {X.FRAMES} SELECT asset_id, frame_idx, CASE WHEN asset_id IN ('conv-0', 'conv-3', 'conv-6') THEN 'error' ELSE 'ok' END AS status, CASE WHEN asset_id IN ('conv-0', 'conv-3', 'conv-6') THEN 'no answer for ' || asset_id END AS error, CASE WHEN asset_id NOT IN ('conv-0', 'conv-3', 'conv-6') THEN '{{"categoriesAnalysis":[]}}' END AS response FROM frames""")
 def f1_score_frames(spark, sf):
-    """Fake answers over all frames; every third asset fails by itself."""
+    """Fake answers over all frames; three assets fail by themselves."""
     f = X.frames(spark, sf).selectExpr("asset_id", "frame_idx", "cast(asset_id AS binary) AS content", "length(asset_id) AS n_bytes")
     return scoring.score_frames(f, scoring.create("fake", response='{"categoriesAnalysis":[]}', failing=("conv-0", "conv-3", "conv-6")))

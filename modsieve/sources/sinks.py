@@ -44,40 +44,57 @@ def write_envelopes(envelopes: DataFrame, path: str) -> None:
     envelope_json(envelopes).select("value").write.mode("append").text(path)
 
 
-def fresh(batch: DataFrame, stored: DataFrame, order: str = "finished_at") -> DataFrame:
-    """Rows of ``batch`` whose job_id is not stored, the first of each in the batch."""
-    new = batch.join(stored.select("job_id").distinct(), "job_id", "left_anti")
-    return new.withColumn("_n", F.row_number().over(Window.partitionBy("job_id").orderBy(order))).filter("_n = 1").drop("_n")
+def fresh(batch: DataFrame, stored: DataFrame, order: str = "finished_at", keys: tuple[str, ...] = ("job_id",)) -> DataFrame:
+    """Rows of ``batch`` whose keys are not stored, the first of each in the batch."""
+    new = batch.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+    return new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
 
 
-def append_once(batch: DataFrame, path: str) -> None:
-    """K2: a durable idempotent append to a Parquet table."""
+def append_once(batch: DataFrame, path: str, keys: tuple[str, ...] = ("job_id",), at: str = "finished_at", days: int = 2) -> None:
+    """K2: a durable idempotent append to a Parquet table. Where ``at`` is a time, the table has a
+    folder for each ``day``, and only those from ``days`` before the batch's first are looked
+    through: what is older than the retention is not read, and a redelivery of it is written."""
     spark = batch.sparkSession
+    timed = batch.schema[at].dataType.typeName() in ("timestamp", "timestamp_ntz")
+    rows = batch.withColumn("day", F.to_date(at)) if timed else batch
     try:
         stored = spark.read.parquet(path)
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        stored = batch.limit(0)
-    fresh(batch, stored).write.mode("append").parquet(path)
+        stored = rows.limit(0)
+    if timed:
+        first = rows.agg(F.date_sub(F.min("day"), days).alias("d")).first().d
+        if first is None:
+            return
+        stored = stored.filter(F.col("day").isNull() | (F.col("day") >= F.lit(first)))
+    out = fresh(rows, stored, at, keys).write.mode("append")
+    (out.partitionBy("day") if timed else out).parquet(path)
+
+
+def attempt_all(batch: DataFrame, sinks: Iterable[tuple[str, Callable[[DataFrame], None]]]) -> tuple[dict[str, int], Exception | None]:
+    """K3: tries every sink; (failures by sink, the first failure)."""
+    failures: dict[str, int] = {}
+    first: Exception | None = None
+    for name, write in sinks:
+        try:
+            write(batch)
+        except Exception as e:
+            failures[name] = failures.get(name, 0) + 1
+            first = first or e
+    if first is not None:
+        first.add_note(f"failures by sink: {failures}")
+    return failures, first
 
 
 def fan_out(batch: DataFrame, sinks: Iterable[tuple[str, Callable[[DataFrame], None]]]) -> dict[str, int]:
     """K3: every sink is tried; the first failure is raised afterwards. Returns failures by sink."""
     batch = batch.persist()
-    failures: dict[str, int] = {}
-    first: Exception | None = None
     try:
-        for name, write in sinks:
-            try:
-                write(batch)
-            except Exception as e:
-                failures[name] = failures.get(name, 0) + 1
-                first = first or e
+        failures, first = attempt_all(batch, sinks)
     finally:
         batch.unpersist()
     if first is not None:
-        first.add_note(f"failures by sink: {failures}")
         raise first
     return failures
 

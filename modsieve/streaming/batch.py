@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,26 +46,59 @@ def gate(jobs: DataFrame, control: DataFrame, cap: int = 1000) -> DataFrame:
     return judged.withColumn("reason", reason).select("job_id", F.col("reason").isNull().alias("accepted"), "reason")
 
 
+def claims(deliveries: DataFrame, at: str = "finished_at", hold: float = 3600.0) -> DataFrame:
+    """The deliveries of each job_id that pass. One that passes claims its job for ``hold``
+    seconds; those within the claim are dropped and don't renew it. A job's deliveries stream through
+    one task in order of time, of which only the claim is kept."""
+    placed = deliveries.repartition("job_id").sortWithinPartitions("job_id", at)
+
+    def passing(batches):
+        job, until = None, None
+        for pdf in batches:
+            keep = []
+            for j, t in zip(pdf.job_id, pdf[at], strict=True):
+                if j != job or t > until:
+                    job, until = j, t + pd.Timedelta(seconds=hold)
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield pdf[keep]
+
+    return placed.mapInPandas(passing, deliveries.schema)
+
+
 class Pressure:
-    """The back-pressure machine of one adapter."""
+    """The back-pressure machine of one adapter. Its window is a queue with a count of the
+    wrong outcomes in it, so an outcome costs the same however many the window holds."""
 
     def __init__(self, n: int = 20, m: int = 5, rate: float = 50.0, window: float = 60.0, samples: int = 10) -> None:
         self.n, self.m, self.rate, self.window, self.samples = n, m, rate, window, samples
-        self.bad = self.good = 0
+        self.bad = self.good = self.wrong = 0
         self.tripped = False
-        self.kept: list[tuple[float, bool]] = []
+        self.kept: deque[tuple[float, bool]] = deque()
+
+    def saved(self) -> dict:
+        return {"bad": self.bad, "good": self.good, "tripped": self.tripped, "kept": list(self.kept)}
+
+    def restore(self, kept: dict) -> None:
+        self.bad, self.good, self.tripped = kept["bad"], kept["good"], kept["tripped"]
+        self.kept = deque((t, ok) for t, ok in kept["kept"])
+        self.wrong = sum(not ok for _, ok in self.kept)
 
     def record(self, at: float, ok: bool) -> bool:
         """Take an outcome in; returns whether intake is tripped afterwards."""
-        self.kept = [x for x in self.kept if x[0] > at - self.window] + [(at, ok)]
+        while self.kept and self.kept[0][0] <= at - self.window:
+            self.wrong -= not self.kept.popleft()[1]
+        self.kept.append((at, ok))
+        self.wrong += not ok
         if ok:
             self.good, self.bad = self.good + 1, 0
             if self.tripped and self.good >= self.m:
-                self.tripped, self.kept = False, []
+                self.tripped, self.wrong = False, 0
+                self.kept.clear()
         else:
             self.bad, self.good = self.bad + 1, 0
-            wrong = sum(not o for _, o in self.kept)
-            if self.bad >= self.n or len(self.kept) >= self.samples and wrong * 100 / len(self.kept) >= self.rate:
+            if self.bad >= self.n or len(self.kept) >= self.samples and self.wrong * 100 / len(self.kept) >= self.rate:
                 self.tripped = True
         return self.tripped
 

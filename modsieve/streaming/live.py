@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from ..operators import audit
+from ..operators.verdict import disposition
+from ..schemas import AUDIT, HEADS_OF_CHAINS as HEADS
 from ..sources import sinks
 from .batch import Pressure
 
@@ -42,12 +44,12 @@ class _PressureState(StatefulProcessor):
         machine = Pressure()
         if self.state.exists():
             kept = json.loads(self.state.get()[0])
-            machine.bad, machine.good, machine.tripped, machine.kept = kept["bad"], kept["good"], kept["tripped"], [tuple(x) for x in kept["kept"]]
+            machine.restore(kept)
         out = []
         for pdf in rows:
             for r in pdf.sort_values(["at", "seq"]).itertuples():
                 out.append((key[0], r.at, r.seq, machine.record(r.at.timestamp(), bool(r.ok))))
-        self.state.update((json.dumps({"bad": machine.bad, "good": machine.good, "tripped": machine.tripped, "kept": machine.kept}),))
+        self.state.update((json.dumps(machine.saved()),))
         yield pd.DataFrame(out, columns=["adapter", "at", "seq", "tripped"])
 
     def close(self) -> None:
@@ -91,38 +93,65 @@ def ledger(attempts: DataFrame, max_retries: int = 3, backoff: float = 30.0) ->
     return attempts.groupBy("job_id").transformWithStateInPandas(_Ledger(max_retries, backoff), "job_id string, attempt long, state string, retries long, ready_at timestamp", "Append", "None")
 
 
-def moderate(jobs: DataFrame, process: Callable[[DataFrame], DataFrame], store: str, letters: str, extra: list | None = None) -> DataStreamWriter:
-    """A job stream to envelopes (with disposition, attempts and at), written idempotently to
-    ``store``, dead letters to ``letters``, and to any ``extra`` sinks; all are tried."""
+def _stored(spark, path: str, schema: str) -> DataFrame:
+    """A Parquet table, empty where nothing is stored yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def moderate(jobs: DataFrame, process: Callable[[DataFrame], DataFrame], store: str, letters: str, extra: list | None = None, record: Callable[[DataFrame], None] | None = None, outcomes: str | None = None) -> DataStreamWriter:
+    """A job stream to envelopes (``process`` gives job_id, verdict, error, attempts, at and what
+    the store keeps), in this order: all sinks are tried, then ``record`` (the audit), then the
+    disposition is known: retry if a sink failed (nothing is audited), dead_letter if the audit
+    failed or the verdict is error, else ack. Dead letters go to ``letters`` and dispositions to
+    ``outcomes``, both once for each (job_id, attempts), so a replayed batch writes none twice. Without
+    ``outcomes`` a sink's failure is raised, and Spark replays the batch."""
 
     def batch(df: DataFrame, _: int) -> None:
-        done = process(df)
-        targets = [
-            ("store", lambda d: sinks.append_once(d.drop("disposition", "attempts", "at"), store)),
-            ("dead_letters", lambda d: sinks.dead_letters(d).write.mode("append").parquet(letters)),
-            *(extra or []),
-        ]
-        sinks.fan_out(done, targets)
+        done = process(df).drop("disposition").persist()
+        try:
+            failures, first = sinks.attempt_all(done, [("store", lambda d: sinks.append_once(d.drop("attempts", "at"), store)), *(extra or [])])
+            if failures and outcomes is None:
+                raise first
+            audited = True
+            if record is not None and not failures:
+                try:
+                    record(done)
+                except Exception:
+                    audited = False
+            final = done.withColumn("disposition", disposition(F.lit(not failures), F.lit(audited), F.col("verdict")))
+            sinks.append_once(sinks.dead_letters(final), letters, ("job_id", "attempts"), "at")
+            if outcomes is not None:
+                sinks.append_once(final.select("job_id", F.col("attempts").cast("long").alias("attempts"), "disposition", "at"), outcomes, ("job_id", "attempts"), "at")
+        finally:
+            done.unpersist()
 
     return jobs.writeStream.foreachBatch(batch)
 
 
-def audit_append(rows: DataFrame, log: str) -> DataStreamWriter:
-    """Appends decisions and events to the stored chains, continuing from their ends. A
-    chain that does not verify refuses the batch. Records land before anything names them."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        try:
-            stored = spark.read.parquet(log)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = spark.createDataFrame([], "chain_id long, seq long, timestamp string, prev_hash string, payload map<string,string>, entry_hash string, signature string")
-        own = stored.join(df.select("chain_id").distinct(), "chain_id", "left_semi")
-        broken = audit.verify(own).filter("first_broken is not null").limit(1).collect()
-        if broken:
-            raise ValueError(f"audit chain {broken[0].chain_id} is broken at {broken[0].first_broken}")
-        audit.append(audit.unseen(own, df), audit.heads_of(own)).write.mode("append").parquet(log)
-
-    return rows.writeStream.foreachBatch(batch)
+def audit_batch(df: DataFrame, log: str, heads: str) -> None:
+    """Appends decisions and events to the stored chains, continuing from their ends, and
+    then their new heads to ``heads``. A chain that does not verify, or that lacks the record its
+    stored head names, refuses the batch: appending would hide what is missing. Records land before
+    a head names them, so after a stop in between a chain is longer than its head, which is fine."""
+    spark = df.sparkSession
+    chains = df.select("chain_id").distinct()
+    own = _stored(spark, log, AUDIT).join(chains, "chain_id", "left_semi")
+    known = audit.heads_of(_stored(spark, heads, HEADS).join(chains, "chain_id", "left_semi"))
+    broken = audit.verify(own).filter("first_broken is not null").limit(1).collect()
+    if broken:
+        raise ValueError(f"audit chain {broken[0].chain_id} is broken at {broken[0].first_broken}")
+    lost = audit.anchors(own, known).filter("status in ('truncated', 'rewritten')").limit(1).collect()
+    if lost:
+        raise ValueError(f"audit chain {lost[0].chain_id} is {lost[0].status}")
+    audit.append(audit.unseen(own, df), audit.heads_of(own)).write.mode("append").parquet(log)
+    audit.heads_of(spark.read.parquet(log).join(chains, "chain_id", "left_semi")).write.mode("append").parquet(heads)
+
+
+def audit_append(rows: DataFrame, log: str, heads: str) -> DataStreamWriter:
+    """``audit_batch`` for every micro-batch of a stream."""
+    return rows.writeStream.foreachBatch(lambda df, _: audit_batch(df, log, heads))

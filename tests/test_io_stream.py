@@ -161,24 +161,103 @@ def test_streaming_redelivery_rates_liveness(spark, tmp_path):
     assert [(r.instance_id, r.stale_at, r.beats) for r in got] == [("i", at(90), 2)]
 
 
-def test_continuous_moderation_and_audit(spark, tmp_path):
-    jobs = spark.createDataFrame([(f"j{i}", "error" if i == 2 else "allow", at(i)) for i in range(4)] + [("j0", "allow", at(9))], "job_id string, verdict string, at timestamp")
+def _process(df):
+    return df.select("job_id", "verdict", F.col("at").alias("finished_at"), F.lit("boom").alias("error"), F.lit(1).alias("attempts"), "at")
 
-    def process(df):
-        return df.select("job_id", "verdict", F.col("at").alias("finished_at"), F.when(F.col("verdict") == "error", "dead_letter").otherwise("ack").alias("disposition"), F.lit("boom").alias("error"), F.lit(1).alias("attempts"), "at")
 
-    store, letters = str(tmp_path / "store"), str(tmp_path / "letters")
-    q = live.moderate(feed(spark, tmp_path, jobs.coalesce(1), "j"), process, store, letters).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+def _run(writer, tmp_path, name):
+    writer.option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
+
+
+def test_continuous_moderation(spark, tmp_path):
+    jobs = spark.createDataFrame([(f"j{i}", "error" if i == 2 else "allow", at(i)) for i in range(4)] + [("j0", "allow", at(9))], "job_id string, verdict string, at timestamp")
+    store, letters, outcomes = (str(tmp_path / x) for x in ("store", "letters", "outcomes"))
+    audited = []
+    writer = lambda name: live.moderate(feed(spark, tmp_path, jobs.coalesce(1), name), _process, store, letters, record=lambda d: audited.append(d.count()), outcomes=outcomes)
+    _run(writer("a"), tmp_path, "cp-a")
+    _run(writer("b"), tmp_path, "cp-b")  # the batch again: nothing is written twice
     assert sorted(r.job_id for r in spark.read.parquet(store).collect()) == ["j0", "j1", "j2", "j3"]
     assert [r.job_id for r in spark.read.parquet(letters).collect()] == ["j2"]
+    assert sorted((r.job_id, r.disposition) for r in spark.read.parquet(outcomes).collect()) == [("j0", "ack"), ("j1", "ack"), ("j2", "dead_letter"), ("j3", "ack")]
+    assert audited == [5, 5]
+
+
+def test_a_failed_sink_means_retry_and_no_audit(spark, tmp_path):
+    jobs = spark.createDataFrame([("a", "allow", at(1)), ("b", "error", at(2))], "job_id string, verdict string, at timestamp")
+    store, letters, outcomes = (str(tmp_path / x) for x in ("store", "letters", "outcomes"))
+    audited = []
+
+    def bad(_):
+        raise ValueError("full")
+
+    _run(live.moderate(feed(spark, tmp_path, jobs.coalesce(1), "f"), _process, store, letters, [("bad", bad)], audited.append, outcomes), tmp_path, "cp")
+    assert {(r.job_id, r.disposition) for r in spark.read.parquet(outcomes).collect()} == {("a", "retry"), ("b", "retry")}
+    assert not audited and not (tmp_path / "letters").exists()
+    assert spark.read.parquet(store).count() == 2  # the other sinks were tried
+    with pytest.raises(Exception, match="full"):
+        _run(live.moderate(feed(spark, tmp_path, jobs.coalesce(1), "g"), _process, store, letters, [("bad", bad)]), tmp_path, "cp2")
+    last = str(tmp_path / "last")
+    _run(live.moderate(feed(spark, tmp_path, jobs.coalesce(1), "h"), _process, store, letters, record=bad, outcomes=last), tmp_path, "cp3")
+    assert {r.disposition for r in spark.read.parquet(last).collect()} == {"dead_letter"}
+
 
+def test_the_audit_refuses_a_truncated_log(spark, tmp_path):
     rows = spark.createDataFrame([(1, "decision", i, f"t{i}", {"job_id": f"j{i % 3}"}) for i in range(5)], "chain_id long, kind string, ord long, timestamp string, payload map<string,string>")
-    log = str(tmp_path / "log")
+    log, heads = str(tmp_path / "log"), str(tmp_path / "heads")
     stream = feed(spark, tmp_path, rows.repartition(2, "ord"), "d")
-    live.audit_append(stream, log).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination(120)
+    _run(live.audit_append(stream, log, heads), tmp_path, "cp2")
     stored = spark.read.parquet(log)
     assert [tuple(r) for r in audit.verify(stored).collect()] == [(1, None, 3)]
+    assert audit.heads_of(spark.read.parquet(heads)).first().seq == 3
+    more = spark.createDataFrame([(1, "decision", 9, "t9", {"job_id": "j9"})], rows.schema)
+    cut = str(tmp_path / "cut")
+    stored.filter("seq < 2").write.parquet(cut)
+    with pytest.raises(ValueError, match="truncated"):
+        live.audit_batch(more, cut, heads)
+    with pytest.raises(ValueError, match="truncated"):
+        live.audit_batch(more, str(tmp_path / "gone"), heads)
+    live.audit_batch(more, log, heads)
+    assert [tuple(r) for r in audit.verify(spark.read.parquet(log)).collect()] == [(1, None, 4)]
+
+
+def test_claims_are_not_renewed(spark):
+    rows = [("a", at(60 * m)) for m in (0, 50, 100, 160, 161)] + [("b", at(0)), ("b", at(3600)), ("b", at(3601))]
+    d = spark.createDataFrame(rows, "job_id string, finished_at timestamp")
+    got = sorted((r.job_id, (r.finished_at - T0).total_seconds()) for r in B.claims(d).collect())
+    assert got == [("a", 0), ("a", 6000), ("a", 9660), ("b", 0), ("b", 3601)]
+    assert B.claims(d.limit(0)).count() == 0
+
+
+def test_outages_do_not_depend_on_the_slices(spark):
+    import random
+
+    g = random.Random(3)
+    rows, t = [], 0.0
+    for i in range(900):
+        t += g.choice([0, 1, 5, 30, 400])
+        rows.append((f"a{i % 3}", at(t), i, g.random() > (0.9 if 200 < i < 420 else 0.3)))
+    d = spark.createDataFrame(rows, "adapter string, at timestamp, seq long, ok boolean").repartition(3)
+    want = {}
+    for a in ("a0", "a1", "a2"):
+        own = [r for r in rows if r[0] == a]
+        best = run = 0
+        worst = 0.0
+        for k, r in enumerate(own):
+            run = 0 if r[3] else run + 1
+            best = max(best, run)
+            near = [x for x in own if r[1] - dt.timedelta(seconds=60) < x[1] <= r[1]]
+            if len(near) >= 3:
+                worst = max(worst, sum(not x[3] for x in near) / len(near))
+        want[a] = (best, worst)
+    for length in (60, 300, 3600, 10**7):
+        assert {r.adapter: (r.longest_run, r.worst_rate) for r in ops.outages(d, 60, 3, length).collect()} == want
+
+
+def test_no_category_row_is_shuffled_by_its_label(spark):
+    for name in ("a1_verdict", "j1_thresholds", "p4_heads", "a1_verdict_heads"):
+        plan = M.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        keys = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.split("\n") if "hashpartitioning(" in line]
+        assert not [k for k in keys if "label" in k or "category" in k.split(",")[0]], (name, keys)
 
 
 def test_manifest_and_logs_from_files(spark, tmp_path):
