@@ -414,7 +414,8 @@ def _chains(spark, sf) -> DataFrame:
     return audit.append(X.payload(spark, sf), none)
 
 
-def _tampered(spark, sf) -> DataFrame:
+def audit_log(spark, sf) -> DataFrame:
+    """The chains with some records forged, lost or cut off."""
     c = _chains(spark, sf).withColumn("_n", F.max("seq").over(Window.partitionBy("chain_id")))
     flip = (F.col("chain_id") % 5 == 1) & (F.col("seq") == 3)
     c = c.withColumn("payload", F.when(flip, F.map_concat(F.map_filter("payload", lambda k, v: k != "verdict"), F.create_map(F.lit("verdict"), F.lit("forged")))).otherwise(F.col("payload")))
@@ -425,7 +426,7 @@ def _tampered(spark, sf) -> DataFrame:
 SELECT chain_id, CASE WHEN chain_id % 7 = 6 THEN 'unanchored' WHEN last < n THEN 'truncated' WHEN chain_id % 7 = 5 THEN 'rewritten' ELSE 'ok' END AS status FROM t WHERE last > 0 OR chain_id % 7 <> 6""")
 def j8_anchor_check(spark, sf):
     heads = audit.heads_of(_chains(spark, sf)).filter("chain_id % 7 <> 6").withColumn("entry_hash", F.when(F.col("chain_id") % 7 == 5, F.lit("0" * 64)).otherwise(F.col("entry_hash")))
-    return audit.anchors(_tampered(spark, sf), heads)
+    return audit.anchors(audit_log(spark, sf), heads)
 
 
 @query(f"WITH {X.JOBS}, b AS (SELECT instance_id, max(finished_at) AS last FROM jobs GROUP BY 1), t AS (SELECT max(finished_at) AS now FROM jobs) SELECT job_id, instance_id, last AS last_beat FROM jobs LEFT JOIN b USING (instance_id), t WHERE (last IS NULL OR last < now - INTERVAL 60 SECOND)")
@@ -580,7 +581,7 @@ def w5_chain(spark, sf):
 
 @query(f"""WITH {X.PAYLOAD}, n AS (SELECT chain_id, max(seq) AS n FROM chain GROUP BY 1) SELECT chain_id, CASE WHEN chain_id % 5 IN (1, 2) AND n >= 3 THEN 3 END::BIGINT AS first_broken, CASE WHEN chain_id % 5 = 1 AND n >= 3 THEN 2 WHEN chain_id % 5 = 2 AND n >= 2 THEN 1 WHEN chain_id % 5 = 3 THEN n - 2 ELSE n END::BIGINT AS n_valid FROM n WHERE NOT (chain_id % 5 = 3 AND n <= 2)""")
 def w6_verify(spark, sf):
-    return audit.verify(_tampered(spark, sf))
+    return audit.verify(audit_log(spark, sf))
 
 
 @query(f"WITH {X.FRAMES} SELECT asset_id, frame_idx FROM frames WHERE timestamp_sec < 20 QUALIFY row_number() OVER (PARTITION BY asset_id, floor(timestamp_sec / 5) ORDER BY timestamp_sec, frame_idx) = 1")
