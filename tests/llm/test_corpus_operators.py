@@ -350,12 +350,27 @@ def test_model_learns_order_and_is_normalised(spark):
     got = language_model.score(frame(spark, rows)).collect()
     test = [r for r in got if r.held_out]
     assert sum(r.score for r in test) > 0.6 * sum(r.base_score for r in test)
-    valid = np.array([t for t in range(27) if t % 3 < 2])
-    q = language_model.fit(valid, valid + 1, 2)
-    assert np.allclose((10 ** language_model.log_table(q)).sum(axis=2), 1)
     assert language_model.score(frame(spark, [])).count() == 0
 
 
+def test_probabilities_are_normalised():
+    g = np.random.default_rng(5)
+    classes = language_model.Classes([(int(h), int(n)) for h, n in zip(g.integers(-(1 << 62), 1 << 62, 90), g.integers(5, 900, 90), strict=True)], [(k, 1000, 40) for k in range(language_model.TAILS)])
+    w = g.integers(0, classes.n, (6000, language_model.CONTEXTS))
+    q = language_model.train(language_model.start(classes), w, (w[:, 0] * 7 + 1) % classes.n, classes, 1, 0.02, False)
+    mapped = [q["context"] @ m for m in q["maps"]]
+    every = np.arange(classes.n)
+    for row in w[:3]:
+        assert abs((10 ** language_model.log_probability(q, mapped, np.repeat(row[None], classes.n, axis=0), every, classes)).sum() - 1) < 1e-6
+
+
+def test_tail_words_share_their_class(spark):
+    raw = np.frombuffer(b"Station nation ab \xc3\xa9b b", np.uint8)
+    t, to = language_model.tokens(raw, np.array([0, len(raw)]))
+    tail = t & np.uint64(language_model.TAILS - 1)
+    assert list(to) == [0, 6] and len(set(t.tolist())) == 6 and tail[0] == tail[1] and t[5] == language_model.END
+
+
 # --- pipeline
 
 
