@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import written
+from .storage import text_key, unused, written
 
 MASKS = ("111001011", "1101000111", "10110010011")
 MIN_WORDS = 5
@@ -232,7 +232,6 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that overlap with no test item. Rows are matched by doc_id
     and the SHA-256 of the text, so null and repeated ids do no harm."""
-    text = docs["text"].cast("string")
-    key = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(F.sha2(text, 256), F.lit("null")))
-    found = _overlaps(docs.select(key.alias("doc"), text.alias("text")), benchmark).select(F.col("doc").alias("_key")).distinct()
-    return docs.join(found, key == F.col("_key"), "left_anti")
+    key, (name,) = text_key(docs["doc_id"], docs["text"]), unused(docs, "_key")
+    found = _overlaps(docs.select(key.alias("doc"), docs["text"].cast("string").alias("text")), benchmark).select(F.col("doc").alias(name)).distinct()
+    return docs.join(found, key == F.col(name), "left_anti")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import written
+from .storage import unused, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -391,9 +391,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id and text name their class; of rows that
     repeat both, one stays."""
     found = written(_classes(docs, threshold), "classes")
-    kept = found.filter(F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.count("*").alias("_n"))
-    own = _copy(docs["text"].cast("string"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & own.eqNullSafe(kept["_copy"]))
-    once = rows.filter("_n = 1").select(docs.columns)
-    again = rows.filter("_n > 1").dropDuplicates(["_id", "_copy"]).select(docs.columns)
+    i, c, n = unused(docs, "_id", "_copy", "_n")
+    kept = found.filter(F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias(i), F.col("copy").alias(c)).agg(F.count("*").alias(n))
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[i]) & _copy(docs["text"].cast("string")).eqNullSafe(kept[c]))
+    once = rows.filter(F.col(n) == 1).select(docs.columns)
+    again = rows.filter(F.col(n) > 1).dropDuplicates([i, c]).select(docs.columns)
     return once.unionByName(again)

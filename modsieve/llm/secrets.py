@@ -9,8 +9,10 @@ other, and a weak candidate is reported only when its complementary parts are th
 * an account name needs a secret (strong or bare token) in scope,
 * an endpoint needs both an identifier and a secret in scope.
 
-Defined cases: a null or empty text has no spans; repeated rows are scanned one by one; matches
-of a kind do not overlap; positions are code points, ends exclusive; other columns are ignored.
+Defined cases: a null or empty text has no spans; a null doc_id stays null; repeated rows are
+scanned one by one; very long texts are scanned whole, spans of any length are linked; matches of a
+kind do not overlap, spans of one start come in the order of ``KINDS``; positions are code points,
+ends exclusive; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .storage import written
+from .storage import text_key, unused, written
 
 SCOPE = 400
 #: Fixed patterns and least lengths of the strong kinds.
@@ -40,7 +42,7 @@ KINDS = ("assign", "access", "hex", "account", "token", "endpoint")
 #: What a kind can be in a credential: an identifier, a secret or an endpoint.
 ROLE = {"assign": "secret", "access": "ident", "hex": "secret", "account": "ident", "token": "secret", "endpoint": "endpoint"}
 MIN_ENTROPY = 3.5
-_SIGNS = re.compile(r"[0-9]")
+_DIGIT = re.compile(r"[0-9]")
 
 
 def entropy(s: str) -> float:
@@ -71,17 +73,17 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _scan(batches):
-    kept = ["doc_id", "uid", "n_assign", "n_access", "n_hex", "base", "parts"]
+    kept = ["doc", "uid", "n_assign", "n_access", "n_hex", "base", "parts"]
     for pdf in batches:
         rows = []
-        for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
+        for doc, text in zip(pdf.doc, pdf.text, strict=True):
             text = text if isinstance(text, str) else ""
             base = strong(text)
             n = Counter(k for *_, k in base)
-            # every link needs a secret: a strong one, or a token, which has a digit
-            more = weak(text, base) if base or _SIGNS.search(text) else []
+            # every link needs a secret: a strong one (in ``base``), or a token, which has a digit
+            more = weak(text, base) if base or _DIGIT.search(text) else []
             rows.append((doc, uuid.uuid4().int >> 65, n["assign"], n["access"], n["hex"], _joined(base), [{"kind": k, "start": s, "end": e} for s, e, k in [*base, *more]] if more else []))
-        yield pd.DataFrame(rows, columns=kept).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=kept)
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -104,19 +106,22 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, n_assign, n_access, n_hex, base, spans): ``base`` the strong spans and
-    ``spans`` all reported spans, as kind:start:end by start, then kind, comma-joined."""
-    found = written(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_scan, "doc_id long, uid long, n_assign long, n_access long, n_hex long, base string, parts array<struct<kind:string,start:long,end:long>>"),
-        "spans",
-    )
+    """(doc_id, n_assign, n_access, n_hex, base, spans): ``base`` the strong spans and ``spans`` all
+    reported spans, as kind:start:end by start, then kind, comma-joined."""
+    found = _spans(docs.select(F.col("doc_id").cast("long").cast("string").alias("doc"), F.col("text").cast("string").alias("text")))
+    return found.select(F.col("doc").cast("long").alias("doc_id"), "n_assign", "n_access", "n_hex", "base", "spans")
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """``scan`` of rows (doc, text) named by any text, with a row's number ``uid``."""
+    found = written(docs.mapInPandas(_scan, "doc string, uid long, n_assign long, n_access long, n_hex long, base string, parts array<struct<kind:string,start:long,end:long>>"), "spans")
     parts = found.filter(F.size("parts") > 0).select("uid", F.inline("parts"))
     added = linked(parts).groupBy("uid").agg(F.collect_list(F.struct("start", "end", "kind")).alias("added"))
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     both = F.concat(F.filter("parts", lambda p: p["kind"].isin("assign", "access", "hex")), F.transform("added", lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"))))
     ordered = F.array_sort(F.transform(both, lambda p: F.struct(p["start"], order[p["kind"]].alias("k"), p["end"], p["kind"])))
     spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_join(F.transform(ordered, lambda p: F.concat_ws(":", p["kind"], p["start"], p["end"])), ","))
-    return found.join(added, "uid", "left").select("doc_id", "uid", "n_assign", "n_access", "n_hex", "base", spans.alias("spans"))
+    return found.join(added, "uid", "left").select("doc", "uid", "n_assign", "n_access", "n_hex", "base", spans.alias("spans"))
 
 
 @F.pandas_udf(StringType())
@@ -137,16 +142,13 @@ def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every reported span replaced by [SECRET] and ``n_chars`` set anew there.
 
-    Spans are matched to rows by doc_id and a hash of the text, so repeated ids do no harm;
+    Spans are matched to rows by doc_id and the SHA-256 of the text, so repeated ids do no harm;
     rows without spans stay as they are."""
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text")]
-    rows = docs.select("*", *key)
-    # the scan sees the hash as an id, so that its spans find their rows again
-    found = scan(docs.select(F.xxhash64(*key).alias("doc_id"), "text")).filter("spans <> ''").groupBy(F.col("doc_id").alias("_key")).agg(F.first("spans").alias("_spans"))
-    both = rows.withColumn("_key", F.xxhash64("_id", "_text")).join(found, "_key", "left")
-    hit = F.col("_spans").isNotNull()
-    text = F.when(hit, _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = both.withColumn("_new", text).withColumn("text", F.col("_new"))
+    key, (k, s, new) = text_key(docs["doc_id"], docs["text"]), unused(docs, "_key", "_spans", "_new")
+    found = _spans(docs.select(key.alias("doc"), docs["text"].cast("string").alias("text"))).filter("spans <> ''").groupBy(F.col("doc").alias(k)).agg(F.first("spans").alias(s))
+    both = docs.join(found, key == F.col(k), "left")
+    hit = F.col(s).isNotNull()
+    out = both.withColumn(new, F.when(hit, _masked(docs["text"], F.col(s))).otherwise(docs["text"])).withColumn("text", F.col(new))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(hit, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,5 +32,16 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each changed if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [n if n.lower() not in taken else f"{n}_{uuid.uuid4().hex}" for n in names]
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A text that rows share if they have one doc_id and one text: the id and a SHA-256."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.sha2(text.cast("string"), 256), F.lit("null")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,8 +22,9 @@ with a common prefix of ``LENGTH`` or more are equal windows; the smallest doc_i
 what each of them is judged by.
 
 Defined cases: null and empty texts have no bytes; documents with equal doc_ids don't remove from
-each other; a null doc_id counts as larger than all; repeated rows are separate documents; other
-columns are ignored.
+each other; a null doc_id counts as larger than all, and so does 2 ** 63 - 1; repeated rows are
+separate documents; very long texts are chunks of their own and treated whole; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

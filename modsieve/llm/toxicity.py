@@ -5,13 +5,15 @@ and word beginnings; the document's is the noisy-or of its sentences', 1 - prod(
 document labels are known, and the gradient of the noisy-or shares each label out among the
 sentences, so the trained model also tells which sentences offend.
 
-The model is fitted in numpy on at most ``SAMPLE`` labelled documents of each class, chosen by
-hash order; class weights restore the classes' true shares. Every document is scored whole.
+The model is fitted in numpy on at most ``SAMPLE`` labelled documents and ``SAMPLE_BYTES`` of text
+of each class, chosen by hash order; class weights restore the classes' true shares. Every document is scored whole.
 
 Defined cases: a null or empty text has no sentence and scores 0; a null label is no label; of
 several labels for a document the largest holds; documents without a label are only scored; a
 table without labels of both classes gives every document the score 0; a null doc_id is held out
-by the remainder of the empty string; other columns are ignored.
+by the remainder of the empty string; very long texts are scored whole; repeated rows are scored
+alike; a score of exactly the limit is toxic; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: The most labelled documents of each class to train on.
 SAMPLE = 3500
+#: The most bytes of text of each class to train on.
+SAMPLE_BYTES = 48 << 20
 BITS = 18
 PREFIX = 4
 EPOCHS = 120
@@ -64,7 +68,7 @@ def _features(batches):
                     ids.extend(sorted(own))
                     ids.append(-1)
             out.append(np.array(ids, np.int32).tobytes())
-        yield pd.DataFrame({"toxic": pdf.toxic, "ids": out})
+        yield pd.DataFrame({"doc_id": pdf.doc_id, "toxic": pdf.toxic, "ids": out})
 
 
 def _fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -113,7 +117,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         return None
     few = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = few[0].unionByName(few[1])  # at most 2 * sample rows of two numbers
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(_features, "toxic int, ids binary").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("size").alias("size"))
+    fits, used = [], {0: 0, 1: 0}
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # as many rows as chosen
+        if used[r.toxic] + (r["size"] or 0) <= SAMPLE_BYTES:
+            used[r.toxic] += r["size"] or 0
+            fits.append((r.doc_id, r.toxic))
+    if not fits:
+        return None
+    fitting = docs.sparkSession.createDataFrame(fits, "doc_id long, toxic int")
+    got = texts.join(F.broadcast(fitting), "doc_id").select("doc_id", "toxic", "text").mapInPandas(_features, "doc_id long, toxic int, ids binary").toPandas()
+    got = got.sort_values(["doc_id", "ids"])  # sums of floats must not depend on which task ended first
     bags = [np.frombuffer(x, np.int32) for x in got.ids]
     keep = [i for i, x in enumerate(bags) if len(x)]
     if not keep:

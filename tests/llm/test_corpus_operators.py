@@ -398,3 +398,45 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[SECRET]" in current.filter("doc_id = 203").first().text
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} <= seen[3] and len(rows) > 40
+
+
+CLASH = ("_key", "_KEY2", "_id", "_copy", "_n", "_spans", "_new", "doc", "item_id", "toxic", "copy", "bands", "label", "spans", "uid", "pass", "block", "score", "class_id")
+
+
+def test_stages_handle_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    g = random.Random(18)
+    plain = [(i, prose(70, g)) for i in range(30)]
+    long = prose(20000, g)
+    item = prose(40, g)
+    odd = [(None, None), (None, ""), (40, None), (40, None), (41, ""), (41, ""), (None, prose(50, g)), (42, long), (43, long), (44, "one"), (45, "one"), (46, plain[3][1] + " " + item), (47, "user=bob password=hunterhunter"), (47, "user=bob password=hunterhunter"), (48, "vileword " * 3), (5, prose(60, g))]
+    rows = [(i, t, g.choice([None, "en"]), g.choice([None, "s"]), None) for i, t in plain + odd]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in CLASH}).repartition(3)
+    labels = [(i, 1, 0) for i in range(30)] + [(48, 0, 1), (None, 1, 1), (3, None, None), (48, 1, 0)] + [(1000 + i, 0, 1) for i in range(9)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit(1)).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (1, None), (None, ""), (2, "two words")], "item_id long, text string").withColumn("doc_id", F.lit(1)).write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    bag = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    every = bag(docs)
+    for name in list(stage)[:-1]:
+        out = stage[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType
+        got = bag(out)
+        if name == "toxicity":
+            assert not got - every and all(got[i, t] for i, t in plain)
+        elif name == "near_duplicates":
+            want = {(i, t) for i, t in every if (i, t) not in {(43, long), (45, "one"), (46, None)}}
+            assert set(got) == want and max(got.values()) == 1
+        elif name == "decontamination":
+            assert got == collections.Counter({k: n for k, n in every.items() if k[0] != 46})
+        else:
+            assert got[47, "[SECRET] [SECRET]"] == 2 and sum(got.values()) == len(rows) and got[42, long] == 1
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in mixed} and all(r.n_tokens >= 0 for r in mixed)
+    nothing = docs.limit(0)
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, nothing, str(tmp_path)).count() == 0
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).limit(0).write.parquet(str(tmp_path / "empty" / f"{t}.parquet"))
+    assert bag(stage["toxicity"](spark, docs, str(tmp_path / "empty"))) == every
+    assert bag(stage["decontamination"](spark, docs, str(tmp_path / "empty"))) == every
