@@ -93,5 +93,24 @@ ranked AS (SELECT *, row_number() OVER o - 1 AS doc_pos, (sum(n_tokens) OVER (o
 SELECT doc_id, source, n_tokens, pass, r.block, block_pos::INTEGER AS block_pos, doc_pos::INTEGER AS doc_pos, before / d.budget AS at FROM ranked r JOIN drawn d USING (s, block) WHERE before < d.budget AND done < d.budget - before"""
 
 
+#: Matches of every kind with their places, from the pieces between them; weak ones met by a range join.
+SECRETS_SQL = r"""WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t FROM documents),
+p(kind, rank, pat, g) AS (VALUES ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), ('access', 1, '(AKIA[A-Z0-9]+)', 1), ('hex', 2, '([0-9a-f]+)', 1),
+ ('account', 3, '\b([Aa][Cc][Cc][Ee][Ss][Ss]_?[Kk][Ee][Yy]_?[Ii][Dd]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Uu][Ss][Ee][Rr]_?[Nn][Aa][Mm][Ee]|[Uu][Ss][Ee][Rr]|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9_.@+-]{3,64})', 2), ('run', 4, '([A-Za-z0-9+/=_-]+)', 1), ('endpoint', 5, '\b([a-z][a-z0-9+.-]{1,15}://[^\t-\r "''<>]+)', 1)),
+m AS (SELECT u, kind, rank, regexp_extract_all(t, pat) AS ms, regexp_extract_all(t, pat, g) AS gs, string_split_regex(t, pat) AS gaps FROM d, p),
+s AS (SELECT u, kind, rank, unnest(ms) AS s, unnest(gs) AS v, unnest(gaps[1:len(ms)]) AS gap, unnest(range(len(ms))) AS k FROM m WHERE len(ms) > 0),
+pos AS (SELECT u, kind, rank, s, v, sum(length(gap) + length(s)) OVER (PARTITION BY u, kind ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM s),
+f AS (SELECT u, kind, rank, s, e - length(s) AS b, e FROM pos WHERE CASE kind WHEN 'assign' THEN length(v) >= 8 WHEN 'access' THEN length(s) >= 16 WHEN 'hex' THEN length(s) >= 32 WHEN 'run' THEN regexp_full_match(s, '[A-Za-z0-9+/_-]{20,}={0,2}') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]') ELSE true END),
+base AS (SELECT * FROM f WHERE rank < 3),
+clear AS (SELECT * FROM f WHERE rank > 2 AND NOT EXISTS (SELECT 1 FROM base WHERE base.u = f.u AND base.b < f.e AND f.b < base.e)),
+token AS (SELECT u, 'token' AS kind, rank, s, b, e FROM clear c WHERE kind = 'run' AND NOT EXISTS (SELECT 1 FROM f WHERE f.u = c.u AND f.kind = 'endpoint' AND f.b < c.e AND c.b < f.e) AND NOT EXISTS (SELECT 1 FROM clear a WHERE a.u = c.u AND a.kind = 'account' AND a.b < c.e AND c.b < a.e)
+ AND (SELECT -sum(n / length(c.s) * log2(n / length(c.s))) FROM (SELECT x, count(*) AS n FROM (SELECT unnest(string_split(c.s, '')) AS x) GROUP BY x)) >= 3.5),
+part AS (SELECT u, kind, rank, b, e FROM base UNION ALL SELECT u, kind, rank, b, e FROM clear WHERE kind <> 'run' UNION ALL SELECT u, kind, rank, b, e FROM token),
+met AS (SELECT w.u, w.kind, w.rank, w.b, w.e, bool_or(o.kind IN ('access', 'account')) AS ident, bool_or(o.kind IN ('assign', 'hex', 'token')) AS secret FROM part w JOIN part o ON w.u = o.u AND w.rank > 2 AND o.kind <> 'endpoint' AND o.b - w.e <= 400 AND w.b - o.e <= 400 GROUP BY ALL),
+found AS (SELECT u, kind, rank, b, e FROM base UNION ALL SELECT u, kind, rank, b, e FROM met WHERE CASE kind WHEN 'token' THEN ident WHEN 'account' THEN secret ELSE ident AND secret END),
+r AS (SELECT u, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) AS spans FROM found GROUP BY u)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (u)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array": SUFFIX_ARRAY_SQL, "op9_mixing": MIXING_SQL}
+    return {"op2_suffix_array": SUFFIX_ARRAY_SQL, "op8_secrets": SECRETS_SQL, "op9_mixing": MIXING_SQL}

@@ -222,6 +222,31 @@ def test_single_pairs_and_long_spans_are_linked(spark):
     assert sorted(map(tuple, secrets.linked(df).select("uid", "kind", "start", "end").collect())) == sorted(want)
 
 
+def test_secrets_equal_their_oracle(spark, tmp_path):
+    import duckdb
+
+    from modsieve.llm import queries
+
+    g = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    make = [
+        lambda: "password" + g.choice(["=", ": ", '": "']) + "".join(g.choices(letters, k=g.randint(4, 30))), lambda: "AKIA" + "".join(g.choices("ABCDEF0123", k=g.randint(8, 20))), lambda: "".join(g.choices("0123456789abcdef", k=g.randint(20, 60))),
+        lambda: g.choice(["user", "Client_ID", "login"]) + "=" + "".join(g.choices(letters[:40], k=g.randint(1, 12))), lambda: "".join(g.choices(letters, k=g.randint(15, 80))) + g.choice(["", "=", "==", "==="]), lambda: g.choice(["https", "db+x"]) + "://h.example/" + "".join(g.choices(letters, k=g.randint(0, 40))),
+        lambda: "é " * g.randint(1, 250), lambda: " ".join(words(g.randint(1, 60), g.randrange(10**6))),
+    ]
+    texts = [g.choice([" ", ", ", "", "\n"]).join(g.choice(make)() for _ in range(g.randint(0, 14))) for _ in range(400)] + [None, "", "token=" + "a1" * 1000 + " then user=admin1", "user=admin password=hunterhunter"]
+    spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.op8_secrets(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op8_secrets"])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    rows = want.fetchall()
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(rows)
+    assert sum("account" in r[-1] for r in rows) > 50 and sum(",token" in r[-1] for r in rows) > 20 and sum("endpoint" in r[-1] for r in rows) > 20
+
+
 # --- toxicity
 
 
