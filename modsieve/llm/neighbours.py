@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,6 +145,11 @@ def _vectors(column: pd.Series) -> np.ndarray:
     return np.array([np.asarray(x, np.float64) for x in column]) if len(column) else np.empty((0, 0))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow list column, all of one length, as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def _true_neighbours(kept: DataFrame, few: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """A bounded number of sampled rows and their ``k`` nearest of all rows, by a full scan."""
     asked = few.iloc[:: max(1, len(few) // FIT)].head(FIT)
@@ -153,17 +159,18 @@ def _true_neighbours(kept: DataFrame, few: pd.DataFrame, k: int) -> tuple[np.nda
     def best(batches):
         ids, v = shared.value
         top: list[list[tuple]] = [[] for _ in ids]
-        for pdf in batches:
-            m, own = _vectors(pdf.embedding), pdf.uid.to_numpy()
+        for b in batches:
+            m, own = _matrix(b.column("embedding")), np.asarray(b.column("uid"))
             score = v @ m.T
             score[own[None, :] == ids[:, None]] = -np.inf
             first = np.argsort(-score, axis=1, kind="stable")[:, :k]
             for i, row in enumerate(first):
                 top[i] = sorted(top[i] + [(-score[i, j], own[j], m[j]) for j in row if score[i, j] > -np.inf], key=lambda x: x[:2])[:k]
         rows = [(i, -s, u, x.tolist()) for i, t in enumerate(top) for s, u, x in t]
-        yield pd.DataFrame(rows, columns=["asked", "score", "uid", "embedding"])
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["asked", "score", "uid", "embedding"])
 
-    found = kept.select("uid", "embedding").mapInPandas(best, "asked int, score double, uid long, embedding array<double>")
+    found = kept.select("uid", "embedding").mapInArrow(best, "asked int, score double, uid long, embedding array<double>")
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "uid")
     got = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).orderBy("asked", "n").toPandas()  # FIT * k vectors
     sizes = got.groupby("asked").size()
@@ -196,36 +203,39 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     shared = spark.sparkContext.broadcast(plan)  # CURVES projections and CURVES * SAMPLE keys
 
     def keyed(batches):
-        for pdf in batches:
+        for b in batches:
+            v, asks = _matrix(b.column("embedding")), np.asarray(b.column("query"), bool)
             for is_query in (False, True):
-                own = pdf[pdf["query"] == is_query]
+                own = np.flatnonzero(asks == is_query)
                 if not len(own):
                     continue
-                keys, far = curve_keys(_vectors(own.embedding), longest, shared.value, is_query and stretched)
+                keys, far = curve_keys(v[own], longest, shared.value, is_query and stretched)
                 use = np.argsort(np.argsort(-far, axis=0, kind="stable"), axis=0) < (taken if is_query else CURVES)
                 if taken == 1 and share == 1.0:
                     use[1:], use[0] = False, True  # one window over one whole curve
                 for c in range(CURVES):
-                    if use[c].any():
-                        yield own[use[c]].assign(curve=c, key=keys[c][use[c]])
+                    at = np.flatnonzero(use[c])
+                    if len(at):
+                        rows = b.take(pa.array(own[at]))
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(at), c, np.int32)), pa.array(keys[c][at])], names=[*rows.schema.names, "curve", "key"])
 
     def ranked(batches):
         """Each row's block and the number of candidates before it there."""
         block, before = TaskContext.get().partitionId(), {}
-        for pdf in batches:
-            place = np.empty(len(pdf), np.int64)
-            for c in pdf.curve.unique():
-                at = np.flatnonzero(pdf.curve.to_numpy() == c)
-                row = ~pdf["query"].to_numpy()[at]
-                place[at] = np.cumsum(row) - row + before.get(c, 0)
-                before[c] = before.get(c, 0) + int(row.sum())
-            yield pdf.assign(block=block, place=place)
+        for b in batches:
+            curve, row = np.asarray(b.column("curve")), ~np.asarray(b.column("query"), bool)
+            place = np.empty(len(curve), np.int64)
+            for c in np.unique(curve).tolist():
+                at = np.flatnonzero(curve == c)
+                place[at] = np.cumsum(row[at]) - row[at] + before.get(c, 0)
+                before[c] = before.get(c, 0) + int(row[at].sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(curve), block, np.int32)), pa.array(place)], names=[*b.schema.names, "block", "place"])
 
     both = kept.withColumn("query", F.lit(False)).unionByName(rows.filter("query").select("uid", "vec_id", "embedding", "query"))
     fields = f"uid long, vec_id long, embedding {held}, query boolean, curve int, key long"
     blocks = CURVES * max(BLOCKS, -(-n // BLOCK_ROWS))
-    dealt = both.mapInPandas(keyed, fields).repartitionByRange(blocks, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "query", "vec_id", "uid")
-    placed = written(dealt.mapInPandas(ranked, f"{fields}, block int, place long"), "curves")
+    dealt = both.mapInArrow(keyed, fields).repartitionByRange(blocks, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "query", "vec_id", "uid")
+    placed = written(dealt.mapInArrow(ranked, f"{fields}, block int, place long"), "curves")
 
     # ranks: a block's first row comes after all rows of the curve's earlier blocks
     size = placed.filter("not query").groupBy("curve", "block").agg(F.count("*").alias("size"))

@@ -320,6 +320,37 @@ def test_main_text(raw, want):
     assert html.extract(raw) == want
 
 
+def test_articles_of_random_pages():
+    import html as escapes
+
+    g = random.Random(23)
+    around = [
+        "<nav class='menu'><ul><li><a href=a>Home<li><a href=b>About us</a></ul></nav>", "<header><h1>Site name</h1><p>Slogan of this site</p></header>", "<aside id=sidebar><p>{0}</p></aside>", "<footer>(c) by us, {0}</footer>", "<div class='cookie-notice'>{0} <button>OK</button></div>",
+        "<div class='ad'><p>{0}</p></div>", "<form><input name=q><label>Search</label></form>", "<script>var x = '<p>{0}</p>';</script>", "<style>p {{ color: red }}</style>", "<section id='comments'><h3>3 comments</h3><p>{0}</p></section>", "<!-- {0} -->", "<p hidden>{0}</p>",
+    ]
+    sentence = lambda: " ".join(words(g.randint(3, 40), g.randrange(10**6))) + g.choice([".", " & more.", " <1>.", " é."])
+    noise = lambda first=0: g.choice(around[first:]).format(" ".join(words(g.randint(2, 30), g.randrange(10**6))))
+
+    def marked(text):
+        w = [escapes.escape(x) if g.random() < 0.8 else "".join(f"&#{ord(c)};" for c in x) for x in text.split()]
+        for _ in range(2):
+            k = g.randrange(len(w))
+            w[k] = g.choice(["<b>{0}</b>", "<a href='x?a=1&b=2'>{0}</a>", "<em class=q>{0}</em>", "{0}<!-- c -->"]).format(w[k])
+        return g.choice([" ", "\n  ", "\t"]).join(w)
+
+    for _ in range(200):
+        blocks = [sentence() for _ in range(g.randint(3, 12))]
+        inner = []
+        for k, t in enumerate(blocks):
+            tag = "h2" if k == 0 else g.choice(["p", "p", "li", "blockquote"])
+            inner.append(f"<{tag}>{marked(t)}" + (f"</{tag}>" if g.random() < 0.9 or tag != "p" else ""))
+            if g.random() < 0.2:
+                inner.append(noise(2))  # an article's own header belongs to it
+        holder = g.choice(["article", "main"])
+        raw = f"<!DOCTYPE html><html><head><title>{sentence()}</title></head><body>" + "".join(noise() for _ in range(g.randint(0, 5))) + f"<{holder}>" + "".join(inner) + f"</{holder}>" + "".join(noise() for _ in range(g.randint(0, 5))) + "</body></html>"
+        assert html.extract(raw) == " ".join(blocks)
+
+
 def test_pages_table(spark):
     rows = [(1, "u", page(f"<article><p>{LONG}</p></article>")), (None, None, None), (1, "u", ""), (2, "u", "<p>é" + "x " * 50000)]
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
