@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -143,17 +144,12 @@ def oversize(frames: DataFrame, caps: DataFrame) -> DataFrame:
 MAX_METADATA = 4096
 
 
+_STRING_OR_SPACE = re.compile(r'("(?:[^"\\]|\\.)*")|[ \t\r\n]+')
+
+
 def _compact(text: str) -> str:
     """JSON text without white space between tokens; strings stay as they are."""
-    out, inside, escaped = [], False, False
-    for c in text:
-        if inside:
-            out.append(c)
-            inside, escaped = (escaped or c != '"'), (not escaped and c == "\\")
-        elif c not in " \t\r\n":
-            out.append(c)
-            inside = c == '"'
-    return "".join(out)
+    return _STRING_OR_SPACE.sub(r"\1", text)
 
 
 def _no_constant(name: str):

@@ -83,20 +83,23 @@ def append(rows: DataFrame, heads: DataFrame) -> DataFrame:
     start = rows.join(heads.select("chain_id", F.col("seq").alias("_seq"), F.col("entry_hash").alias("_hash")), "chain_id", "left")
     ready = start.select("chain_id", "ord", "timestamp", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("payload")))).alias("p"), canonical(F.col("payload")).alias("canon"), F.coalesce("_seq", F.lit(0)).cast("long").alias("seq0"), F.coalesce("_hash", F.lit(GENESIS)).alias("hash0"))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        seq, prev, out = int(pdf.seq0.iloc[0]), pdf.hash0.iloc[0], []
-        for t, c, p in zip(pdf.timestamp, pdf.canon, pdf.p, strict=True):
-            seq += 1
-            body = seq.to_bytes(8, "big")
-            for x in (t.encode(), None, c.encode()):
-                body += bytes.fromhex(prev) if x is None else len(x).to_bytes(8, "big") + x
-            own = hashlib.sha256(body).hexdigest()
-            out.append((pdf.chain_id.iloc[0], seq, t, prev, p, own))
-            prev = own
-        return pd.DataFrame(out, columns=["chain_id", "seq", "timestamp", "prev_hash", "p", "entry_hash"])
-
-    done = ready.groupBy("chain_id").applyInPandas(chain, "chain_id long, seq long, timestamp string, prev_hash string, p string, entry_hash string")
+    def chain(batches):
+        at, seq, prev = None, 0, ""
+        for pdf in batches:
+            out = []
+            for c, t, text, p, seq0, hash0 in zip(pdf.chain_id, pdf.timestamp, pdf.canon, pdf.p, pdf.seq0, pdf.hash0, strict=True):
+                if c != at:
+                    at, seq, prev = c, int(seq0), hash0
+                seq += 1
+                time, body = t.encode(), text.encode()
+                own = hashlib.sha256(seq.to_bytes(8, "big") + len(time).to_bytes(8, "big") + time + bytes.fromhex(prev) + len(body).to_bytes(8, "big") + body).hexdigest()
+                out.append((c, seq, t, prev, p, own))
+                prev = own
+            yield pd.DataFrame(out, columns=["chain_id", "seq", "timestamp", "prev_hash", "p", "entry_hash"])
+
+    # a chain's rows stream through one task in order; only its end is kept
+    placed = ready.repartition("chain_id").sortWithinPartitions("chain_id", "ord")
+    done = placed.mapInPandas(chain, "chain_id long, seq long, timestamp string, prev_hash string, p string, entry_hash string")
     return done.select("chain_id", "seq", "timestamp", "prev_hash", F.from_json("p", "map<string,string>").alias("payload"), "entry_hash", F.lit(None).cast("string").alias("signature"))
 
 
