@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language_model, mixing, near_duplicates, neighbours, secrets, suffix_dedup, surrogates, toxicity
+from ..functions.local import local
+from . import decontaminate, html, language_model, mixing, near_duplicates, neighbours, secrets, suffix_dedup, surrogates, toxicity, url_filters
 from .storage import table
 
 
@@ -56,8 +57,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The rules of the filter query (verdict, host, path).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"), local(spark, URL_RULES, "verdict string, host string, path string"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_suffix_array, op3_toxicity, op4_surrogates, op5_minhash, op6_neighbours, op7_language_model, op8_secrets, op9_mixing, op10_decontaminate)}
+    found = (op1_html, op2_suffix_array, op3_toxicity, op4_surrogates, op5_minhash, op6_neighbours, op7_language_model, op8_secrets, op9_mixing, op10_decontaminate, op13_url_filters)
+    return {f.__name__: f for f in found}
 
 
 #: All 50-byte strings as hexadecimal text, cut out of blocks of 500 bytes, and the union of the
@@ -112,5 +122,27 @@ r AS (SELECT u, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (u)"""
 
 
+#: Rules by their host's suffix and path; blocked urls spread over links and canonical forms by recursion.
+#: References are those with a scheme or from the site's root; the others are left to the tests.
+URL_FILTERS_SQL = r"""WITH RECURSIVE rules(v, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+p AS (SELECT page_id, url, regexp_replace(html, '(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)', ' ', 'g') AS html FROM pages),
+t AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) AS tag FROM p UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) FROM p),
+v AS (SELECT url, regexp_extract(tag, '(?i)[\s"''/]href\s*=\s*["'']?([^"''>]*)', 1) AS href, regexp_extract(tag, '(?i)[\s"''/]content\s*=\s*"\s*[0-9.]+\s*[;,\s]\s*(?:url\s*=\s*)?''?([^"'']*)', 1) AS sent,
+ regexp_matches(tag, '(?i)[\s"''/]rel\s*=\s*["'']?(?:[^"'']*\s)?canonical[\s"''/>]') AS canonical, regexp_matches(tag, '(?i)[\s"''/]http-equiv\s*=\s*["'']?refresh["''\s/>]') AS refresh FROM t),
+r AS (SELECT url, replace(CASE WHEN canonical THEN href ELSE sent END, '&amp;', '&') AS ref FROM v WHERE canonical OR refresh),
+l AS (SELECT url AS u, CASE WHEN regexp_matches(ref, '(?i)^https?://') THEN ref WHEN ref LIKE '//%' THEN regexp_extract(url, '^([^:/?#]+):', 1) || ':' || ref WHEN ref LIKE '/%' THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || ref END AS w FROM r),
+e0 AS (SELECT u, w FROM l WHERE u LIKE '%://%' AND w IS NOT NULL),
+n0 AS (SELECT url AS x FROM pages WHERE url LIKE '%://%' UNION SELECT w FROM e0),
+n1 AS (SELECT x, translate(regexp_extract(x, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || translate(regexp_extract(x, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(x, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS a FROM n0),
+f AS (SELECT DISTINCT a, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '^http://', 'https://'), '(?s)^([^:]*://[^/?#]*)(\?|$)', '\1/\2'), '(?i)([?&])(?:(?:utm_[a-z]+|ref|gclid|fbclid|mc_cid|mc_eid)(?:=[^&]*)?(?:&|$))+', '\1', 'g'), '[?&]$', '') AS b FROM n1),
+e AS (SELECT a, b FROM f WHERE a <> b UNION SELECT x.a, y.a FROM e0 JOIN n1 x ON x.x = e0.u JOIN n1 y ON y.x = e0.w WHERE x.a <> y.a),
+n AS (SELECT a AS k FROM f UNION SELECT b FROM f),
+h AS (SELECT k, regexp_extract(k, '(?s)^.*?://([^/?#]*)', 1) AS host, regexp_extract(k, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM n),
+j AS (SELECT k, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(v, length(rh) + length(rp)) AS v FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k),
+s AS (SELECT k FROM j WHERE v = 'block' UNION SELECT CASE WHEN e.a = s.k THEN e.b ELSE e.a END FROM s JOIN e ON e.a = s.k OR e.b = s.k)
+SELECT page_id, coalesce(h.host, '') AS host, coalesce(h.path, '') AS path, j.rule AS rule, coalesce(j.v, CASE WHEN s.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN n1 ON n1.x = pages.url LEFT JOIN h ON h.k = n1.a LEFT JOIN j ON j.k = n1.a LEFT JOIN s ON s.k = n1.a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array": SUFFIX_ARRAY_SQL, "op8_secrets": SECRETS_SQL, "op9_mixing": MIXING_SQL}
+    return {"op2_suffix_array": SUFFIX_ARRAY_SQL, "op8_secrets": SECRETS_SQL, "op9_mixing": MIXING_SQL, "op13_url_filters": URL_FILTERS_SQL}
