@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.local import local
-from . import decontaminate, html, language_model, mixing, near_duplicates, neighbours, secrets, suffix_dedup, surrogates, toxicity, url_filters
+from . import decontaminate, html, language_model, merkle, mixing, near_duplicates, neighbours, secrets, suffix_dedup, surrogates, toxicity, url_filters
 from .storage import table
 
 
@@ -57,6 +57,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("string")
+    tampered = F.crc32(F.col("doc_id").cast("long").cast("string")) % 3 == 0
+    found = F.when(tampered, url_filters.lowered(text)).otherwise(text)
+    return merkle.manifest(table(spark, sf_dir, "documents"), found)
+
+
 #: The rules of the filter query (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -66,7 +73,7 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_html, op2_suffix_array, op3_toxicity, op4_surrogates, op5_minhash, op6_neighbours, op7_language_model, op8_secrets, op9_mixing, op10_decontaminate, op13_url_filters)
+    found = (op1_html, op2_suffix_array, op3_toxicity, op4_surrogates, op5_minhash, op6_neighbours, op7_language_model, op8_secrets, op9_mixing, op10_decontaminate, op12_merkle, op13_url_filters)
     return {f.__name__: f for f in found}
 
 
@@ -122,6 +129,28 @@ r AS (SELECT u, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (u)"""
 
 
+#: The checksum bit by bit; a level a step of recursion, up the languages' trees, then over the languages;
+#: folding with the siblings of each level, a step of recursion each.
+MERKLE_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, lang, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+ coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+ xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) AS crc FROM documents),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, CASE WHEN doc_id IS NOT NULL AND crc % 3 = 0 THEN sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS other FROM d),
+n AS (SELECT *, row_number() OVER () AS u, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+up AS (SELECT 0 AS lv, lang, pos, leaf AS h FROM n UNION ALL SELECT lv + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS c FROM up) WHERE c > 1 GROUP BY lv, lang, pos // 8),
+sub AS (SELECT lang, arg_max(h, lv) AS h, max(lv) AS top FROM up GROUP BY lang),
+f AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM sub),
+fup AS (SELECT 0 AS lv, k AS pos, h FROM f UNION ALL SELECT lv + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS c FROM fup) WHERE c > 1 GROUP BY lv, pos // 8),
+root AS (SELECT arg_max(h, lv) AS root, max(lv) AS top FROM fup),
+side AS (SELECT a.lang, a.lv, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r FROM up a JOIN up b ON a.lang IS NOT DISTINCT FROM b.lang AND a.lv = b.lv AND a.pos // 8 = b.pos // 8 GROUP BY ALL),
+fside AS (SELECT a.lv, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r FROM fup a JOIN fup b ON a.lv = b.lv AND a.pos // 8 = b.pos // 8 GROUP BY ALL),
+way AS (SELECT n.u, s.lv, s.l, s.r FROM n JOIN f ON n.lang IS NOT DISTINCT FROM f.lang JOIN side s ON s.lang IS NOT DISTINCT FROM n.lang AND s.lv < f.top AND s.pos = n.pos // (8 ** s.lv)::BIGINT
+ UNION ALL SELECT n.u, f.top + s.lv, s.l, s.r FROM n JOIN f ON n.lang IS NOT DISTINCT FROM f.lang JOIN fside s ON s.pos = f.k // (8 ** s.lv)::BIGINT JOIN root ON s.lv < root.top),
+proof AS (SELECT u, sha256(string_agg(l || r, '' ORDER BY lv)) AS p, max(lv) + 1 AS steps FROM way GROUP BY u),
+fold AS (SELECT u, 0 AS lv, coalesce(other, leaf) AS h FROM n UNION ALL SELECT u, lv + 1, sha256(l || h || r) FROM fold JOIN way USING (u, lv))
+SELECT doc_id, leaf, f.h AS subroot, root, coalesce(p, sha256('')) AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified
+FROM n JOIN f ON n.lang IS NOT DISTINCT FROM f.lang CROSS JOIN root LEFT JOIN proof USING (u) JOIN fold ON fold.u = n.u AND fold.lv = coalesce(steps, 0)"""
+
+
 #: Rules by their host's suffix and path; blocked urls spread over links and canonical forms by recursion.
 #: References are those with a scheme or from the site's root; the others are left to the tests.
 URL_FILTERS_SQL = r"""WITH RECURSIVE rules(v, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -145,4 +174,4 @@ FROM pages LEFT JOIN n1 ON n1.x = pages.url LEFT JOIN h ON h.k = n1.a LEFT JOIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array": SUFFIX_ARRAY_SQL, "op8_secrets": SECRETS_SQL, "op9_mixing": MIXING_SQL, "op13_url_filters": URL_FILTERS_SQL}
+    return {"op2_suffix_array": SUFFIX_ARRAY_SQL, "op8_secrets": SECRETS_SQL, "op9_mixing": MIXING_SQL, "op12_merkle": MERKLE_SQL, "op13_url_filters": URL_FILTERS_SQL}
