@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.local import local
-from . import decontaminate, html, language_model, merkle, mixing, near_duplicates, neighbours, secrets, suffix_dedup, surrogates, toxicity, url_filters
+from . import decontaminate, html, language_model, merkle, mixing, near_duplicates, neighbours, periodic_runs, secrets, suffix_dedup, surrogates, toxicity, url_filters
 from .storage import table
 
 
@@ -57,6 +57,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), a tenth of the rows (by checksum of the id) with words that repeat from some place on."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    h = F.crc32(doc_id.cast("string"))
+    g, words = F.floor(h / 10), F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    some = docs.select(doc_id.alias("doc_id"), text.alias("text"), g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    a = (F.col("g") % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    return some.select("doc_id", F.when(n > 0, F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), a), tail), F.lit(1), n), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_periodic_tails(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    found = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.p")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text").cast("string")
     tampered = F.crc32(F.col("doc_id").cast("long").cast("string")) % 3 == 0
@@ -73,7 +98,7 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_html, op2_suffix_array, op3_toxicity, op4_surrogates, op5_minhash, op6_neighbours, op7_language_model, op8_secrets, op9_mixing, op10_decontaminate, op12_merkle, op13_url_filters)
+    found = (op1_html, op2_suffix_array, op3_toxicity, op4_surrogates, op5_minhash, op6_neighbours, op7_language_model, op8_secrets, op9_mixing, op10_decontaminate, op11_periodic_runs, op12_merkle, op13_url_filters)
     return {f.__name__: f for f in found}
 
 
@@ -129,13 +154,37 @@ r AS (SELECT u, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (u)"""
 
 
+#: A run of four periods holds four multiples of its period with one word; periods that have such
+#: places are compared word by word, and equal stretches keep their smallest period.
+PERIODIC_RUNS_SQL = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) END AS h FROM documents),
+c AS MATERIALIZED (SELECT u, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS changed, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM d),
+o AS (SELECT u, unnest(range(len(w))) AS i, unnest(w) AS t FROM c),
+q AS (SELECT u, n, changed, a, 1 + (n - a) // (3 + g % 8) AS p FROM c),
+m AS (SELECT o.u, o.i, CASE WHEN changed AND o.i >= a THEN a + (o.i - a) % p ELSE o.i END AS src, n FROM o JOIN q USING (u)),
+t AS MATERIALIZED (SELECT m.u, m.i, o.t FROM m JOIN o ON o.u = m.u AND o.i = m.src),
+k AS (SELECT u, p, unnest(range(0, n - 3 * p, p)) AS i FROM (SELECT u, n, unnest(range(1, n // 4 + 1)) AS p FROM c)),
+k1 AS MATERIALIZED (SELECT k.u, p, k.i, t FROM k JOIN t ON t.u = k.u AND t.i = k.i),
+k2 AS MATERIALIZED (SELECT k.u, p, k.i, k.t FROM k1 k JOIN t ON t.u = k.u AND t.i = k.i + p AND t.t = k.t),
+k3 AS MATERIALIZED (SELECT k.u, p, k.i, k.t FROM k2 k JOIN t ON t.u = k.u AND t.i = k.i + 2 * p AND t.t = k.t),
+cand AS MATERIALIZED (SELECT DISTINCT k.u, p FROM k3 k JOIN t ON t.u = k.u AND t.i = k.i + 3 * p AND t.t = k.t),
+x AS MATERIALIZED (SELECT t.u, p, i, t FROM cand JOIN t USING (u)),
+e AS (SELECT x.u, x.p, x.i FROM x JOIN t ON t.u = x.u AND t.i = x.i + x.p AND t.t = x.t),
+s AS (SELECT u, p, min(i) AS b, count(*) + p AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY u, p ORDER BY i) AS island FROM e) GROUP BY u, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT u, b, l, min(p) AS p FROM s GROUP BY u, b, l),
+f AS (SELECT u, count(*) AS n_runs, string_agg(b || ',' || l || ',' || p || chr(10), '' ORDER BY b, p) AS runs, min(struct_pack(l := -l, b := b, p := p)) AS best FROM r GROUP BY u),
+gone AS (SELECT DISTINCT u, unnest(range(b + p, b + l)) AS i FROM r),
+kept AS (SELECT t.u, string_agg(t.t, ' ' ORDER BY t.i) AS k FROM t LEFT JOIN gone USING (u, i) WHERE gone.i IS NULL GROUP BY t.u)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.b AS start, -best.l AS length, best.p AS period, 1000 * -best.l // best.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM c LEFT JOIN f USING (u) LEFT JOIN kept USING (u)"""
+
+
 #: The checksum bit by bit; a level a step of recursion, up the languages' trees, then over the languages;
 #: folding with the siblings of each level, a step of recursion each.
 MERKLE_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, lang, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
  coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
  xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) AS crc FROM documents),
 l AS (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, CASE WHEN doc_id IS NOT NULL AND crc % 3 = 0 THEN sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS other FROM d),
-n AS (SELECT *, row_number() OVER () AS u, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+n AS MATERIALIZED (SELECT *, row_number() OVER () AS u, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
 up AS (SELECT 0 AS lv, lang, pos, leaf AS h FROM n UNION ALL SELECT lv + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS c FROM up) WHERE c > 1 GROUP BY lv, lang, pos // 8),
 sub AS (SELECT lang, arg_max(h, lv) AS h, max(lv) AS top FROM up GROUP BY lang),
 f AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM sub),
@@ -174,4 +223,4 @@ FROM pages LEFT JOIN n1 ON n1.x = pages.url LEFT JOIN h ON h.k = n1.a LEFT JOIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array": SUFFIX_ARRAY_SQL, "op8_secrets": SECRETS_SQL, "op9_mixing": MIXING_SQL, "op12_merkle": MERKLE_SQL, "op13_url_filters": URL_FILTERS_SQL}
+    return {"op2_suffix_array": SUFFIX_ARRAY_SQL, "op8_secrets": SECRETS_SQL, "op9_mixing": MIXING_SQL, "op11_periodic_runs": PERIODIC_RUNS_SQL, "op12_merkle": MERKLE_SQL, "op13_url_filters": URL_FILTERS_SQL}

@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_secrets": ("documents", [("doc_id", "bigint"), ("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string")]),
     "op9_mixing": (None, [("doc_id", "bigint"), ("source", "string")]),
     "op10_decontaminate": (None, [("doc_id", "bigint"), ("item_id", "bigint")]),
+    "op11_periodic_runs": ("documents", [("doc_id", "bigint"), ("n_runs", "bigint"), ("start", "bigint"), ("length", "bigint"), ("period", "bigint"), ("exponent_milli", "bigint"), ("runs_sha256", "string"), ("collapsed_sha256", "string")]),
     "op12_merkle": ("documents", [("doc_id", "bigint"), ("leaf", "string"), ("subroot", "string"), ("root", "string"), ("proof_sha256", "string"), ("folded_root", "string"), ("verified", "boolean")]),
     "op13_url_filters": ("pages", [("page_id", "bigint"), ("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string")]),
 }
