@@ -36,18 +36,27 @@ def entry_hash(seq: Column, timestamp: Column, prev: Column, payload: Column) ->
     return F.sha2(F.concat(_eight(seq), text(timestamp), F.unhex(prev), text(canonical(payload))), 256)
 
 
-def verify(records: DataFrame) -> DataFrame:
+def verify(records: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """For each chain the first broken seq (NULL if none) and the records valid before it.
 
-    Every record is checked against its own fields in parallel; only ``lag`` needs a chain's order."""
+    Every record is checked against its own fields in parallel; only ``lag`` needs a chain's order.
+    ``start`` has the verified ends (chain_id, seq, entry_hash) of chains: of these, the records from that
+    end on are enough, and ``n_valid`` counts the records after it."""
     order = Window.partitionBy("chain_id").orderBy("seq")
-    placed = records.withColumn("_place", F.row_number().over(order)).withColumn("_before", F.lag("entry_hash").over(order))
-    before = F.coalesce("_before", F.lit(GENESIS))
-    bad = (F.col("seq") != F.col("_place")) | (F.col("prev_hash") != before) | (F.col("entry_hash") != entry_hash(F.col("seq"), F.col("timestamp"), F.col("prev_hash"), F.col("payload")))
-    checked = placed.withColumn("_bad", F.coalesce(bad, F.lit(True)))
-    return checked.groupBy("chain_id").agg(F.min(F.when(F.col("_bad"), F.col("seq"))).alias("first_broken"), F.min(F.when(F.col("_bad"), F.col("_place"))).alias("_at"), F.count("*").alias("n")).select(
-        "chain_id", "first_broken", (F.coalesce(F.col("_at") - 1, F.col("n"))).cast("long").alias("n_valid")
-    )
+    if start is None:
+        rows = records.withColumn("_s", F.lit(0).cast("long")).withColumn("_h", F.lit(GENESIS))
+    else:
+        rows = records.join(start.select("chain_id", F.col("seq").alias("_s"), F.col("entry_hash").alias("_h")), "chain_id", "left")
+        rows = rows.withColumns({"_s": F.coalesce("_s", F.lit(0).cast("long")), "_h": F.coalesce("_h", F.lit(GENESIS))}).filter("seq >= _s or seq is null")
+    # the end itself is there again, to be checked against what was stored of it; a chain without one starts at 0
+    ended = (F.col("_s") > 0).cast("long")
+    placed = rows.withColumn("_place", F.row_number().over(order) - ended).withColumn("_before", F.lag("entry_hash").over(order))
+    own = entry_hash(F.col("seq"), F.col("timestamp"), F.col("prev_hash"), F.col("payload"))
+    linked = F.when(F.col("_place") > 0, F.col("prev_hash") == F.coalesce("_before", "_h")).otherwise(F.col("entry_hash") == F.col("_h"))
+    good = (F.col("seq") == F.col("_s") + F.col("_place")) & linked & (F.col("entry_hash") == own)
+    checked = placed.withColumn("_bad", ~F.coalesce(good, F.lit(False)))
+    found = checked.groupBy("chain_id").agg(F.min(F.when(F.col("_bad"), F.col("seq"))).alias("first_broken"), F.min(F.when(F.col("_bad"), F.col("_place"))).alias("_at"), F.max("_place").alias("n"))
+    return found.select("chain_id", "first_broken", F.greatest(F.coalesce(F.col("_at") - 1, F.col("n")), F.lit(0)).cast("long").alias("n_valid"))
 
 
 def anchors(records: DataFrame, heads: DataFrame) -> DataFrame:

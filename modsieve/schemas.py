@@ -12,7 +12,7 @@ OVERALL = "struct<verdict:string,flagged:boolean,top_category:string,max_score:d
 RESULT = f"struct<schema_version:string,provider:string,model_version:string,media_type:string,asset_id:string,frames:array<{FRAME}>,overall:{OVERALL}>"
 ENVELOPE = f"job_id string, source {SOURCE}, model_id struct<adapter:string,model_version:string,config_hash:string>, result {RESULT}, error string, metadata string, started_at timestamp, finished_at timestamp"
 AUDIT = "chain_id long, seq long, timestamp string, prev_hash string, payload map<string,string>, entry_hash string, signature string"
-HEADS_OF_CHAINS = "chain_id long, seq long, entry_hash string"
+HEADS_OF_CHAINS = "chain_id long, seq long, entry_hash string, log_version long"
 SEVERITY_RESPONSE = "categoriesAnalysis array<struct<category:string,severity:int>>"
 LIKELIHOOD_RESPONSE = "adult string, spoof string, medical string, violence string, racy string"
 HEADS_RESPONSE = "status array<struct<response:struct<output:array<struct<time:double,classes:array<struct<class:string,score:double>>>>>>>"

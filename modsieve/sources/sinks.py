@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import commits
+
 FULL = {"ignoreNullFields": "false"}
 
 
@@ -51,25 +53,24 @@ def fresh(batch: DataFrame, stored: DataFrame, order: str = "finished_at", keys:
 
 
 def append_once(batch: DataFrame, path: str, keys: tuple[str, ...] = ("job_id",), at: str = "finished_at", days: int = 2) -> None:
-    """K2: a durable idempotent append to a Parquet table. Where ``at`` is a time, the table has a
-    folder for each ``day``, and only those from ``days`` before the batch's first are looked
-    through: what is older than the retention is not read, and a redelivery of it is written."""
-    spark = batch.sparkSession
+    """K2: a durable idempotent append to a Parquet table, as one commit (``commits``): a writer that
+    stops midway leaves nothing or all, and of two at a time the second sees the first's rows.
+    Where ``at`` is a time, the table has a folder for each ``day``, and only those from ``days``
+    before the batch's first are looked through: what is older than the retention is not read, and a
+    redelivery of it is written. Rows without a time have no age: a batch that has some is compared with every day."""
     timed = batch.schema[at].dataType.typeName() in ("timestamp", "timestamp_ntz")
     rows = batch.withColumn("day", F.to_date(at)) if timed else batch
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        stored = rows.limit(0)
-    if timed:
-        first = rows.agg(F.date_sub(F.min("day"), days).alias("d")).first().d
-        if first is None:
-            return
-        stored = stored.filter(F.col("day").isNull() | (F.col("day") >= F.lit(first)))
-    out = fresh(rows, stored, at, keys).write.mode("append")
-    (out.partitionBy("day") if timed else out).parquet(path)
+    since = rows.agg(F.date_sub(F.min("day"), days).alias("d"), F.count_if(F.col("day").isNull()).alias("n")).first() if timed else None
+
+    def new(_: commits.State) -> DataFrame:
+        stored = commits.committed(batch.sparkSession, path)
+        if stored is None:
+            stored = rows.limit(0)
+        elif timed and not since.n and since.d is not None:
+            stored = stored.filter(F.col("day").isNull() | (F.col("day") >= F.lit(since.d)))
+        return fresh(rows, stored, at, keys)
+
+    commits.append(batch.sparkSession, path, new, by="day" if timed else None)
 
 
 def attempt_all(batch: DataFrame, sinks: Iterable[tuple[str, Callable[[DataFrame], None]]]) -> tuple[dict[str, int], Exception | None]:

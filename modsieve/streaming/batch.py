@@ -46,23 +46,49 @@ def gate(jobs: DataFrame, control: DataFrame, cap: int = 1000) -> DataFrame:
     return judged.withColumn("reason", reason).select("job_id", F.col("reason").isNull().alias("accepted"), "reason")
 
 
-def claims(deliveries: DataFrame, at: str = "finished_at", hold: float = 3600.0) -> DataFrame:
+class Claim:
+    """The claim of one job, by microseconds of event time. A delivery passes unless it is within
+    the claim (its end is), and then claims the job anew; a release ends the claim, so that the
+    retry of a failed write passes. What has no time neither claims nor is held back."""
+
+    def __init__(self, hold: float, until: int | None = None) -> None:
+        self.hold, self.until = int(hold * 1_000_000), until
+
+    def passes(self, at, release=False) -> bool:
+        if at != at or at is None:  # NaN stands for null
+            return not release
+        if release:
+            self.until = None
+            return False
+        if self.until is not None and at <= self.until:
+            return False
+        self.until = int(at) + self.hold
+        return True
+
+
+def claims(deliveries: DataFrame, at: str = "finished_at", hold: float = 3600.0, releases: DataFrame | None = None) -> DataFrame:
     """The deliveries of each job_id that pass. One that passes claims its job for ``hold``
-    seconds; those within the claim are dropped and don't renew it. A job's deliveries stream through
-    one task in order of time, of which only the claim is kept."""
-    placed = deliveries.repartition("job_id").sortWithinPartitions("job_id", at)
+    seconds; those within the claim are dropped and don't renew it. ``releases`` (job_id, ``at``) undo
+    claims: a write that failed lets a later delivery pass. A release of the same time as a delivery comes after it; one
+    without a claim, or without a time, does nothing. A job's rows stream through one task in order
+    of time, of which only the claim is kept."""
+    names = {"_at": F.unix_micros(F.col(at).cast("timestamp")), "_free": F.lit(False)}
+    rows = deliveries.withColumns(names)
+    if releases is not None:
+        freed = releases.select("job_id", at).withColumns(names | {"_free": F.lit(True)})
+        rows = rows.unionByName(freed, allowMissingColumns=True)
+    placed = rows.repartition("job_id").sortWithinPartitions("job_id", "_at", "_free")
+    columns = deliveries.columns
 
     def passing(batches):
-        job, until = None, None
+        job, claim = object(), None
         for pdf in batches:
             keep = []
-            for j, t in zip(pdf.job_id, pdf[at], strict=True):
-                if j != job or t > until:
-                    job, until = j, t + pd.Timedelta(seconds=hold)
-                    keep.append(True)
-                else:
-                    keep.append(False)
-            yield pdf[keep]
+            for j, t, free in zip(pdf.job_id, pdf._at, pdf._free, strict=True):
+                if claim is None or j != job:
+                    job, claim = j, Claim(hold)
+                keep.append(claim.passes(t, free))
+            yield pdf.loc[keep, columns]
 
     return placed.mapInPandas(passing, deliveries.schema)
 

@@ -3,25 +3,75 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from ..operators import audit
 from ..operators.verdict import disposition
 from ..schemas import AUDIT, HEADS_OF_CHAINS as HEADS
-from ..sources import sinks
-from .batch import Pressure
+from ..sources import commits, sinks
+from .batch import Claim, Pressure
 
+log = logging.getLogger(__name__)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class _Claims(StatefulProcessor):
+    """T2 by job: the claim's end, cleared by a timer once no delivery that may still come is within it."""
+
+    def __init__(self, columns: list[str], hold: float) -> None:
+        self.columns, self.hold = columns, hold
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("claim", "until long")
+
+    def handleInputRows(self, key, rows, timers):  # noqa: N802
+        pdf = pd.concat(list(rows))
+        pdf = pdf.sort_values(["claim_at_", "release_"], kind="stable")
+        claim = Claim(self.hold, self.state.get()[0] if self.state.exists() else None)
+        before = claim.until
+        keep = [claim.passes(t, free) for t, free in zip(pdf.claim_at_, pdf.release_, strict=True)]
+        if claim.until is None:
+            self.state.clear()
+        elif claim.until != before:
+            self.state.update((claim.until,))
+            self.handle.registerTimer(claim.until // 1000 + 1)
+        yield pdf.loc[keep, self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        # an earlier claim's timer finds a later claim here
+        if self.state.exists() and self.state.get()[0] < expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def claims(deliveries: DataFrame, at: str = "submitted_at", hold: float = 3600.0, late: str = "10 minutes", releases: DataFrame | None = None) -> DataFrame:
+    """``batch.claims`` over a stream; needs the RocksDB state store provider.
+
+    A delivery is compared with the end of its job's claim, not with how long state is held, so one
+    after the claim passes however quiet the stream was. Rows later than ``late`` are dropped, and one
+    that comes after a later delivery of its job is within that one's claim. ``releases`` is a stream
+    of (job_id, ``at``). A job's rows of one micro-batch are held together to be put in order."""
+    names = {"claim_at_": F.unix_micros(F.col(at).cast("timestamp")), "release_": F.lit(False)}
+    rows = deliveries.withColumns(names)
+    if releases is not None:
+        rows = rows.unionByName(releases.select("job_id", at).withColumns(names | {"release_": F.lit(True)}), allowMissingColumns=True)
+    placed = rows.withWatermark(at, late).groupBy("job_id")
+    return placed.transformWithStateInPandas(_Claims(deliveries.columns, hold), deliveries.schema, "Append", "EventTime")
+
+
 def once_an_hour(jobs: DataFrame) -> DataFrame:
-    """Redeliveries within an hour of event time are dropped; later ones pass."""
-    return jobs.withWatermark("submitted_at", "1 hour").dropDuplicatesWithinWatermark(["job_id"])
+    """Redeliveries within an hour, of event time, of a delivery that passed are dropped; later ones pass."""
+    return claims(jobs)
 
 
 def rates(records: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -93,22 +143,14 @@ def ledger(attempts: DataFrame, max_retries: int = 3, backoff: float = 30.0) ->
     return attempts.groupBy("job_id").transformWithStateInPandas(_Ledger(max_retries, backoff), "job_id string, attempt long, state string, retries long, ready_at timestamp", "Append", "None")
 
 
-def _stored(spark, path: str, schema: str) -> DataFrame:
-    """A Parquet table, empty where nothing is stored yet."""
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def moderate(jobs: DataFrame, process: Callable[[DataFrame], DataFrame], store: str, letters: str, extra: list | None = None, record: Callable[[DataFrame], None] | None = None, outcomes: str | None = None) -> DataStreamWriter:
     """A job stream to envelopes (``process`` gives job_id, verdict, error, attempts, at and what
     the store keeps), in this order: all sinks are tried, then ``record`` (the audit), then the
     disposition is known: retry if a sink failed (nothing is audited), dead_letter if the audit
     failed or the verdict is error, else ack. Dead letters go to ``letters`` and dispositions to
-    ``outcomes``, both once for each (job_id, attempts), so a replayed batch writes none twice. Without
+    ``outcomes``, both once for each (job_id, attempts), so a replayed batch writes none twice; nor does
+    ``audit_batch`` as ``record``, which knows the batch by its query and number. A dead letter of a
+    refused audit tells why. Without
     ``outcomes`` a sink's failure is raised, and Spark replays the batch."""
 
     def batch(df: DataFrame, _: int) -> None:
@@ -117,13 +159,16 @@ def moderate(jobs: DataFrame, process: Callable[[DataFrame], DataFrame], store:
             failures, first = sinks.attempt_all(done, [("store", lambda d: sinks.append_once(d.drop("attempts", "at"), store)), *(extra or [])])
             if failures and outcomes is None:
                 raise first
-            audited = True
+            refused = None
             if record is not None and not failures:
                 try:
                     record(done)
-                except Exception:
-                    audited = False
-            final = done.withColumn("disposition", disposition(F.lit(not failures), F.lit(audited), F.col("verdict")))
+                except Exception as e:
+                    refused = f"audit: {str(e)[:500] or type(e).__name__}"
+                    log.warning("the audit refused a batch", exc_info=True)
+            final = done.withColumn("disposition", disposition(F.lit(not failures), F.lit(refused is None), F.col("verdict")))
+            if refused is not None:
+                final = final.withColumn("error", F.concat_ws("; ", F.lit(refused), "error"))
             sinks.append_once(sinks.dead_letters(final), letters, ("job_id", "attempts"), "at")
             if outcomes is not None:
                 sinks.append_once(final.select("job_id", F.col("attempts").cast("long").alias("attempts"), "disposition", "at"), outcomes, ("job_id", "attempts"), "at")
@@ -133,23 +178,71 @@ def moderate(jobs: DataFrame, process: Callable[[DataFrame], DataFrame], store:
     return jobs.writeStream.foreachBatch(batch)
 
 
-def audit_batch(df: DataFrame, log: str, heads: str) -> None:
+#: Commits of heads after which one stands for all before it.
+SNAPSHOT = 32
+
+
+def current_batch(spark: SparkSession) -> tuple[str, int] | None:
+    """(query id, batch id) of the micro-batch that calls, None outside a stream."""
+    query, batch = (spark.sparkContext.getLocalProperty(k) for k in ("sql.streaming.queryId", "streaming.sql.batchId"))
+    return (query, int(batch)) if query and batch else None
+
+
+def audit_tail(spark: SparkSession, log: str, heads: str, chains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, ends): of each of ``chains``, and of those whose heads aren't stored yet, the last verified
+    record (chain_id, seq, entry_hash, log_version) and the records from it on. Only the log's commits that
+    have such a record, and those after the last whose heads are stored, are read."""
+    through = commits.state(spark, heads).ledger.get("log", -1)
+    version = commits.state(spark, log).version
+    recent = [-1, *range(through + 1, version + 1)] if through < 0 else range(through + 1, version + 1)
+    later = commits.read(spark, log, AUDIT, recent)
+    wanted = chains.select("chain_id").unionByName(later.select("chain_id")).distinct()
+    ends = commits.read(spark, heads, HEADS).join(wanted, "chain_id", "left_semi").groupBy("chain_id").agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("entry_hash"), F.max_by("log_version", "seq").alias("log_version"))
+    # one number for each commit that holds an end, not for each chain
+    held = {r.log_version for r in ends.select("log_version").distinct().collect() if r.log_version is not None}
+    known = commits.read(spark, log, AUDIT, held | set(recent)).join(wanted, "chain_id", "left_semi").join(ends.select("chain_id", F.col("seq").alias("_end")), "chain_id", "left")
+    return known.filter("_end is null or seq >= _end").drop("_end"), ends
+
+
+def audit_batch(df: DataFrame, log: str, heads: str, batch: tuple[str, int] | None = None) -> None:
     """Appends decisions and events to the stored chains, continuing from their ends, and
-    then their new heads to ``heads``. A chain that does not verify, or that lacks the record its
-    stored head names, refuses the batch: appending would hide what is missing. Records land before
-    a head names them, so after a stop in between a chain is longer than its head, which is fine."""
+    then their new heads to ``heads``.
+
+    What has been verified is not read again: stored heads are the ends of verified records, and only
+    what came after them is checked (``audit.verify`` checks whole chains). A chain whose tail does not verify, or that
+    lacks the record its head names, refuses the batch: appending would hide what is missing.
+    Records land before a head names them, so after a stop in between the next batch verifies them and
+    names them first. ``batch`` is (query, batch id), by default that of the stream that calls: a
+    batch that the log's ledger has is left out, so a replay adds nothing."""
     spark = df.sparkSession
-    chains = df.select("chain_id").distinct()
-    own = _stored(spark, log, AUDIT).join(chains, "chain_id", "left_semi")
-    known = audit.heads_of(_stored(spark, heads, HEADS).join(chains, "chain_id", "left_semi"))
-    broken = audit.verify(own).filter("first_broken is not null").limit(1).collect()
-    if broken:
-        raise ValueError(f"audit chain {broken[0].chain_id} is broken at {broken[0].first_broken}")
-    lost = audit.anchors(own, known).filter("status in ('truncated', 'rewritten')").limit(1).collect()
-    if lost:
-        raise ValueError(f"audit chain {lost[0].chain_id} is {lost[0].status}")
-    audit.append(audit.unseen(own, df), audit.heads_of(own)).write.mode("append").parquet(log)
-    audit.heads_of(spark.read.parquet(log).join(chains, "chain_id", "left_semi")).write.mode("append").parquet(heads)
+    batch = batch or current_batch(spark)
+
+    def new(_: commits.State) -> DataFrame:
+        tail, ends = audit_tail(spark, log, heads, df)
+        broken = audit.verify(tail, ends).filter("first_broken is not null").limit(1).collect()
+        lost = audit.anchors(tail, ends).filter("status in ('truncated', 'rewritten')").limit(1).collect()
+        if lost:
+            raise ValueError(f"audit chain {lost[0].chain_id} is {lost[0].status}")
+        if broken:
+            raise ValueError(f"audit chain {broken[0].chain_id} is broken at {broken[0].first_broken}")
+        return audit.append(audit.unseen(commits.read(spark, log, AUDIT).join(df.select("chain_id").distinct(), "chain_id", "left_semi"), df), audit.heads_of(tail))
+
+    commits.append(spark, log, new, batch)
+    _store_heads(spark, log, heads)
+
+
+def _store_heads(spark: SparkSession, log: str, heads: str) -> None:
+    """Heads of the log's commits that have none yet; their records were verified or written by ``audit_batch``."""
+    version = commits.state(spark, log).version
+    due = lambda now: now.version - now.base >= SNAPSHOT
+
+    def new(now: commits.State) -> DataFrame:
+        added = commits.read(spark, log, AUDIT, range(now.ledger.get("log", -1) + 1, version + 1)).withColumn("log_version", F.try_to_number(F.regexp_extract("_metadata.file_name", r"^c(\d{10})-", 1), F.lit("9999999999")).cast("long"))
+        rows = added.select("chain_id", "seq", "entry_hash", "log_version")
+        rows = rows.unionByName(commits.read(spark, heads, HEADS)) if due(now) else rows
+        return rows.groupBy("chain_id").agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("entry_hash"), F.max_by("log_version", "seq").alias("log_version"))
+
+    commits.append(spark, heads, new, ("log", version), snapshot=due)
 
 
 def audit_append(rows: DataFrame, log: str, heads: str) -> DataStreamWriter:
