@@ -8,6 +8,12 @@ all its blocks count, short ones too, except blocks that elements, class names o
 as menus, headers, footers, sidebars, notices, adverts, forms, reader comments or hidden. Where no
 article or main element holds the text, blocks before and after it that are mostly links go too.
 
+A mark is judged by the cluster, not the other way round: an element that is marked but holds most of the
+high cluster's text, and an article in it or several of its lines, wraps the article and is no region
+beside it; nor is a marked part of an article that holds much of that text, unless it is marked as
+comments. Class names count whole: each word of ``cookie-notice`` is a mark or a filler, but ``has-sidebar``,
+``no-comments`` and ``social-policy`` mark nothing; names on paragraphs, headings and the like are style.
+
 Defined cases: null or empty HTML gives an empty text; a null page_id or url stays null; a page cut
 off in the middle gives what came before the cut; unclosed elements end where their parents end;
 very long and very deep pages are read whole, in time proportional to their length; repeated rows
@@ -33,11 +39,19 @@ NOT_ARTICLE = frozenset("nav aside footer form menu dialog button select textare
 PARTS = frozenset("article main".split())
 HOLDERS = frozenset("article body div main section table tbody td".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments respond replies disqus cookie cookies consent notice notices alert newsletter subscribe subscription popup modal overlay breadcrumb breadcrumbs menu nav navbar navigation footer share sharing social related recommended widget pagination pager login signup".split())
+COMMENTS = frozenset("comment comments respond replies disqus".split())
+#: Words that may stand beside a mark in a name.
+FILLERS = frozenset("area articles bar block blocks bottom box button buttons center column container content feed floating footer form global group header holder icons inline inner items left link links list main message outer page panel popular post posts primary promo region right row secondary section site slot small sticky stories text thread top unit wrap wrapper".split())
+#: Elements whose class names tell a style, not a region.
+STYLED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption td th dd dt li a b i em strong span code".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SIGMA = 1.0
 #: Share of the high cluster's text that the chosen element must hold.
 HOLDS = 0.7
 
+#: How an element is marked: by a class name, as comments, by what it is, as hidden.
+_NAMED, _COMMENTS, _ELEMENT, _HIDDEN = 1, 2, 3, 4
+
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-2, 3)]
 _NAMES = re.compile(r"[^a-z0-9]+")
 #: What a tag begins with, or a page that ends in the middle of one.
@@ -45,8 +59,32 @@ _TAG = re.compile(r"<(?:[a-zA-Z/!?]|\Z)")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _named(value: str, inside: bool) -> int:
+    """How a class or id marks an element: by a name made of marks and fillers."""
+    found = 0
+    for name in value.lower().split():
+        words = [w for w in _NAMES.split(name) if w and not w.isdigit()]
+        marks = [w for w in words if w in MARKS or not inside and w == "header"]
+        if marks and all(w in MARKS or w in FILLERS for w in words):
+            found = max(found, _COMMENTS if any(w in COMMENTS for w in marks) else _NAMED)
+    return found
+
+
+def _mark(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+    found = _ELEMENT if tag in NOT_ARTICLE or tag == "header" and not inside else 0
+    for k, v in attrs:
+        if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _UNSEEN.search(v.lower()):
+            return _HIDDEN
+        if v and tag not in ("html", "body", "article", "main"):
+            if k == "role" and v.lower() in ROLES:
+                found = _ELEMENT
+            elif k in ("class", "id") and tag not in STYLED:
+                found = max(found, _named(v, inside))
+    return found
+
+
 class _Blocks(HTMLParser):
-    """Collects lines: (text, tags, code points of links, left out, element number).
+    """Collects lines: (text, tags, code points of links, element number), and how elements are marked.
 
     Elements are numbered as they open; ``last[n]`` is the largest number inside element n, so a
     line is inside n if its own element's number lies from n to last[n]. How many elements of a
@@ -54,11 +92,12 @@ class _Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # element, left out, inside the article, number
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.stack: list[tuple[str, bool, int]] = []  # element, inside the article, number
         self.open: Counter[str] = Counter()
         self.names: list[str] = []
         self.parent: list[int] = []
+        self.marks: list[int] = []
         self.last: list[int] = []
         self.text: list[str] = []
         self.tags = self.linked = self.silent = 0
@@ -67,13 +106,12 @@ class _Blocks(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                top = self.stack[-1] if self.stack else ("", False, False, -1)
-                self.lines.append((text, self.tags, self.linked, top[1], top[3]))
+                self.lines.append((text, self.tags, self.linked, self.stack[-1][2] if self.stack else -1))
             self.text = []
             self.tags = self.linked = 0
 
     def pop_to(self, depth: int) -> None:
-        for tag, _, _, n in self.stack[depth:]:
+        for tag, _, n in self.stack[depth:]:
             self.silent -= tag in NOT_TEXT
             self.open[tag] -= 1
             self.last[n] = len(self.names) - 1
@@ -105,19 +143,12 @@ class _Blocks(HTMLParser):
             return
         if tag == "body":
             self.close_open("head", frozenset())
-        _, out, inside, parent = self.stack[-1] if self.stack else ("", False, False, -1)
-        if not out:
-            out = tag in NOT_ARTICLE or tag == "header" and not inside
-            for k, v in attrs:
-                if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _UNSEEN.search(v.lower()):
-                    out = True
-                if v and k in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-                    words = _NAMES.split(v.lower())
-                    out = out or (v.lower() in ROLES if k == "role" else any(w in MARKS for w in words) or not inside and "header" in words)
+        _, inside, parent = self.stack[-1] if self.stack else ("", False, -1)
         self.silent += tag in NOT_TEXT
         self.open[tag] += 1
-        self.stack.append((tag, out, inside or tag in PARTS, len(self.names)))
+        self.stack.append((tag, inside or tag in PARTS, len(self.names)))
         self.names.append(tag)
+        self.marks.append(_mark(tag, attrs, inside))
         self.parent.append(parent)
         self.last.append(-1)
 
@@ -172,6 +203,56 @@ def _uncut(html: str) -> str:
     return html[:at] if at >= 0 and _TAG.match(html, at) else html
 
 
+def _ratio(line: tuple[str, int, int, int]) -> float:
+    return math.log1p(len(line[0]) / max(1, line[1]))
+
+
+def _mass(parser: _Blocks, content: list[int], weigh=len) -> list[int]:
+    """The text (or what else is weighed) of these lines inside each element."""
+    mass = [0] * len(parser.names)
+    for i in content:
+        if parser.lines[i][3] >= 0:
+            mass[parser.lines[i][3]] += weigh(parser.lines[i][0])
+    for n in range(len(mass) - 1, -1, -1):  # an element's text counts for its parent, which has a smaller number
+        if parser.parent[n] >= 0:
+            mass[parser.parent[n]] += mass[n]
+    return mass
+
+
+def _left_out(parser: _Blocks) -> list[bool]:
+    """Which lines are in marked elements, where the cluster over all lines doesn't speak for the mark."""
+    marks, parent, names, lines = parser.marks, parser.parent, parser.names, parser.lines
+    n = len(names)
+    if any(0 < m < _HIDDEN for m in marks):
+        shown = [False] * n
+        for k in range(n):
+            shown[k] = marks[k] != _HIDDEN and (parent[k] < 0 or shown[parent[k]])
+        ratio = smoothed([_ratio(x) if x[3] < 0 or shown[x[3]] else 0.0 for x in lines])
+        threshold = two_means(ratio)
+        content = [i for i, x in enumerate(lines) if ratio[i] > threshold and (x[3] < 0 or shown[x[3]])]
+        mass, rows = _mass(parser, content), _mass(parser, content, lambda _: 1)
+        total = sum(len(lines[i][0]) for i in content)
+        parts = [0] * n  # articles inside, itself not counted
+        part, plain = [False] * n, False  # inside an article; is there one outside all marks?
+        marked = [False] * n
+        for k in range(n):
+            up = parent[k]
+            marked[k] = marks[k] > 0 or up >= 0 and marked[up]
+            part[k] = up >= 0 and (part[up] or names[up] in PARTS)
+            plain = plain or names[k] in PARTS and not marked[k] and mass[k] > 0
+        for k in range(n - 1, -1, -1):
+            if parent[k] >= 0:
+                parts[parent[k]] += parts[k] + (names[k] in PARTS and mass[k] > 0)
+        for k in range(n):
+            wraps = mass[k] >= HOLDS * total and (parts[k] or not plain and rows[k] > 2)
+            if total and marks[k] < _HIDDEN and (wraps or marks[k] == _NAMED and part[k] and mass[k] >= (1 - HOLDS) * total):
+                marks[k] = 0
+    gone = [False] * n
+    for k in range(n):
+        gone[k] = marks[k] > 0 or parent[k] >= 0 and gone[parent[k]]
+    return [x[3] >= 0 and gone[x[3]] for x in lines]
+
+
 def extract(html: str | None) -> str:
     """The main text of one page."""
     if not html:
@@ -184,26 +265,21 @@ def extract(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed([0.0 if out else math.log1p(len(text) / max(1, tags)) for text, tags, _, out, _ in lines])
+    out = _left_out(parser)
+    ratio = smoothed([0.0 if gone else _ratio(line) for line, gone in zip(lines, out, strict=True)])
     threshold = two_means(ratio)
-    usable = [i for i, line in enumerate(lines) if not line[3]]
+    usable = [i for i in range(len(lines)) if not out[i]]
     if not usable:
         return ""
     content = [i for i in usable if ratio[i] > threshold] or usable
-    mass = [0] * len(parser.names)
-    for i in content:
-        if lines[i][4] >= 0:
-            mass[lines[i][4]] += len(lines[i][0])
-    for n in range(len(mass) - 1, -1, -1):  # an element's text counts for its parent, which has a smaller number
-        if parser.parent[n] >= 0:
-            mass[parser.parent[n]] += mass[n]
+    mass = _mass(parser, content)
     total = sum(len(lines[i][0]) for i in content)
     holds = [n for n, m in enumerate(mass) if m >= HOLDS * total]
     chosen = max((n for n in holds if parser.names[n] in PARTS), default=-1)  # numbers grow inwards: the innermost
     article = chosen >= 0
     if not article:
         chosen = max((n for n in holds if parser.names[n] in HOLDERS), default=-1)
-    inside = [i for i in usable if chosen < 0 or chosen <= lines[i][4] <= parser.last[chosen]]
+    inside = [i for i in usable if chosen < 0 or chosen <= lines[i][3] <= parser.last[chosen]]
     if article:
         return " ".join(lines[i][0] for i in inside)
     # without an article element, blocks before and after the content count unless they are links

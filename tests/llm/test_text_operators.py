@@ -498,3 +498,46 @@ def test_mixing_equals_its_oracle(spark, tmp_path):
     assert sorted(names) == sorted(df.columns)
     got = [tuple(r[c] for c in names) for r in df.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want.fetchall())) and len(got) > len(rows) // 2
+
+
+# --- marked wrappers of articles
+
+
+def paragraphs(n, seed=7):
+    return [f"Sentence {seed} {k}: " + " ".join(words(30, 100 * seed + k)) + "." for k in range(n)]
+
+
+def page(body):
+    return f'<html><head><title>t</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>{body}<footer>Imprint, and more of it</footer></body></html>'
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "layout with-menu", "post share", "related-article", "page-header-fixed", "comments", "ad", "notice"])
+@pytest.mark.parametrize("tag", ["div", "form", "header"])
+def test_marked_wrappers_lose_no_article(name, tag):
+    own = paragraphs(6)
+    text = "".join(f"<p>{p}</p>" for p in own)
+    assert html.extract(page(f'<{tag} class="{name}"><article>{text}</article></{tag}>')) == " ".join(own)
+    assert html.extract(page(f'<div id="{name}"><div class="content with-sidebar">{text}</div></div>')) == " ".join(own)
+
+
+def test_marks_inside_an_article_are_whole_names_of_regions():
+    own = paragraphs(6)
+    text = "".join(f"<p>{p}</p>" for p in own)
+    kept = '<p class="notice">Please note.</p><section id="social-policy"><p>Our policy.</p></section><div class="promo-code-table">Codes</div>'
+    gone = '<div class="share-buttons">Share</div><div class="cookie-notice">Cookies</div><aside>Aside</aside><div hidden>Secret</div><div class="ad ad-2">Buy</div>'
+    comments = '<div class="comment-list">' + "".join(f"<p>{p}</p>" for p in paragraphs(6, 9)) + "</div>"
+    want = " ".join([*own, "Please note.", "Our policy.", "Codes"])
+    assert html.extract(page(f"<article>{text}{kept}{gone}{comments}</article>")) == want
+    assert html.extract(page(f"<article>{text}{kept}</article>{gone}{comments}")) == want
+
+
+def test_random_marked_wrappers():
+    g = random.Random(12)
+    names = ["sidebar", "has-sidebar", "menu", "main-menu", "comments", "ad-slot", "promo", "notice", "share", "layout", "related-posts", "x y z", "header"]
+    for k in range(60):
+        own = paragraphs(g.randint(4, 9), 20 + k)
+        body = "<article>" + "".join(f"<p>{p}</p>" for p in own) + "</article>"
+        for _ in range(g.randint(1, 4)):
+            beside = "".join(f'<div class="{g.choice(["ad", "sidebar", "cookie-banner", "share-links"])}">{" ".join(words(g.randint(1, 9), k))}</div>' for _ in range(g.randint(0, 2)))
+            body = f'<{(t := g.choice(["div", "section", "form"]))} class="{g.choice(names)}">{beside}{body}</{t}>'
+        assert html.extract(page(body)) == " ".join(own)
