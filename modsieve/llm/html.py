@@ -10,7 +10,7 @@ article or main element holds the text, blocks before and after it that are most
 
 A mark is judged by the cluster, not the other way round: an element that is marked but holds most of the
 high cluster's text, and an article in it or several of its lines, wraps the article and is no region
-beside it; nor is a marked part of an article that holds much of that text, unless it is marked as
+beside it; nor is a marked part of an article that holds much of that text in several lines, unless it is marked as
 comments. Class names count whole: each word of ``cookie-notice`` is a mark or a filler, but ``has-sidebar``,
 ``no-comments`` and ``social-policy`` mark nothing; names on paragraphs, headings and the like are style.
 
@@ -245,7 +245,7 @@ def _left_out(parser: _Blocks) -> list[bool]:
                 parts[parent[k]] += parts[k] + (names[k] in PARTS and mass[k] > 0)
         for k in range(n):
             wraps = mass[k] >= HOLDS * total and (parts[k] or not plain and rows[k] > 2)
-            if total and marks[k] < _HIDDEN and (wraps or marks[k] == _NAMED and part[k] and mass[k] >= (1 - HOLDS) * total):
+            if total and marks[k] < _HIDDEN and (wraps or marks[k] == _NAMED and part[k] and rows[k] > 2 and mass[k] >= (1 - HOLDS) * total):
                 marks[k] = 0
     gone = [False] * n
     for k in range(n):
