@@ -14,8 +14,10 @@ most ``FIT`` rows are found among all rows, and of all settings that hold ``AIM`
 with the fewest comparisons is taken. The windows of one query together never hold more than all
 rows: the widest setting is one window over one whole curve. Clustered vectors need a few
 hundredths of all pairs. Vectors without any structure need most of them while rows are few; the
-share falls as rows grow, for the neighbours then come closer. Every row is indexed; of more than
-``k`` + 1 equal vectors the smallest ids stand for all, as no other can be among the ``k`` nearest.
+share falls as rows grow, for the neighbours then come closer. Where the windows need half of a curve or
+more, all queries take one curve, and only that one is written. Every row is indexed: equal vectors are one
+row of the curves, with its members, of which the ``k`` + 1 smallest ids are enough, as no other can be
+among the ``k`` nearest. A window has more rows than ``k``, so every query gets ``k`` rows if there are as many.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those of another length than the commonest; ties go to the smaller id; a null id takes no
@@ -44,6 +46,8 @@ AIM = 0.93
 #: Settings: curves a query takes, and the share of all rows that its windows hold together.
 TAKEN = (1, 2, 4, 8)
 SHARES = (0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
+#: A share from which one curve serves all queries.
+ONE_CURVE = 0.5
 BLOCKS = 4
 #: A block has at most about so many rows, and meets so many queries at once.
 BLOCK_ROWS = 1 << 16
@@ -120,11 +124,20 @@ def make_plan(sample: np.ndarray, longest: float, seed: int = 11) -> dict:
     return plan
 
 
-def fit_windows(plan: dict, asked: np.ndarray, true: np.ndarray, longest: float) -> tuple[int, float, bool]:
-    """(curves taken, share of all rows in the windows together, whether queries are stretched) with
-    the fewest comparisons that hold AIM of the true neighbours (queries, neighbours, components)."""
+def fit_windows(plan: dict, asked: np.ndarray, true: np.ndarray, longest: float) -> tuple[int, float, bool, int]:
+    """(curves taken, share of all rows in the windows together, whether queries are stretched, the one curve
+    that all queries take or -1) with the fewest comparisons that hold AIM of the true neighbours
+    (queries, neighbours, components). Rows of one key have one rank each, anywhere among its rows' ranks."""
     q, n, d = true.shape
-    place = lambda keys: np.array([np.searchsorted(s, k) / len(s) for s, k in zip(plan["keys"], keys, strict=True)])
+    g = np.random.default_rng(5)
+
+    def place(keys: np.ndarray) -> np.ndarray:
+        out = []
+        for own, k in zip(plan["keys"], keys, strict=True):
+            low, high = np.searchsorted(own, k), np.searchsorted(own, k, side="right")
+            out.append((low + g.random(len(k)) * (high - low)) / len(own))
+        return np.array(out)
+
     at = place(curve_keys(true.reshape(q * n, d), longest, plan)[0]).reshape(CURVES, q, n)
     ways = []
     for stretched in (False, True):
@@ -136,9 +149,13 @@ def fit_windows(plan: dict, asked: np.ndarray, true: np.ndarray, longest: float)
             for stretched, own, best in ways:
                 low = np.clip(own - half, 0, 1 - 2 * half)
                 inside = (at >= low[:, :, None]) & (at <= low[:, :, None] + 2 * half)
-                if np.take_along_axis(inside, best[:taken, :, None], axis=0).any(axis=0).mean() >= AIM:
-                    return taken, share, stretched
-    return 1, 1.0, False
+                if taken == 1 and share >= ONE_CURVE:
+                    held = inside.mean(axis=(1, 2))
+                    if held.max() >= AIM:
+                        return 1, share, stretched, int(held.argmax())
+                elif np.take_along_axis(inside, best[:taken, :, None], axis=0).any(axis=0).mean() >= AIM:
+                    return taken, share, stretched, -1
+    return 1, 1.0, False, 0
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
@@ -192,14 +209,20 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     # rows get numbers of their own, so that repeated ids stay apart; written once, the numbers hold
     rows = written(rows.filter(F.size("embedding") == length.d).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     copy = Window.partitionBy("embedding").orderBy("vec_id", "uid")
-    kept = written(rows.withColumn("_copy", F.row_number().over(copy)).filter(F.col("_copy") <= k + 1).select("uid", "vec_id", "embedding"), "kept")
+    few_copies = rows.withColumn("_copy", F.row_number().over(copy)).filter(F.col("_copy") <= k + 1)
+    members = F.sort_array(F.collect_list(F.struct("vec_id", "uid"))).alias("members")
+    kept = few_copies.groupBy("embedding").agg(members).select(F.col("members")[0]["uid"].alias("uid"), F.col("members")[0]["vec_id"].alias("vec_id"), "embedding", "members")
+    kept = written(kept, "kept")
     square = lambda a, x: a + x.cast("double") * x.cast("double")
     facts = kept.agg(F.max(F.aggregate("embedding", F.lit(0.0), square)).alias("longest"), F.count("*").alias("n")).first()
     longest, n = float(np.sqrt(facts.longest)), facts.n
     few = kept.orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(SAMPLE).toPandas()
     plan = make_plan(_vectors(few.embedding), longest)
     asked, true = _true_neighbours(kept, few, k)
-    taken, share, stretched = fit_windows(plan, asked, true, longest) if len(true) else (1, 1.0, False)
+    taken, share, stretched, one = fit_windows(plan, asked, true, longest) if len(true) else (1, 1.0, False, 0)
+    width = min(n, max(k + 1, int(np.ceil(share * n / taken))))
+    if width * taken >= n:  # few rows: one window over one whole curve
+        taken, width, one = 1, n, max(one, 0)
     shared = spark.sparkContext.broadcast(plan)  # CURVES projections and CURVES * SAMPLE keys
 
     def keyed(batches):
@@ -211,8 +234,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
                     continue
                 keys, far = curve_keys(v[own], longest, shared.value, is_query and stretched)
                 use = np.argsort(np.argsort(-far, axis=0, kind="stable"), axis=0) < (taken if is_query else CURVES)
-                if taken == 1 and share == 1.0:
-                    use[1:], use[0] = False, True  # one window over one whole curve
+                if one >= 0:
+                    use[:], use[one] = False, True
                 for c in range(CURVES):
                     at = np.flatnonzero(use[c])
                     if len(at):
@@ -231,9 +254,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
                 before[c] = before.get(c, 0) + int(row[at].sum())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(curve), block, np.int32)), pa.array(place)], names=[*b.schema.names, "block", "place"])
 
-    both = kept.withColumn("query", F.lit(False)).unionByName(rows.filter("query").select("uid", "vec_id", "embedding", "query"))
+    both = kept.drop("members").withColumn("query", F.lit(False)).unionByName(rows.filter("query").select("uid", "vec_id", "embedding", "query"))
     fields = f"uid long, vec_id long, embedding {held}, query boolean, curve int, key long"
-    blocks = CURVES * max(BLOCKS, -(-n // BLOCK_ROWS))
+    blocks = (1 if one >= 0 else CURVES) * max(BLOCKS, -(-n // BLOCK_ROWS))
     dealt = both.mapInArrow(keyed, fields).repartitionByRange(blocks, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "query", "vec_id", "uid")
     placed = written(dealt.mapInArrow(ranked, f"{fields}, block int, place long"), "curves")
 
@@ -241,7 +264,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     size = placed.filter("not query").groupBy("curve", "block").agg(F.count("*").alias("size"))
     order = Window.partitionBy("curve").orderBy("block")
     edges = written(placed.select("curve", "block").distinct().join(size, ["curve", "block"], "left").select("curve", "block", F.coalesce("size", F.lit(0)).alias("size")).withColumn("low", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")), "blocks")
-    width = max(1, int(np.ceil(share * n / taken)))
     rank = F.col("low") + F.col("place")
     start = F.greatest(F.lit(0), F.least(rank - width // 2, F.lit(n - width)))
     cells = lambda a, b: F.explode(F.sequence(F.floor(a / BLOCK_ROWS), F.floor(b / BLOCK_ROWS))).alias("cell")
@@ -268,8 +290,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
                 score = v[i : i + 32] @ m[lo:hi].T
                 at = np.arange(lo, hi)
                 out_of = (at[None, :] < a[i : i + 32, None]) | (at[None, :] >= b[i : i + 32, None])
-                score[out_of | (own[None, lo:hi] == asked[i : i + 32, None])] = -np.inf
-                top = np.array([np.lexsort((own[lo:hi], ids[lo:hi], -s))[:k] for s in score])
+                score[out_of] = -np.inf
+                top = np.array([np.lexsort((own[lo:hi], ids[lo:hi], -s))[: k + 1] for s in score])
                 n_top = top.shape[1]
                 out.append(pd.DataFrame({"uid": np.repeat(asked[i : i + 32], n_top), "query_id": np.repeat(query_ids[i : i + 32], n_top), "other": own[lo:hi][top].ravel(), "vec_id": ids[lo:hi][top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()}))
         out = pd.concat(out) if out else pd.DataFrame({"uid": [], "query_id": [], "other": [], "vec_id": [], "score": []}).astype({"uid": "int64", "query_id": "int64", "other": "int64", "vec_id": "int64"})
@@ -279,5 +301,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     keys = ["curve", "block", "part"]
     found = met.groupBy(*keys).cogroup(held_rows.groupBy(*keys)).applyInPandas(best, "uid long, query_id long, other long, vec_id long, score double")
     found = found.groupBy("uid", "query_id", "other", "vec_id").agg(F.max("score").alias("score"))
-    nearest_first = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "other")
+    # of k + 1 vectors each has a member besides the query: the k nearest rows are among theirs
+    near = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "other")
+    found = found.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k + 1)
+    found = found.select("uid", "query_id", "other", "score").join(kept.select(F.col("uid").alias("other"), "members"), "other")
+    found = found.select("uid", "query_id", "score", F.inline("members").alias("vec_id", "member")).filter("member <> uid")
+    nearest_first = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "member")
     return found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -440,3 +440,29 @@ def test_stages_handle_odd_rows(spark, tmp_path):
         spark.read.parquet(str(tmp_path / f"{t}.parquet")).limit(0).write.parquet(str(tmp_path / "empty" / f"{t}.parquet"))
     assert bag(stage["toxicity"](spark, docs, str(tmp_path / "empty"))) == every
     assert bag(stage["decontamination"](spark, docs, str(tmp_path / "empty"))) == every
+
+
+@pytest.mark.parametrize("distinct, copies, size", [(40, 30, 16), (3, 133, 16), (300, 10, 16), (25, 1, 4), (5, 2, 4)])
+def test_every_query_of_many_copies_gets_its_rows(spark, distinct, copies, size):
+    g = np.random.default_rng(3)
+    base = g.normal(size=(distinct, size))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    x = np.repeat(base, copies, axis=0).astype(np.float32).astype(float)
+    d = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    rows = neighbours.nearest(d, F.col("vec_id") % 20 == 0).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, r.score))
+    asked = range(0, len(x), 20)
+    k = min(20, len(x) - 1)
+    assert set(got) == set(asked) and all(len(v) == k for v in got.values())
+    hit = 0
+    for q in asked:
+        score = x @ x[q]
+        order = [int(j) for j in np.lexsort((np.arange(len(x)), -score.round(12))) if j != q][:k]
+        assert [v for v, _ in got[q]] == sorted((v for v, _ in got[q]), key=lambda v: (-score[v].round(12), v)) and q not in dict(got[q])
+        assert all(abs(s - score[v]) < 1e-12 for v, s in got[q])
+        hit += len({v for v, _ in got[q]} & set(order))
+    assert hit >= 0.9 * k * len(asked)
+    if distinct <= 21:
+        assert hit == k * len(asked)
