@@ -9,9 +9,12 @@ and the network's inverse takes it back. Separators, top-level domains, country
 particles and the first digit of an area code or card stay; octets of addresses are permuted as
 numbers; check digits of cards and IBANs stay right or wrong as they were.
 
-Names are found by a title (Mr, Frau, Señora, ...) or a listed given name before them; then every
+Names are found by titles (Mr, Frau, Herr Dr., Professor, ...) or a listed given name before them, with
+all the capitalised words and initials that follow; by the end of a family name after other capitalised
+words (Dmitri Ivanov); and in Chinese, Japanese and Korean by the title after them. Then every
 other mention of their words in the same text is one of them too. A name is replaced word by
-word, so titled and bare mentions agree. Listed given names turn into others of their list, so of
+word, so titled and bare mentions agree; ideographs, syllables and kana move within their blocks. What stays of
+a phone number depends on its digits alone, so that all its formats have one surrogate. Listed given names turn into others of their list, so of
 the same gender and script; other words keep their last letter, which tells gender in many
 languages. A permuted word that meets a listed name is permuted again (as often as there are listed
 names of its shape, at most), so the map of all words stays one to one.
@@ -44,12 +47,18 @@ NAMES = {
     "cm": "иван пётр алексей дмитрий сергей андрей михаил николай".split(),
 }
 LISTED = tuple(n for listed in NAMES.values() for n in listed)
-TITLES = "Mrs|Mr|Ms|Miss|Mister|Herrn|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Doña|Don|Госпожа|Господин"
+TITLES = "Professorin|Professor|Prof|Doktor|Doctor|Dra|Dr|Dipl\\.-Ing|Ing|Rev|Reverend|Sir|Lady|Lord|Captain|Mrs|Mr|Ms|Miss|Mister|Herrn|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Doña|Don|Госпожа|Господин"
 PARTICLES = ("van", "von", "de", "der", "den", "di", "da", "del", "la", "le")
+#: Ends of family names that tell one after another capitalised word, what begins sentences before
+#: such words, and titles that follow a name in Chinese, Japanese and Korean.
+FAMILY = "ov|ova|ev|eva|sky|ski|ska|skaya|enko|vich|wicz|ović|ić|escu|shvili|dze|oğlu|sson|dottir|poulos|ов|ова|ев|ева|ский|ская|енко|вич"
+STARTERS = "In|At|On|To|From|For|With|By|Of|And|But|Or|The|This|That|Near|Im|Am|Bei|Aus|Nach|Von|Zu|Und|Der|Die|Das|Den|Ein|Eine|El|La|Los|Las|Un|Una|En|De|Del|Con|Por|Le|Les|Une|Du|Des|Dans|Et|В|На|Из|От|И"
+HONORIFICS = "先生|女士|小姐|太太|教授|博士|老师|老師|さん|様|さま|くん|ちゃん|氏| ?씨| ?님| ?선생님| ?교수님"
 
 _WORD = r"(?:[ODL]['’])?\p{Lu}[\p{L}\p{M}]+"
 _WORDS = rf"{_WORD}(?:-{_WORD})?"
-_MORE = rf"(?:(?: (?:{'|'.join(PARTICLES)}))* {_WORDS})"
+_ITEM = rf"(?:{_WORDS}|\p{{Lu}}\.(?:-?\p{{Lu}}\.)*)"
+_MORE = rf"(?:(?: (?:{'|'.join(PARTICLES)}))* {_ITEM})"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -57,10 +66,12 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?=[0-9])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.? {_WORDS}{_MORE}?|(?:{'|'.join(n.title() for n in LISTED)}){_MORE})",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:(?:{TITLES})\.? )+(?:(?:{'|'.join(PARTICLES)}) )*{_ITEM}{_MORE}*|(?:{'|'.join(n.title() for n in LISTED)}){_MORE}+|(?!(?:{STARTERS}) ){_WORD}(?: {_ITEM})* \p{{Lu}}[\p{{L}}\p{{M}}]*(?:{FAMILY})(?!\p{{L}}))",
+    "cjk": rf"(?:[\u4E00-\u9FFF]{{2,4}}?|[\u30A1-\u30FA]{{2,8}}|[\uAC00-\uD7A3]{{2,4}}?)(?:{HONORIFICS})",
 }
 KINDS = tuple(PATTERNS)
 #: Texts without a digit or an at sign hold names only.
+_NAMED = "|".join(f"(?:{PATTERNS[k]})" for k in ("name", "cjk"))
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Marks around entities while a text is split, and the escape of marks in the text itself.
 MARK, ESCAPE = "", ""
@@ -205,7 +216,25 @@ def _word(word: Column, tweak: Column) -> Column:
 
 def _bare(s: Column) -> Column:
     """A name without its title."""
-    return F.regexp_replace(s, rf"^(?:{TITLES})\.? ", "")
+    return F.regexp_replace(s, rf"^(?:(?:{TITLES})\.? )+|(?:{HONORIFICS})$", "")
+
+
+def _wide(s: Column, tweak: Column) -> Column:
+    """Ideographs, syllables and kana, each moved within its block of code points (of three bytes in UTF-8)."""
+    low = lambda c: F.when(F.ascii(c) >= 0xAC00, 0xAC00).when(F.ascii(c) >= 0x4E00, 0x4E00).otherwise(0x30A1)
+    size = lambda c: F.when(F.ascii(c) >= 0xAC00, 11172).when(F.ascii(c) >= 0x4E00, 20992).otherwise(90)
+    byte = lambda n: F.lpad(F.hex(n), 2, "0")
+    utf8 = lambda n: F.decode(F.unhex(F.concat(byte(F.lit(0xE0).bitwiseOR(F.shiftright(n, 12))), byte(F.lit(0x80).bitwiseOR(F.shiftright(n, 6).bitwiseAND(63))), byte(F.lit(0x80).bitwiseOR(n.bitwiseAND(63))))), "UTF-8")
+    letters = F.split(s, "")
+    moved = _deranged(F.transform(letters, lambda c: F.ascii(c) - low(c)), F.transform(letters, size), tweak)
+    return F.array_join(F.zip_with(letters, moved, lambda c, v: utf8((low(c) + v).cast("long"))), "")
+
+
+def _country(digits: Column) -> Column:
+    """Digits of the country code that a number of eleven digits or more begins with, else 0: by the
+    digits alone, so that a number has one, however it is written."""
+    three = r"^(?:2[1-69]|3[578]|42|5[09]|6[789]|8[0578]|9[679])"
+    return F.when(F.length(digits) < 11, 0).when(digits.rlike("^[17]"), 1).when(digits.rlike(three), 3).otherwise(2)
 
 
 def surrogate(kind: Column, s: Column, key: Column) -> Column:
@@ -214,7 +243,7 @@ def surrogate(kind: Column, s: Column, key: Column) -> Column:
     digits = F.regexp_replace(s, "[^0-9]", "")
     tld = F.length(F.regexp_extract(s, r"\.[A-Za-z]+$", 0))
     email = PLAIN.permuted(s, tweak, F.concat(F.repeat(F.lit("1"), (F.length(s) - tld).cast("int")), F.repeat(F.lit("0"), tld)))
-    code = F.length(F.regexp_extract(s, r"^\+([0-9]{1,3})(?=[ .(-])", 1)) + F.when(F.regexp_like(s, F.lit(r"^\+[0-9]{4}")), 2).otherwise(0)
+    code = _country(digits)
     phone = _refilled(s, PLAIN.permuted(digits, tweak, F.concat(F.repeat(F.lit("0"), (code + 1).cast("int")), F.repeat(F.lit("1"), (F.length(digits) - code - 1).cast("int")))))
     free = F.concat(F.lit("0"), F.repeat(F.lit("1"), (F.length(digits) - 2).cast("int")), F.lit("0"))
     last = lambda inner: F.pmod(_luhn(inner) + F.substring(digits, -1, 1).cast("int") - _luhn(digits), F.lit(10))
@@ -222,28 +251,32 @@ def surrogate(kind: Column, s: Column, key: Column) -> Column:
     ip = F.array_join(_deranged(F.split(s, r"\.").cast("array<bigint>"), F.array(*[F.lit(256)] * 4), tweak).cast("array<string>"), ".")
     bare = _bare(s)
     stays = lambda w: w.isin(" ", "-", *PARTICLES)
+    cjk = F.concat(_wide(bare, tweak), F.substring(s, F.length(bare) + 1, F.length(s)))
     words = F.transform(F.split(bare, "(?<=[ -])|(?=[ -])"), lambda w: F.when(stays(w), w).otherwise(_word(w, tweak)))
     name = F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(bare)), F.array_join(words, ""))
     ssn = _refilled(s, PLAIN.permuted(digits, tweak))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", _iban(s, tweak)).when(kind == "ssn", ssn).otherwise(name)
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", _iban(s, tweak)).when(kind == "ssn", ssn).when(kind == "cjk", cjk).otherwise(name)
 
 
 def _kind(s: Column) -> Column:
-    return F.coalesce(*[F.when(F.regexp_like(s, F.lit(f"^(?:{PATTERNS[k]})$")), F.lit(k)) for k in KINDS], F.lit("name"))
+    kinds = [F.when(F.regexp_like(s, F.lit(f"^(?:{PATTERNS[k]})$")), F.lit(k)) for k in KINDS]
+    return F.coalesce(*kinds, F.when(s.rlike(r"^[\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]"), F.lit("cjk")).otherwise(F.lit("name")))  # bare mentions
 
 
 def canonical(kind: Column, s: Column) -> Column:
     """What entities must share to be the same one."""
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(s, "[^0-9]", "")).when(kind == "iban", F.replace(s, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(s)).when(kind == "name", _bare(s)).otherwise(s)
+    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(s, "[^0-9]", "")).when(kind == "iban", F.replace(s, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(s)).when(kind.isin("name", "cjk"), _bare(s)).otherwise(s)
 
 
 def _pattern(text: Column) -> Column:
     """What to look for in a text: entities by pattern, and every word of a name that it holds."""
     names = F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))
-    words = F.array_distinct(F.filter(F.flatten(F.transform(names, lambda n: F.split(_bare(n), "[ -]"))), lambda w: ~w.isin(*PARTICLES)))
+    words = F.array_distinct(F.filter(F.flatten(F.transform(names, lambda n: F.split(_bare(n), "[ -]"))), lambda w: ~w.isin(*PARTICLES) & ~w.contains(".") & (F.length(w) > 1)))
     known = F.array_join(F.array_distinct(F.concat(words, F.transform(words, F.upper))), "|")
-    base = F.when(F.regexp_like(text, F.lit("[0-9@]")), F.lit(ANY)).otherwise(F.lit(PATTERNS["name"]))
-    return F.when(F.size(names) > 0, F.concat(base, F.lit(r"|(?<!\p{L})(?:"), known, F.lit(r")(?!\p{L})"))).otherwise(base)
+    wide = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["cjk"]), F.lit(0)), _bare))
+    base = F.when(F.regexp_like(text, F.lit("[0-9@]")), F.lit(ANY)).otherwise(F.lit(_NAMED))
+    base = F.when(F.size(words) > 0, F.concat(base, F.lit(r"|(?<!\p{L})(?:"), known, F.lit(r")(?!\p{L})"))).otherwise(base)
+    return F.when(F.size(wide) > 0, F.concat(base, F.lit("|"), F.array_join(wide, "|"))).otherwise(base)
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:

@@ -541,3 +541,31 @@ def test_random_marked_wrappers():
             beside = "".join(f'<div class="{g.choice(["ad", "sidebar", "cookie-banner", "share-links"])}">{" ".join(words(g.randint(1, 9), k))}</div>' for _ in range(g.randint(0, 2)))
             body = f'<{(t := g.choice(["div", "section", "form"]))} class="{g.choice(names)}">{beside}{body}</{t}>'
         assert html.extract(page(body)) == " ".join(own)
+
+
+def test_whole_names_titles_and_honorifics(spark):
+    cases = [
+        ("Mr John Fitzgerald Kennedy spoke. Kennedy left.", ["John", "Fitzgerald", "Kennedy"]), ("Anna Maria Becker came.", ["Anna", "Maria", "Becker"]), ("Herr Dr. Weber kam. Weber ging.", ["Weber"]), ("Mr J. R. Becker and Dr. Becker", ["J. R.", "Becker"]),
+        ("Dmitri Ivanov here, Ivanov there.", ["Dmitri", "Ivanov"]), ("Professor Müller sagt.", ["Müller"]), ("王伟先生来了，王伟走了。", ["王伟"]), ("김철수 씨, 山田さん", ["김철수", "山田"]), ("Mrs. Olga Petrova-Smith de la Cruz; PETROVA", ["Olga", "Petrova", "Smith", "Cruz", "PETROVA"]), ("Don Johnson", ["Johnson"]),
+    ]
+    docs = spark.createDataFrame([(i, t, "s", 0) for i, (t, _) in enumerate(cases)] + [(90, "In London the Prime Minister met Big Ben. Nothing Else.", "s", 0)], DOCS)
+    got = {r.doc_id: r.text for r in surrogates.replaced(docs, "k").collect()}
+    for i, (text, gone) in enumerate(cases):
+        assert not [x for x in gone if x in got[i]], got[i]
+        assert len(got[i].split()) == len(text.split())
+    assert got[2].startswith("Herr Dr. ") and "先生来了" in got[6] and got[6].count(got[6][:2]) == 2 and got[3].split()[3] == got[3].split()[-1]
+    assert got[90] == "In London the Prime Minister met Big Ben. Nothing Else."
+
+
+def test_numbers_in_many_formats_have_one_surrogate_each(spark):
+    g = random.Random(5)
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(50):
+            a, b, c = g.randint(200, 999), g.randint(0, 999), g.randint(0, 9999)
+            parts.append(f"+1 {a} {b:03d} {c:04d} = +1{a}{b:03d}{c:04d} = +1 ({a}) {b:03d}-{c:04d}")
+        rows.append((i, " ; ".join(parts), "s", 0))
+    for r in surrogates.replaced(spark.createDataFrame(rows, DOCS).repartition(8), "k").collect():
+        for part in r.text.split(" ; "):
+            assert len({re.sub(r"\D", "", x) for x in part.split(" = ")}) == 1
