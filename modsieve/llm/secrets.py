@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 
 import pandas as pd
@@ -73,7 +72,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _scan(batches):
-    kept = ["doc", "uid", "n_assign", "n_access", "n_hex", "base", "parts"]
+    kept = ["doc", "n_assign", "n_access", "n_hex", "base", "parts"]
     for pdf in batches:
         rows = []
         for doc, text in zip(pdf.doc, pdf.text, strict=True):
@@ -82,7 +81,7 @@ def _scan(batches):
             n = Counter(k for *_, k in base)
             # every link needs a secret: a strong one (in ``base``), or a token, which has a digit
             more = weak(text, base) if base or _DIGIT.search(text) else []
-            rows.append((doc, uuid.uuid4().int >> 65, n["assign"], n["access"], n["hex"], _joined(base), [{"kind": k, "start": s, "end": e} for s, e, k in [*base, *more]] if more else []))
+            rows.append((doc, n["assign"], n["access"], n["hex"], _joined(base), [{"kind": k, "start": s, "end": e} for s, e, k in [*base, *more]] if more else []))
         yield pd.DataFrame(rows, columns=kept)
 
 
@@ -114,7 +113,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _spans(docs: DataFrame) -> DataFrame:
     """``scan`` of rows (doc, text) named by any text, with a row's number ``uid``."""
-    found = written(docs.mapInPandas(_scan, "doc string, uid long, n_assign long, n_access long, n_hex long, base string, parts array<struct<kind:string,start:long,end:long>>"), "spans")
+    # written once, the rows' numbers hold
+    found = written(docs.mapInPandas(_scan, "doc string, n_assign long, n_access long, n_hex long, base string, parts array<struct<kind:string,start:long,end:long>>").withColumn("uid", F.monotonically_increasing_id()), "spans")
     parts = found.filter(F.size("parts") > 0).select("uid", F.inline("parts"))
     added = linked(parts).groupBy("uid").agg(F.collect_list(F.struct("start", "end", "kind")).alias("added"))
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
