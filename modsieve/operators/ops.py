@@ -62,6 +62,40 @@ def quantiles(rows: DataFrame, value: str, by: str, exact: bool = True) -> DataF
     return rows.groupBy(by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
 
 
+def bucket_quantiles(bars: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Quantiles from cumulative buckets (``by``, le, n) as ``histogram`` gives them: (``by``, p50, p95).
+
+    A quantile lies in the first bucket that reaches its share of all, at the place between the bucket's
+    edges that its count asks for; the lowest bucket begins at 0, or has one value if its edge is not above 0; in the bucket
+    without an end it is the last edge. Buckets of several tables or times may be added up first. NULL where there is no value."""
+    edge = F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.col("le").cast("double"))
+    rows = bars.groupBy(by, edge.alias("le")).agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(by).orderBy("le")
+    rows = rows.select(by, "le", "n", F.lag("n", 1, 0).over(order).alias("n0"), F.lag("le").over(order).alias("e0"), F.max("n").over(Window.partitionBy(by)).alias("all"))
+
+    def at(q: float) -> Column:
+        rank = F.lit(q) * F.col("all")
+        low = F.coalesce("e0", F.when(F.col("le") > 0, F.lit(0.0)).otherwise(F.col("le")))
+        inside = low + (F.col("le") - low) * F.try_divide(rank - F.col("n0"), F.col("n") - F.col("n0"))
+        value = F.when(F.isnull("e0") & (F.col("le") <= 0), F.col("le")).when(F.col("le") == float("inf"), F.col("e0")).otherwise(F.coalesce(inside, F.col("le")))
+        return F.min_by(value, F.when((F.col("n") >= rank) & (F.col("all") > 0), F.col("le"))).alias(f"p{round(100 * q)}")
+
+    return rows.groupBy(by).agg(*map(at, shares))
+
+
+def sketches(rows: DataFrame, value: str, by: str, at: str, minutes: int = 1) -> DataFrame:
+    """A KLL sketch of ``value`` for each group and span of minutes: (``by``, window_start, n, sketch).
+    Sketches have a bounded size and merge, so a span of any length needs no value again."""
+    spans = rows.filter(F.col(value).isNotNull()).groupBy(by, F.window(at, f"{minutes} minutes").alias("w"))
+    return spans.agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double")).alias("sketch")).select(by, F.col("w.start").alias("window_start"), "n", "sketch")
+
+
+def sketched_quantiles(stored: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Quantiles from ``sketches``, merged over their spans; ranks are right to about 1.3 %."""
+    merged = stored.groupBy(by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(by, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(f"p{round(100 * q)}") for q in shares])
+
+
 def latest(rows: DataFrame, key: str, value: str, at: str, tie: str) -> DataFrame:
     """The last ``value`` of each key."""
     return rows.groupBy(key).agg(F.max_by(value, F.struct(at, tie)).alias(value))

@@ -515,6 +515,24 @@ def a7_quantiles(spark, sf):
     return ops.quantiles(X.jobs(spark, sf), "value", "adapter")
 
 
+_BUCKETS = " UNION ALL ".join([f"SELECT media_type, {float(e)}::DOUBLE AS le, count(*) FILTER (frames_scanned <= {float(e)}) AS n FROM jobs GROUP BY 1" for e in _EDGES] + ["SELECT media_type, 'inf'::DOUBLE, count(frames_scanned) FROM jobs GROUP BY 1"])
+
+
+def _bucket_quantile(q: float) -> str:
+    return f"""(SELECT CASE WHEN isinf(le) THEN e0 ELSE e0 + (le - e0) * coalesce(({q} * total - n0) / nullif(n - n0, 0), 1) END FROM c WHERE c.media_type = m.media_type AND n >= {q} * total ORDER BY le LIMIT 1)"""
+
+
+@query(f"""WITH {X.JOBS}, b AS ({_BUCKETS}), c AS (SELECT *, coalesce(lag(n) OVER o, 0) AS n0, coalesce(lag(le) OVER o, 0) AS e0, max(n) OVER (PARTITION BY media_type) AS total FROM b WINDOW o AS (PARTITION BY media_type ORDER BY le))
+SELECT media_type, {_bucket_quantile(0.5)} AS p50, {_bucket_quantile(0.95)} AS p95 FROM (SELECT DISTINCT media_type FROM c) m""")
+def a7_bucket_quantiles(spark, sf):
+    return ops.bucket_quantiles(ops.histogram(X.jobs(spark, sf), "frames_scanned", _EDGES, "media_type"), "media_type")
+
+
+@query(None)
+def a7_sketched_quantiles(spark, sf):
+    return ops.sketched_quantiles(ops.sketches(X.jobs(spark, sf), "value", "adapter", "finished_at", 60), "adapter")
+
+
 @query("""WITH t AS (SELECT 'adapter-' || p_partkey % 5 AS adapter, 'v' || p_partkey % 3 AS model_version, 'label:' || p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE 'null' END AS f, CASE WHEN p_partkey % 2 = 0 THEN '0.25' ELSE 'null' END AS b FROM part)
 SELECT adapter, model_version, sha256('{"adapter":"' || adapter || '","model_version":"' || model_version || '","thresholds":{' || string_agg('"' || key || '":{"flag_at":' || f || ',"block_at":' || b || '}', ',' ORDER BY key) || '}}') AS config_hash FROM t GROUP BY 1, 2""")
 def a8_config_hash(spark, sf):
@@ -656,6 +674,17 @@ def t3_backpressure(spark, sf):
     return B.backpressure(X.jobs(spark, sf).selectExpr("adapter", "finished_at AS at", "event_id AS seq", "verdict <> 'error' AS ok"), n=4, m=2)
 
 
+@query(f"WITH {X.JOBS} SELECT time_bucket(INTERVAL 1 MINUTE, finished_at) AS window_start, sum(frames_scanned) / 60.0::DOUBLE AS frames_per_second, count(*) FILTER (verdict = 'error') / 60.0::DOUBLE AS errors_per_second FROM jobs GROUP BY 1")
+def t4_frame_rates(spark, sf):
+    return B.frame_rates(X.jobs(spark, sf))
+
+
+@query(f"""WITH {X.JOBS}, w AS (SELECT time_bucket(INTERVAL 1 MINUTE, finished_at) - INTERVAL 1 MINUTE * unnest(range(5)) AS window_start, media_type, frames_scanned FROM jobs)
+SELECT window_start, media_type, count(*) AS jobs, avg(frames_scanned) AS mean_frames, max(frames_scanned)::BIGINT AS most_frames FROM w GROUP BY 1, 2""")
+def t4_frames_per_job(spark, sf):
+    return B.frames_per_job(X.jobs(spark, sf))
+
+
 @query(f"WITH {X.JOBS} SELECT time_bucket(INTERVAL 1 MINUTE, finished_at) AS window_start, verdict, count(*) / 60.0::DOUBLE AS per_second FROM jobs GROUP BY 1, 2")
 def t4_rates(spark, sf):
     return B.rates(X.jobs(spark, sf))

@@ -15,6 +15,19 @@ def rates(records: DataFrame, length: str = "1 minute", slide: str | None = None
     return records.groupBy(F.window("finished_at", length, slide or length).alias("w"), "verdict").agg((F.count("*") / F.lit(float(seconds))).alias("per_second")).select(F.col("w.start").alias("window_start"), "verdict", "per_second")
 
 
+def frame_rates(records: DataFrame, length: str = "1 minute", seconds: int = 60) -> DataFrame:
+    """T4: frames and errors a second in windows of event time."""
+    frames = F.sum(F.coalesce("frames_scanned", F.lit(0))) / F.lit(float(seconds))
+    errors = F.count_if(F.col("verdict") == "error") / F.lit(float(seconds))
+    return records.groupBy(F.window("finished_at", length).alias("w")).agg(frames.alias("frames_per_second"), errors.alias("errors_per_second")).select(F.col("w.start").alias("window_start"), "frames_per_second", "errors_per_second")
+
+
+def frames_per_job(records: DataFrame, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """T4: frames a job by media type in windows that slide: jobs, mean and most. A job without frames counts as 0."""
+    n = F.coalesce(F.col("frames_scanned"), F.lit(0))
+    return records.groupBy(F.window("finished_at", length, slide).alias("w"), "media_type").agg(F.count("*").alias("jobs"), F.avg(n).alias("mean_frames"), F.max(n).cast("long").alias("most_frames")).select(F.col("w.start").alias("window_start"), "media_type", "jobs", "mean_frames", "most_frames")
+
+
 def ledger(attempts: DataFrame, max_retries: int = 3, backoff: float = 30.0) -> DataFrame:
     """T5: what follows each attempt (job_id, attempt, disposition, at): done, retry with its time,
     or dead; unknown dispositions are dead, and nothing follows an end."""
