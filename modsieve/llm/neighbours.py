@@ -3,10 +3,10 @@
 Vectors get one more component that makes their lengths equal, so that the largest inner product
 is the smallest distance. Each of ``CURVES`` curves projects them at random to ``DIMS`` dimensions,
 shifts and quantises them and takes the place on a Hilbert curve as key. Spark range-partitions
-all rows by (curve, key); a partition is a block of neighbours that knows its rows' ranks. A query
+all rows by (curve, key); a partition is a block of neighbours that knows its rows' ranks; ranks in turn are cut into cells. A query
 takes the curves on which it lies farthest from the middle (there its neighbours stand apart from
 other rows most), and meets on each of them the rows of a window of ranks around its own place,
-cut out of the blocks the window reaches. The windows' best are merged and ranked again by the
+cut out of the cells the window reaches. The windows' best are merged and ranked again by the
 exact inner product.
 
 How many curves a query takes and how wide the windows are is fitted: the true neighbours of at
@@ -49,7 +49,8 @@ SHARES = (0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35,
 #: A share from which one curve serves all queries.
 ONE_CURVE = 0.5
 BLOCKS = 4
-#: A block has at most about so many rows, and meets so many queries at once.
+#: A curve has so many cells of ranks at least; a cell has at most so many rows, and meets so many queries at once.
+CELLS = 8
 BLOCK_ROWS = 1 << 16
 QUERY_ROWS = 1 << 12
 
@@ -264,19 +265,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     size = placed.filter("not query").groupBy("curve", "block").agg(F.count("*").alias("size"))
     order = Window.partitionBy("curve").orderBy("block")
     edges = written(placed.select("curve", "block").distinct().join(size, ["curve", "block"], "left").select("curve", "block", F.coalesce("size", F.lit(0)).alias("size")).withColumn("low", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")), "blocks")
-    rank = F.col("low") + F.col("place")
-    start = F.greatest(F.lit(0), F.least(rank - width // 2, F.lit(n - width)))
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a / BLOCK_ROWS), F.floor(b / BLOCK_ROWS))).alias("cell")
-    windows = placed.filter("query").join(edges, ["curve", "block"]).select("curve", "uid", "vec_id", "embedding", start.alias("first"), (start + width).alias("last"))
-    reach = edges.filter("size > 0").select("curve", "block", "size", "low", cells(F.col("low"), F.col("low") + F.col("size") - 1))
-    # a window meets the blocks of the cells of ranks it covers: an equality join; each block once
-    met = windows.select("*", cells(F.col("first"), F.col("last") - 1)).join(reach, ["curve", "cell"])
-    met = met.filter((F.col("low") < F.col("last")) & (F.col("low") + F.col("size") > F.col("first")) & (F.col("cell") == F.floor(F.greatest("first", "low") / BLOCK_ROWS)))
-    met = met.select("curve", "block", "uid", "vec_id", "embedding", F.greatest(F.lit(0), F.col("first") - F.col("low")).alias("a"), F.least("size", F.col("last") - F.col("low")).alias("b"))
+    # cells of ranks, however the rows are dealt to partitions: a window meets those it covers
+    cell_rows = min(BLOCK_ROWS, -(-n // CELLS))
+    numbered = placed.join(edges.select("curve", "block", "low"), ["curve", "block"]).withColumn("at", F.col("low") + F.col("place"))
+    cell = lambda x: F.floor(x / cell_rows).cast("long")
+    start = F.greatest(F.lit(0), F.least(F.col("at") - width // 2, F.lit(n - width)))
+    windows = numbered.filter("query").select("curve", "uid", "vec_id", "embedding", start.alias("first"), (start + width).alias("last"))
+    met = windows.select("*", F.explode(F.sequence(cell(F.col("first")), cell(F.col("last") - 1))).alias("cell"))
+    met = met.select("curve", "cell", "uid", "vec_id", "embedding", F.greatest(F.lit(0), F.col("first") - F.col("cell") * cell_rows).alias("a"), F.least(F.lit(cell_rows), F.col("last") - F.col("cell") * cell_rows).alias("b"))
     groups = F.ceil(F.col("asked") / QUERY_ROWS).cast("int")
-    crowd = written(met.groupBy("curve", "block").agg(F.count("*").alias("asked")).select("curve", "block", groups.alias("groups")), "crowds")
-    met = met.join(crowd, ["curve", "block"]).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("groups")).cast("int")).drop("groups")
-    held_rows = placed.filter("not query").select("curve", "block", "uid", "vec_id", "embedding", "place").join(crowd, ["curve", "block"]).select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).drop("groups")
+    crowd = written(met.groupBy("curve", "cell").agg(F.count("*").alias("asked")).select("curve", "cell", groups.alias("groups")), "crowds")
+    met = met.join(crowd, ["curve", "cell"]).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("groups")).cast("int")).drop("groups")
+    held_rows = numbered.filter("not query").select("curve", cell(F.col("at")).alias("cell"), "uid", "vec_id", "embedding", (F.col("at") % cell_rows).alias("place")).join(crowd, ["curve", "cell"]).select("*", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).drop("groups")
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -298,7 +298,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
         return out[out.score > -np.inf]
 
     met, held_rows = met.toDF(*met.columns), held_rows.toDF(*held_rows.columns)
-    keys = ["curve", "block", "part"]
+    keys = ["curve", "cell", "part"]
     found = met.groupBy(*keys).cogroup(held_rows.groupBy(*keys)).applyInPandas(best, "uid long, query_id long, other long, vec_id long, score double")
     found = found.groupBy("uid", "query_id", "other", "vec_id").agg(F.max("score").alias("score"))
     # of k + 1 vectors each has a member besides the query: the k nearest rows are among theirs
