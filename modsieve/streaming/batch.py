@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,16 +143,161 @@ class Pressure:
         return self.tripped
 
 
-def backpressure(outcomes: DataFrame, n: int = 20, m: int = 5, rate: float = 50.0, window: float = 60.0) -> DataFrame:
-    """The tripped state after each outcome (adapter, at, seq, ok), whose order within an adapter
-    matters. Adapters are few and their outcomes many: rows stream through one task per adapter in
-    time order, and only the machine's window is kept."""
-    sorted_ = outcomes.select("adapter", "at", "seq", "ok").repartition("adapter").sortWithinPartitions("adapter", "at", "seq")
-
-    def run(batches):
-        machines: dict[str, Pressure] = {}
-        for pdf in batches:
-            state = [machines.setdefault(a, Pressure(n, m, rate, window)).record(t.timestamp(), bool(o)) for a, t, o in zip(pdf.adapter, pdf["at"], pdf.ok, strict=True)]
-            yield pd.DataFrame({"adapter": pdf.adapter, "at": pdf["at"], "seq": pdf.seq, "tripped": state})
-
-    return sorted_.mapInPandas(run, "adapter string, at timestamp, seq long, tripped boolean")
+#: States in which a slice of time may begin: tripped, or open with a window as long as it may be; or
+#: open since a recovery whose window is still short, then named by the recovery's time and number.
+TRIPPED, OPEN = "tripped", "open"
+
+
+class _Slice:
+    """One adapter's outcomes of a slice of time after those of the window before it.
+
+    Between a recovery and the next trip the machine depends on that recovery alone, and a recovery
+    is where the m-th success in a row stands, tripped or not. So what follows a state is looked up
+    by counts, without going through the outcomes in between."""
+
+    def __init__(self, pdf: pd.DataFrame, n: int, m: int, rate: float, window: float, samples: int) -> None:
+        self.t, self.seq, self.ok = pdf["_t"].to_numpy(), pdf["seq"].to_numpy(), pdf["ok"].to_numpy(bool)
+        self.first, self.window = int((~pdf["_own"].to_numpy(bool)).sum()), int(window * 1_000_000)
+        self.bad, self.rate, self.samples, self.n = pdf["_bad"].to_numpy(), rate, samples, n
+        self.wrong = np.concatenate([[0], np.cumsum(~self.ok)])
+        self.low = np.searchsorted(self.t, self.t - self.window, side="right")
+        self.recoveries = np.flatnonzero(self.ok & (pdf["_good"].to_numpy() == m))
+        self.full = np.flatnonzero(self._trips(0, len(self.t), -1))
+
+    def _trips(self, a: int, b: int, since: int) -> np.ndarray:
+        i = np.arange(a, b)
+        low = np.maximum(self.low[a:b], since + 1)
+        size, wrong = i + 1 - low, self.wrong[i + 1] - self.wrong[low]
+        return ~self.ok[a:b] & ((self.bad[a:b] >= self.n) | (size >= self.samples) & (wrong * 100 >= self.rate * np.maximum(size, 1)))
+
+    def _after(self, places: np.ndarray, i: int) -> int:
+        k = int(np.searchsorted(places, i))
+        return int(places[k]) if k < len(places) else len(self.t)
+
+    def trip(self, since: int) -> int:
+        """The first trip in the slice after the recovery at ``since`` (-1: long ago); the length if there is none."""
+        a = max(since + 1, self.first)
+        b = max(a, int(np.searchsorted(self.low, since, side="right"))) if since >= 0 else a
+        short = np.flatnonzero(self._trips(a, b, since))
+        return a + int(short[0]) if len(short) else self._after(self.full, b)
+
+    def entries(self) -> list[str]:
+        return [TRIPPED, OPEN, *(self.name(int(k)) for k in self.recoveries if k < self.first)]
+
+    def name(self, k: int) -> str:
+        return f"{self.t[k]}:{self.seq[k]}"
+
+    def place(self, entry: str) -> int:
+        """Where the recovery of an entry stands, -1 if it is long ago."""
+        return next((int(k) for k in self.recoveries if k < self.first and self.name(int(k)) == entry), -1)
+
+    def phases(self, entry: str, memo: dict[int, int] | None = None):
+        """(place, tripped) where the state changes in the slice."""
+        at = self.first - 1 if entry == TRIPPED else None
+        since = -1 if entry == TRIPPED else self.place(entry)
+        while True:
+            if at is None:
+                at = memo.get(since) if memo is not None else None
+                if at is None:
+                    at = self.trip(since)
+                    if memo is not None:
+                        memo[since] = at
+                if at >= len(self.t):
+                    return
+                yield at, True
+            since = self._after(self.recoveries, at + 1)
+            if since >= len(self.t):
+                return
+            yield since, False
+            at = None
+
+    def exit(self, entry: str, end: int, memo: dict[int, int]) -> str:
+        """The state after the slice, which ends before ``end``."""
+        k, tripped = self.place(entry), entry == TRIPPED
+        for k, tripped in self.phases(entry, memo):  # noqa: B007
+            pass
+        return TRIPPED if tripped else self.name(k) if k >= 0 and self.t[k] > end - self.window else OPEN
+
+    def states(self, entry: str) -> np.ndarray:
+        out = np.full(len(self.t), entry == TRIPPED)
+        for k, tripped in self.phases(entry):
+            out[k:] = tripped
+        return out[self.first :]
+
+
+def _counted(outcomes: DataFrame, length: int) -> DataFrame:
+    """Outcomes with their slice and the failures and successes in a row up to each, over slices' edges."""
+    t = F.unix_micros(F.col("at").cast("timestamp"))
+    named = F.coalesce(F.concat(F.lit("="), "adapter"), F.lit("")).alias("adapter")  # no adapter is one of its own
+    rows = outcomes.select(named, "at", "seq", F.coalesce("ok", F.lit(False)).alias("ok"), t.alias("_t"), F.floor(t / length).cast("long").alias("_s"))
+    order = Window.partitionBy("adapter", "_s").orderBy("at", "seq")
+    placed = rows.withColumn("_p", F.row_number().over(order))
+    last = {"_bad": F.max(F.when(F.col("ok"), F.col("_p"))).over(order), "_good": F.max(F.when(~F.col("ok"), F.col("_p"))).over(order)}
+    placed = placed.withColumns(last)
+    ends = placed.groupBy("adapter", "_s").agg(F.count("*").alias("n"), *[(F.count("*") - F.coalesce(F.max(F.when(hit, F.col("_p"))), F.lit(0))).alias(c) for c, hit in (("bad", F.col("ok")), ("good", ~F.col("ok")))])
+    # a row a slice: slices of one kind alone carry on what came before them
+    over = Window.partitionBy("adapter").orderBy("_s")
+    for c in ("bad", "good"):
+        ends = ends.withColumn("_g", F.count_if(F.col(c) < F.col("n")).over(over))
+        ends = ends.withColumn(f"{c}_out", F.sum(c).over(Window.partitionBy("adapter", "_g").orderBy("_s")))
+        ends = ends.withColumn(f"{c}_in", F.coalesce(F.lag(f"{c}_out").over(over), F.lit(0)))
+    joined = placed.join(ends.select("adapter", "_s", "bad_in", "good_in"), ["adapter", "_s"])
+    count = lambda c, own: F.when(own, F.lit(0)).otherwise(F.col("_p") - F.coalesce(F.col(f"_{c}"), -F.col(f"{c}_in")))
+    return joined.select("adapter", "at", "seq", "ok", "_t", "_s", count("bad", F.col("ok")).alias("_bad"), count("good", ~F.col("ok")).alias("_good"))
+
+
+def backpressure(outcomes: DataFrame, n: int = 20, m: int = 5, rate: float = 50.0, window: float = 60.0, samples: int = 10, slice_seconds: float = 300.0) -> DataFrame:
+    """The tripped state after each outcome (adapter, at, seq, ok), whose order within an adapter matters.
+
+    Adapters are few and their outcomes many, so an adapter's time is cut into slices. A slice sees the
+    window before it and says, for every state it may begin in, in which it ends; those
+    tables, a few rows a slice, are followed through in order; then each slice gives its outcomes'
+    states. A slice's outcomes are held together: choose ``slice_seconds`` for the busiest adapter. An outcome
+    without a time has no state (NULL) and changes none; one without ``ok`` failed. ``seq`` is unique among equal times."""
+    length = int(max(window, slice_seconds) * 1_000_000)
+    span = int(window * 1_000_000)
+    schema = "adapter string, at timestamp, seq long, tripped boolean"
+    rows = _counted(outcomes.filter("at is not null"), length)
+    before = rows.filter(F.col("_t") > (F.col("_s") + 1) * length - span).withColumn("_s", F.col("_s") + 1).withColumn("_own", F.lit(False))
+    slices = rows.withColumn("_own", F.lit(True)).unionByName(before)
+
+    def read(pdf: pd.DataFrame) -> _Slice:
+        return _Slice(pdf.sort_values(["_own", "_t", "seq"], kind="stable"), n, m, rate, window, samples)
+
+    def table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, memo = read(pdf), {}
+        entries = own.entries() if pdf["_own"].any() else []  # else only the window before an empty slice
+        rows = [(key[0], key[1], e, own.exit(e, (key[1] + 1) * length, memo)) for e in entries]
+        return pd.DataFrame(rows, columns=["adapter", "_s", "entry", "exit"]).astype({"_s": "int64"})
+
+    def follow(batches):
+        adapter, at, state, found = None, None, OPEN, {}
+        for pdf in _then_none(batches):
+            out = []
+            for a, s, entry, exit_ in zip(pdf.adapter, pdf["_s"], pdf.entry, pdf.exit, strict=True) if pdf is not None else [(None, None, None, None)]:
+                if (a, s) != (adapter, at):
+                    if at is not None:
+                        begun = state if state in found else OPEN  # a short window is long over by then
+                        out.append((adapter, at, begun))
+                        state = found[begun] if a == adapter else OPEN
+                    adapter, at, found = a, s, {}
+                found[entry] = exit_
+            if out:
+                yield pd.DataFrame(out, columns=["adapter", "_s", "entry"])
+
+    def states(key: tuple, pdf: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["_own"]].sort_values(["_t", "seq"], kind="stable")
+        tripped = read(pdf).states(begun.entry.iloc[0]) if len(own) else np.empty(0, bool)
+        return own[["adapter", "at", "seq"]].assign(tripped=tripped)
+
+    keys = ["adapter", "_s"]
+    tables = slices.groupBy(*keys).applyInPandas(table, "adapter string, _s long, entry string, exit string")
+    entries = tables.repartition("adapter").sortWithinPartitions(*keys).mapInPandas(follow, "adapter string, _s long, entry string")
+    timed = slices.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(states, schema)
+    timed = timed.withColumn("adapter", F.when(F.col("adapter") != "", F.substring("adapter", F.lit(2), F.length("adapter"))))
+    return timed.unionByName(outcomes.filter("at is null").select("adapter", "at", "seq", F.lit(None).cast("boolean").alias("tripped")))
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
