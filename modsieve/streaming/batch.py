@@ -225,11 +225,16 @@ class _Slice:
         return out[self.first :]
 
 
-def _counted(outcomes: DataFrame, length: int) -> DataFrame:
-    """Outcomes with their slice and the failures and successes in a row up to each, over slices' edges."""
+def _counted(outcomes: DataFrame, unit: int, slice_rows: int) -> DataFrame:
+    """Outcomes with their unit of time, their slice (units in a row, of about ``slice_rows`` outcomes) and the
+    failures and successes in a row up to each, over slices' edges."""
     t = F.unix_micros(F.col("at").cast("timestamp"))
     named = F.coalesce(F.concat(F.lit("="), "adapter"), F.lit("")).alias("adapter")  # no adapter is one of its own
-    rows = outcomes.select(named, "at", "seq", F.coalesce("ok", F.lit(False)).alias("ok"), t.alias("_t"), F.floor(t / length).cast("long").alias("_s"))
+    rows = outcomes.select(named, "at", "seq", F.coalesce("ok", F.lit(False)).alias("ok"), t.alias("_t"), F.floor(t / unit).cast("long").alias("_u"))
+    # a row a unit: how many outcomes come before it
+    done = F.sum("n").over(Window.partitionBy("adapter").orderBy("_u")) - F.col("n")
+    units = rows.groupBy("adapter", "_u").agg(F.count("*").alias("n")).select("adapter", "_u", F.floor(done / slice_rows).cast("long").alias("_s"))
+    rows = rows.join(units, ["adapter", "_u"])
     order = Window.partitionBy("adapter", "_s").orderBy("at", "seq")
     placed = rows.withColumn("_p", F.row_number().over(order))
     last = {"_bad": F.max(F.when(F.col("ok"), F.col("_p"))).over(order), "_good": F.max(F.when(~F.col("ok"), F.col("_p"))).over(order)}
@@ -243,22 +248,23 @@ def _counted(outcomes: DataFrame, length: int) -> DataFrame:
         ends = ends.withColumn(f"{c}_in", F.coalesce(F.lag(f"{c}_out").over(over), F.lit(0)))
     joined = placed.join(ends.select("adapter", "_s", "bad_in", "good_in"), ["adapter", "_s"])
     count = lambda c, own: F.when(own, F.lit(0)).otherwise(F.col("_p") - F.coalesce(F.col(f"_{c}"), -F.col(f"{c}_in")))
-    return joined.select("adapter", "at", "seq", "ok", "_t", "_s", count("bad", F.col("ok")).alias("_bad"), count("good", ~F.col("ok")).alias("_good"))
+    return joined.select("adapter", "at", "seq", "ok", "_t", "_u", "_s", count("bad", F.col("ok")).alias("_bad"), count("good", ~F.col("ok")).alias("_good"))
 
 
-def backpressure(outcomes: DataFrame, n: int = 20, m: int = 5, rate: float = 50.0, window: float = 60.0, samples: int = 10, slice_seconds: float = 300.0) -> DataFrame:
+def backpressure(outcomes: DataFrame, n: int = 20, m: int = 5, rate: float = 50.0, window: float = 60.0, samples: int = 10, slice_rows: int = 50_000) -> DataFrame:
     """The tripped state after each outcome (adapter, at, seq, ok), whose order within an adapter matters.
 
     Adapters are few and their outcomes many, so an adapter's time is cut into slices. A slice sees the
     window before it and says, for every state it may begin in, in which it ends; those
     tables, a few rows a slice, are followed through in order; then each slice gives its outcomes'
-    states. A slice's outcomes are held together: choose ``slice_seconds`` for the busiest adapter. An outcome
+    states. A slice is a number of windows' lengths with about ``slice_rows`` outcomes, which are held together. An outcome
     without a time has no state (NULL) and changes none; one without ``ok`` failed. ``seq`` is unique among equal times."""
-    length = int(max(window, slice_seconds) * 1_000_000)
-    span = int(window * 1_000_000)
+    unit = int(window * 1_000_000)
     schema = "adapter string, at timestamp, seq long, tripped boolean"
-    rows = _counted(outcomes.filter("at is not null"), length)
-    before = rows.filter(F.col("_t") > (F.col("_s") + 1) * length - span).withColumn("_s", F.col("_s") + 1).withColumn("_own", F.lit(False))
+    rows = _counted(outcomes.filter("at is not null"), unit, slice_rows)
+    # the window before a slice lies in the unit before its first
+    edge = rows.groupBy("adapter", "_s").agg(F.min("_u").alias("_u")).select("adapter", F.col("_s").alias("_next"), (F.col("_u") - 1).alias("_u"))
+    before = rows.join(edge, ["adapter", "_u"]).filter("_next <> _s").withColumn("_s", F.col("_next")).drop("_next").withColumn("_own", F.lit(False))
     slices = rows.withColumn("_own", F.lit(True)).unionByName(before)
 
     def read(pdf: pd.DataFrame) -> _Slice:
@@ -266,8 +272,8 @@ def backpressure(outcomes: DataFrame, n: int = 20, m: int = 5, rate: float = 50.
 
     def table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own, memo = read(pdf), {}
-        entries = own.entries() if pdf["_own"].any() else []  # else only the window before an empty slice
-        rows = [(key[0], key[1], e, own.exit(e, (key[1] + 1) * length, memo)) for e in entries]
+        end = (int(pdf["_u"].max()) + 1) * unit
+        rows = [(key[0], key[1], e, own.exit(e, end, memo)) for e in own.entries()]
         return pd.DataFrame(rows, columns=["adapter", "_s", "entry", "exit"]).astype({"_s": "int64"})
 
     def follow(batches):

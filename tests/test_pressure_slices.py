@@ -32,10 +32,10 @@ def machine(rows, n, m, rate, window, samples):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed, n, m, rate, window, samples, length", [(1, 4, 2, 50.0, 60.0, 10, 60), (2, 20, 5, 50.0, 60.0, 10, 300), (3, 6, 1, 30.0, 20.0, 4, 61), (4, 3, 3, 90.0, 60.0, 2, 100), (5, 50, 4, 50.0, 60.0, 5, 10**6)])
-def test_slices_equal_the_machine(spark, seed, n, m, rate, window, samples, length):
+@pytest.mark.parametrize("seed, n, m, rate, window, samples, slice_rows", [(1, 4, 2, 50.0, 60.0, 10, 25), (2, 20, 5, 50.0, 60.0, 10, 100), (3, 6, 1, 30.0, 20.0, 4, 40), (4, 3, 3, 90.0, 60.0, 2, 7), (5, 50, 4, 50.0, 60.0, 5, 10**6)])
+def test_slices_equal_the_machine(spark, seed, n, m, rate, window, samples, slice_rows):
     rows = outcomes(seed)
-    got = B.backpressure(spark.createDataFrame(rows, SCHEMA).repartition(5), n, m, rate, window, samples, length)
+    got = B.backpressure(spark.createDataFrame(rows, SCHEMA).repartition(5), n, m, rate, window, samples, slice_rows)
     want = machine(rows, n, m, rate, window, samples)
     assert sorted(map(tuple, got.collect())) == want and 0.05 < sum(r[3] for r in want) / len(want) < 0.95
 
@@ -49,6 +49,6 @@ def test_odd_outcomes(spark):
 
 def test_an_adapter_is_many_tasks(spark):
     rows = [("a", T0 + dt.timedelta(seconds=i), i, i % 3 > 0) for i in range(4000)]
-    slices = B._counted(spark.createDataFrame(rows, SCHEMA), 60_000_000)
-    assert slices.select("_s").distinct().count() == 67
-    assert slices.agg({"_bad": "max", "_good": "max"}).first() == (1, 2) or set(slices.agg({"_bad": "max", "_good": "max"}).first()) == {1, 2}
+    slices = B._counted(spark.createDataFrame(rows, SCHEMA), 60_000_000, 100)
+    assert slices.select("_s").distinct().count() > 25
+    assert set(slices.agg({"_bad": "max", "_good": "max"}).first()) == {1, 2}
