@@ -84,6 +84,58 @@ def liveness(beats: DataFrame, after: int = 60) -> DataFrame:
     return beats.withWatermark("at", f"{after} seconds").groupBy(F.session_window("at", f"{after} seconds").alias("w"), "instance_id").agg(F.count("*").alias("beats")).select("instance_id", F.col("w.end").alias("stale_at"), "beats")
 
 
+class _Silence(StatefulProcessor):
+    """T6 by instance: its last heartbeat, and a timer of processing time that the next one puts off."""
+
+    def __init__(self, after: float) -> None:
+        self.after = after
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("beat", "last long, beats long")
+
+    def handleInputRows(self, key, rows, timers):  # noqa: N802
+        last, beats = self.state.get() if self.state.exists() else (None, 0)
+        for pdf in rows:
+            known = pdf["micros_"].dropna()
+            beats += len(pdf)
+            if len(known):
+                last = int(known.max()) if last is None else max(last, int(known.max()))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + int(self.after * 1000))
+        self.state.update((last, int(beats)))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        if self.state.exists():
+            last, beats = self.state.get()
+            self.state.clear()
+            at = pd.NaT if last is None else pd.Timestamp(last + int(self.after * 1_000_000), unit="us")
+            yield pd.DataFrame({"instance_id": [key[0]], "stale_at": pd.Series([at], dtype="datetime64[us]"), "beats": [beats]})
+
+    def close(self) -> None:
+        pass
+
+
+def silent(beats: DataFrame, after: float = 60.0) -> DataFrame:
+    """(instance_id, stale_at, beats) of every instance from which nothing has come for ``after`` seconds
+    of processing time, once for each silence; needs the RocksDB state store provider. Unlike
+    ``liveness`` it waits for no other heartbeat: if all instances die, all are told. ``stale_at`` is
+    ``after`` seconds past the last heartbeat (NULL if none had a time). Run it with a trigger of a few seconds."""
+    rows = beats.select("instance_id", F.unix_micros(F.col("at").cast("timestamp")).alias("micros_"))
+    return rows.groupBy("instance_id").transformWithStateInPandas(_Silence(after), "instance_id string, stale_at timestamp, beats long", "Append", "ProcessingTime")
+
+
+def reclaim(beats: DataFrame, claims: Callable[[], DataFrame], take: Callable[[DataFrame], None], after: float = 60.0) -> DataStreamWriter:
+    """The claims (job_id, instance_id) of silent instances go to ``take`` as soon as their silence is told."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        take(claims().join(df.select("instance_id").distinct(), "instance_id", "left_semi"))
+
+    return silent(beats, after).writeStream.foreachBatch(batch)
+
+
 class _PressureState(StatefulProcessor):
     """T3 by adapter; the machine's numbers and window live in the state store."""
 
