@@ -87,39 +87,67 @@ def ip_reason(addr: Column, policy: str = "strict") -> Column:
     return r.when(local, "link-local").when(addr == "0.0.0.0", "unspecified").when(o[0].between(224, 239), "multicast").when((o[0] == 100) & o[1].between(64, 127), "CGNAT")
 
 
+#: Networks by the reason to deny them, in the order in which reasons are looked for.
+NETWORKS = [
+    ("loopback", "127.0.0.0/8 ::1/128"), ("private", "10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 fc00::/7"), ("link-local", "169.254.0.0/16 224.0.0.0/24 fe80::/10 ff02::/16"), ("metadata", "fd00:ec2::/32"),
+    ("unspecified", "0.0.0.0/32 ::/128"), ("multicast", "224.0.0.0/4 ff00::/8"), ("CGNAT", "100.64.0.0/10"),
+]
+_MAPPED = "0" * 20 + "ffff"
+_QUAD = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ip_hex(addr: Column) -> Column:
+    """The 16 bytes of an address as 32 hexadecimal digits, whose order is that of the addresses; dotted
+    quads are v4-mapped ones; NULL if it is no address."""
+    part = lambda quad: F.array_join(F.transform(F.split(quad, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")), "")
+    plain = F.regexp_replace(F.lower(addr), r"%[^%]+\z", "")  # a scope names an interface
+    quad = F.regexp_extract(plain, r"\A(.*:)?([0-9.]+)\z", 2)
+    # a dotted end is two groups
+    text = F.when(quad.contains("."), F.concat(F.regexp_extract(plain, r"\A(.*:)", 1), F.regexp_replace(part(quad), r"\A(....)(....)\z", "$1:$2"))).otherwise(plain)
+    fits = ~quad.contains(".") | F.regexp_like(quad, F.lit(rf"\A{_QUAD}"))
+
+    def groups(t: Column) -> Column:
+        at = F.instr(t, "::")
+        left = F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t)
+        right = F.when(at > 0, F.substring(t, at + 2, F.length(t))).otherwise(F.lit(""))
+        some = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":", -1))
+        both = F.concat(some(left), some(right))
+        whole = F.forall(both, lambda g: F.regexp_like(g, F.lit(r"\A[0-9a-f]{1,4}\z"))) & F.when(at > 0, F.size(both) <= 7).otherwise(F.size(both) == 8)
+        wide = lambda x: F.array_join(F.transform(some(x), lambda g: F.lpad(g, 4, "0")), "")
+        return F.when(whole, F.concat(wide(left), F.repeat(F.lit("0000"), 8 - F.size(both)), wide(right)))
+
+    v4 = F.regexp_like(addr, F.lit(rf"\A{_QUAD}"))
+    return F.when(v4, F.concat(F.lit(_MAPPED), part(addr))).when(fits & plain.contains(":"), _let(text, groups))
+
+
+def _range(network: str) -> tuple[str, str]:
+    n = ipaddress.ip_network(network)
+    head = _MAPPED if n.version == 4 else ""
+    return tuple(head + a.packed.hex() for a in (n[0], n[-1]))
+
+
 def ip6_reason(policy: str = "strict"):
-    """P13 for any address, with the standard library in an Arrow function; v4-mapped ones count as v4."""
+    """P13 for any address, with column functions only; v4-mapped ones count as v4."""
+    left_out = ("metadata",) if policy == "strict" else ("loopback", "private")
+    ranges = [(*_range(n), why) for why, networks in NETWORKS if why not in left_out for n in networks.split()]
 
-    def why(text: str | None) -> str | None:
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return "invalid"
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        net = lambda n: ip in ipaddress.ip_network(n) if ip.version == ipaddress.ip_network(n).version else False
-        if policy == "strict" and ip.is_loopback:
-            return "loopback"
-        if policy == "strict" and any(map(net, ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7"))):
-            return "private"
-        if any(map(net, ("169.254.0.0/16", "224.0.0.0/24", "fe80::/10", "ff02::/16"))):
-            return "link-local"
-        if policy != "strict" and net("fd00:ec2::/32"):
-            return "metadata"
-        if ip.is_unspecified:
-            return "unspecified"
-        if ip.is_multicast:
-            return "multicast"
-        return "CGNAT" if net("100.64.0.0/10") else None
-
-    @F.pandas_udf(StringType())
-    def reasons(addr: pd.Series) -> pd.Series:
-        return pd.Series([why(a) for a in addr], dtype=object)
-
-    return reasons
+    def reason(h: Column) -> Column:
+        found = F.when(h.isNull(), "invalid")
+        for low, high, why in ranges:
+            found = found.when(h.between(low, high), why)
+        return found
+
+    return lambda addr: _let(ip_hex(F.col(addr) if isinstance(addr, str) else addr), reason)
 
 
 def fetch_reason(error: Column) -> Column:
     """A bounded reason for a fetch error; the order of the rules matters."""
+    # fixed values: fragments of error texts, in the order of the rules
     has = lambda *words: F.regexp_like(error, F.lit("|".join(words)))
     return (
         F.when(error.isNull() | (error == ""), "").when(has("deadline exceeded", "context canceled"), "timeout").when(has("allow_hosts", "scheme", "userinfo", "no host", "not parseable"), "rejected_url")
