@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stored import stored
+
 
 def rates(records: DataFrame, length: str = "1 minute", slide: str | None = None, seconds: int = 60) -> DataFrame:
     """T4: verdicts a second in windows of event time (finished_at)."""
@@ -238,7 +240,7 @@ def _counted(outcomes: DataFrame, unit: int, slice_rows: int) -> DataFrame:
     order = Window.partitionBy("adapter", "_s").orderBy("at", "seq")
     placed = rows.withColumn("_p", F.row_number().over(order))
     last = {"_bad": F.max(F.when(F.col("ok"), F.col("_p"))).over(order), "_good": F.max(F.when(~F.col("ok"), F.col("_p"))).over(order)}
-    placed = placed.withColumns(last)
+    placed = stored(placed.withColumns(last), "outcomes")  # read several times
     ends = placed.groupBy("adapter", "_s").agg(F.count("*").alias("n"), *[(F.count("*") - F.coalesce(F.max(F.when(hit, F.col("_p"))), F.lit(0))).alias(c) for c, hit in (("bad", F.col("ok")), ("good", ~F.col("ok")))])
     # a row a slice: slices of one kind alone carry on what came before them
     over = Window.partitionBy("adapter").orderBy("_s")
@@ -246,7 +248,7 @@ def _counted(outcomes: DataFrame, unit: int, slice_rows: int) -> DataFrame:
         ends = ends.withColumn("_g", F.count_if(F.col(c) < F.col("n")).over(over))
         ends = ends.withColumn(f"{c}_out", F.sum(c).over(Window.partitionBy("adapter", "_g").orderBy("_s")))
         ends = ends.withColumn(f"{c}_in", F.coalesce(F.lag(f"{c}_out").over(over), F.lit(0)))
-    joined = placed.join(ends.select("adapter", "_s", "bad_in", "good_in"), ["adapter", "_s"])
+    joined = placed.join(stored(ends.select("adapter", "_s", "bad_in", "good_in"), "slices"), ["adapter", "_s"])
     count = lambda c, own: F.when(own, F.lit(0)).otherwise(F.col("_p") - F.coalesce(F.col(f"_{c}"), -F.col(f"{c}_in")))
     return joined.select("adapter", "at", "seq", "ok", "_t", "_u", "_s", count("bad", F.col("ok")).alias("_bad"), count("good", ~F.col("ok")).alias("_good"))
 
