@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.local import local
+from ..streaming import intake as I
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -147,6 +148,20 @@ ATTEMPTS = f"""{JOBS}, attempts AS (SELECT job_id, event_id, adapter, attempt, C
  CASE event_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 404 WHEN 3 THEN NULL ELSE 200 END AS status, CASE WHEN event_id % 2 = 0 THEN (event_id % 200)::INTEGER END AS retry_after FROM (SELECT *, unnest(range(1, 2 + event_id % 6)) AS attempt FROM jobs))"""
 
 
+def intake(spark: SparkSession, sf: str) -> DataFrame:
+    """What happens to a queue for each adapter: every job arrives, allowed ones are taken ten minutes later; the rest change the control state."""
+    j = jobs(spark, sf)
+    arrivals = j.selectExpr("adapter AS queue", "finished_at AS at", "event_id AS seq", "job_id", "if(verdict = 'skip', 'kind', null) AS bad_request")
+    taken = j.filter("verdict = 'allow'").selectExpr("adapter AS queue", "finished_at + interval 10 minutes AS at", "event_id AS seq")
+    changes = j.filter("verdict <> 'allow'").selectExpr("adapter AS queue", "finished_at AS at", "event_id AS seq", "if(verdict = 'flag' and user_id % 4 = 0, event_id % 8 = 0, null) AS tripped", "if(verdict = 'block' and user_id % 4 = 1, event_id % 6 = 1, null) AS paused", "CASE verdict WHEN 'error' THEN 1 WHEN 'block' THEN -1 ELSE 0 END AS letters")
+    return I.events(arrivals, changes, taken)
+
+
+INTAKE = f"""{JOBS}, intake AS (SELECT adapter AS queue, finished_at AS "at", 2 AS kind, event_id AS seq, job_id, CASE WHEN verdict = 'skip' THEN 'kind' END AS bad, NULL::BOOLEAN AS tripped, NULL::BOOLEAN AS paused, 0 AS letters FROM jobs
+ UNION ALL SELECT adapter, finished_at + INTERVAL 10 MINUTE, 1, event_id, NULL, NULL, NULL, NULL, 0 FROM jobs WHERE verdict = 'allow'
+ UNION ALL SELECT adapter, finished_at, 0, event_id, NULL, NULL, CASE WHEN verdict = 'flag' AND user_id % 4 = 0 THEN event_id % 8 = 0 END, CASE WHEN verdict = 'block' AND user_id % 4 = 1 THEN event_id % 6 = 1 END, CASE verdict WHEN 'error' THEN 1 WHEN 'block' THEN -1 ELSE 0 END FROM jobs WHERE verdict <> 'allow')"""
+
+
 def payload(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions to append, a chain for each user."""
     j = jobs(spark, sf)

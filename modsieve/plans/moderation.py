@@ -18,6 +18,7 @@ from ..operators import thresholds as T
 from ..operators import verdict as V
 from ..sources import readers, sinks
 from ..streaming import batch as B
+from ..streaming import intake as I
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -712,6 +713,14 @@ def t7_intake_gate(spark, sf):
     return B.gate(j, control)
 
 
+@query(f"""WITH RECURSIVE {X.INTAKE}, c AS (SELECT *, coalesce(last_value(tripped IGNORE NULLS) OVER w, false) AS tr, coalesce(last_value(paused IGNORE NULLS) OVER w, false) AS pa, sum(letters) OVER w AS le FROM intake WINDOW w AS (PARTITION BY queue ORDER BY "at", kind, seq ROWS UNBOUNDED PRECEDING)),
+ r AS (SELECT queue, job_id, kind, CASE WHEN tr THEN 'backpressure' WHEN pa THEN 'paused' WHEN bad IS NOT NULL THEN 'bad_request:' || bad WHEN le >= 4 THEN 'dead_letters_full' END AS r, row_number() OVER (PARTITION BY queue ORDER BY "at", kind, seq) AS n FROM c WHERE kind > 0),
+ g AS (SELECT DISTINCT queue, NULL::VARCHAR AS job_id, 1 AS kind, NULL::VARCHAR AS reason, 0::BIGINT AS n, 0 AS waiting FROM r UNION ALL SELECT r.queue, r.job_id, r.kind, CASE WHEN r.kind = 2 THEN coalesce(r.r, CASE WHEN g.waiting >= 10 THEN 'queue_full' END) END, r.n, CASE WHEN r.kind = 1 THEN greatest(0, g.waiting - 1) WHEN r.r IS NULL AND g.waiting < 10 THEN g.waiting + 1 ELSE g.waiting END FROM g JOIN r ON r.queue = g.queue AND r.n = g.n + 1)
+SELECT queue, job_id, reason IS NULL AS accepted, reason, waiting::BIGINT AS waiting FROM g WHERE kind = 2""")
+def t7_intake_over_time(spark, sf):
+    return I.intake(X.intake(spark, sf), cap=4, buffer=10)
+
+
 @query(f"""WITH {X.FRAMES} SELECT asset_id, frame_idx, CASE WHEN asset_id IN ('conv-0', 'conv-3', 'conv-6') THEN 'error' ELSE 'ok' END AS status, CASE WHEN asset_id IN ('conv-0', 'conv-3', 'conv-6') THEN 'no answer for ' || asset_id END AS error, CASE WHEN asset_id NOT IN ('conv-0', 'conv-3', 'conv-6') THEN '{{"categoriesAnalysis":[]}}' END AS response FROM frames""")
 def f1_score_frames(spark, sf):
     """Fake answers over all frames; three assets fail by themselves."""
