@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import png
 from ..functions.local import local
 from ..streaming import intake as I
 
@@ -104,6 +107,37 @@ _BITS = " | ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {(1 << i) if i < 63
 HASHES = f"hashes AS (SELECT vec_id // 10 AS asset_id, vec_id % 10 AS frame_idx, CASE WHEN vec_id % 97 <> 0 THEN {_BITS} END AS hash FROM embeddings)"
 
 
+def pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """PNG bytes (asset_id, frame_idx, content) of 18 x 16 pixels from each vector: grey, or colours for every third; some cut or missing."""
+
+    @F.pandas_udf("binary")
+    def drawn(ids: pd.Series, vectors: pd.Series) -> pd.Series:
+        def one(n: int, v: np.ndarray | None) -> bytes | None:
+            if v is None or not len(v) or n % 97 == 1:
+                return None
+            x = np.array([0.0 if c is None else c for c in v], np.float64) if v.dtype == object else v.astype(np.float64)
+            level = np.floor((np.clip(np.where(np.isnan(x), 1.0, x), -1, 1) + 1) * 127.5).astype(np.uint8)
+            samples = np.arange(3 if n % 3 == 0 else 1)[::-1]  # blue, green, red
+            content = png.packed(level[(np.arange(288)[:, None] + samples) % len(level)].reshape(16, 18, -1))
+            return content[:60] if n % 97 == 0 else content
+
+        return pd.Series([one(n, v) for n, v in zip(ids, vectors, strict=True)], dtype=object)
+
+    e = table(spark, sf, "embeddings").filter("vec_id is not null")
+    return e.select(F.expr("vec_id div 10").alias("asset_id"), (F.col("vec_id") % 10).alias("frame_idx"), drawn("vec_id", "embedding").alias("content"))
+
+
+def _sample(place: str) -> str:
+    return f"v[1 + ({place}) % len(v)]"
+
+
+PICTURES = """pictures AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 3 ELSE 1 END AS n, vec_id % 97 > 1 AND len(embedding) > 0 AS whole,
+ list_transform(embedding, lambda x: coalesce(floor((least(greatest(x::DOUBLE, -1), 1) + 1) * 127.5), 0)::INTEGER) AS v FROM embeddings WHERE vec_id IS NOT NULL)"""
+PICTURE_BYTES = f"list_reduce(list_transform(range(288), lambda p: CASE WHEN n = 3 THEN printf('%02X%02X%02X', {_sample('p + 2')}, {_sample('p + 1')}, {_sample('p')}) ELSE printf('%02X', {_sample('p')}) END), lambda a, b: a || b)"
+_LUMA = lambda p: f"CASE WHEN n = 3 THEN 0.299::DOUBLE * (257 * {_sample(p)}) + 0.587::DOUBLE * (257 * {_sample(p + ' + 1')}) + 0.114::DOUBLE * (257 * {_sample(p + ' + 2')}) ELSE 0.299::DOUBLE * (257 * {_sample(p)}) + 0.587::DOUBLE * (257 * {_sample(p)}) + 0.114::DOUBLE * (257 * {_sample(p)}) END"
+PICTURE_CELLS = f"""{PICTURES}, cells AS (SELECT vec_id, y, x, ({" + ".join(_LUMA(f"(2 * y + {i}) * 18 + 2 * x + {j}") for i in (0, 1) for j in (0, 1))}) / 4 AS m FROM pictures, (SELECT unnest(range(8)) AS y), (SELECT unnest(range(9)) AS x) WHERE whole)"""
+
+
 def urls(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     n = "page_id % 25"

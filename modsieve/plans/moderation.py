@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .. import schemas as S
 from ..functions import admission as A
 from ..functions import normalize as N
+from ..functions import png
 from ..functions.local import local
 from ..operators import audit, ops, scoring
 from ..operators import frames as FR
@@ -656,6 +657,19 @@ def d2_dedup(spark, sf):
     return FR.dedup(X.hashes(spark, sf), 26)
 
 
+@query(f"""WITH {X.PICTURES} SELECT vec_id // 10 AS asset_id, vec_id % 10 AS frame_idx, CASE WHEN coalesce(whole, false) THEN 16 ELSE -1 END AS height, CASE WHEN coalesce(whole, false) THEN 18 ELSE -1 END AS width, CASE WHEN coalesce(whole, false) THEN n ELSE -1 END AS channels, CASE WHEN coalesce(whole, false) THEN sha256(unhex({X.PICTURE_BYTES})) END AS pixels_sha256 FROM pictures""")
+def s3_images(spark, sf):
+    i = X.pictures(spark, sf).withColumn("image", png.decoded(F.col("content")))
+    return i.select("asset_id", "frame_idx", F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.when(F.col("image.height") > 0, F.sha2("image.data", 256)).alias("pixels_sha256"))
+
+
+@query(f"""WITH {X.PICTURE_CELLS}, bits AS (SELECT vec_id, 8 * y + x AS k, m < lead(m) OVER (PARTITION BY vec_id, y ORDER BY x) AS b FROM cells), h AS (SELECT vec_id, sum(CASE WHEN NOT b THEN 0 WHEN k = 0 THEN -9223372036854775808 ELSE 1::BIGINT << (63 - k)::INTEGER END)::BIGINT AS hash FROM bits WHERE b IS NOT NULL GROUP BY 1)
+SELECT vec_id // 10 AS asset_id, vec_id % 10 AS frame_idx, hash FROM pictures LEFT JOIN h USING (vec_id)""")
+def d1_dhash(spark, sf):
+    i = X.pictures(spark, sf).withColumn("image", png.decoded(F.col("content")))
+    return FR.hashed(i).select("asset_id", "frame_idx", "hash")
+
+
 # --- batch twins of streams ----------------------------------------------------------------------
 
 
