@@ -570,6 +570,18 @@ def a12_coverage(spark, sf):
     return ops.coverage(a.unionByName(b), ["likelihood", "severity"])
 
 
+@query(f"""WITH {X.SEVERITY}, a AS (SELECT DISTINCT category, 'severity' AS adapter, provider_label AS label FROM rows), l AS (WITH {X.LIKELIHOOD} SELECT DISTINCT category, 'likelihood' AS adapter, field AS label FROM rows), h AS (WITH {X.HEADS} SELECT DISTINCT category, 'heads' AS adapter, lower(provider_label) AS label FROM rows), g AS (WITH {X.LOGPROB} SELECT DISTINCT category, 'logprob' AS adapter, provider_label AS label FROM rows),
+ every AS (FROM a UNION ALL FROM l UNION ALL FROM h UNION ALL FROM g) SELECT category, {", ".join(f"string_agg(label, ',' ORDER BY label) FILTER (adapter = '{n}') AS {n}" for n in ("heads", "likelihood", "logprob", "severity"))} FROM every GROUP BY 1""")
+def a12_coverage_adapters(spark, sf):
+    """The labels of all four adapters."""
+    of = lambda rows, name, label="provider_label": rows.select("category", F.lit(name).alias("adapter"), F.expr(label).alias("label"))
+    rows = [
+        of(N.heads(X.heads(spark, sf), X.class_map(spark)), "heads", "lower(provider_label)"), of(N.likelihood(X.likelihood(spark, sf)), "likelihood", "split_part(provider_label, ':', 1)"),
+        of(N.policies(X.logprob(spark, sf)), "logprob"), of(N.severity(X.severity(spark, sf)), "severity"),
+    ]
+    return ops.coverage(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), ["heads", "likelihood", "logprob", "severity"])
+
+
 # --- windows -------------------------------------------------------------------------------------
 
 
@@ -735,6 +747,24 @@ def t7_intake_over_time(spark, sf):
     return I.intake(X.intake(spark, sf), cap=4, buffer=10)
 
 
+_KEY = b"key of the demonstration"
+_PADS = {n: bytes(k ^ x for k in _KEY.ljust(64, b"\0")).hex() for n, x in (("inner", 0x36), ("outer", 0x5C))}
+_HMAC = f"sha256(unhex('{_PADS['outer']}') || unhex(sha256(unhex('{_PADS['inner']}') || encode(entry_hash))))"
+
+
+@query(f"""WITH {X.PAYLOAD} SELECT chain_id, seq, {_HMAC} AS signature FROM chain""")
+def f5_signed(spark, sf):
+    return audit.signed(_chains(spark, sf), _KEY).select("chain_id", "seq", "signature")
+
+
+@query(f"""WITH {X.PAYLOAD} SELECT chain_id, seq FROM chain WHERE seq % 5 IN (1, 2)""")
+def f5_bad_signatures(spark, sf):
+    """Every fifth signature is missing and every fifth is another record's."""
+    rows = audit.signed(_chains(spark, sf), _KEY)
+    forged = F.when(F.col("seq") % 5 == 1, None).when(F.col("seq") % 5 == 2, F.sha2("signature", 256)).otherwise(F.col("signature"))
+    return audit.bad_signatures(rows.withColumn("signature", forged), _KEY).select("chain_id", "seq")
+
+
 @query(f"""WITH {X.FRAMES} SELECT asset_id, frame_idx, CASE WHEN asset_id IN ('conv-0', 'conv-3', 'conv-6') THEN 'error' ELSE 'ok' END AS status, CASE WHEN asset_id IN ('conv-0', 'conv-3', 'conv-6') THEN 'no answer for ' || asset_id END AS error, CASE WHEN asset_id NOT IN ('conv-0', 'conv-3', 'conv-6') THEN '{{"categoriesAnalysis":[]}}' END AS response FROM frames""")
 def f1_score_frames(spark, sf):
     """Fake answers over all frames; three assets fail by themselves."""

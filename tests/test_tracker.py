@@ -30,6 +30,10 @@ def test_the_ring_equals_recent_after_every_batch(spark, tmp_path):
         want = ops.recent(spark.createDataFrame(seen, RECORDS), 15)
         got = tracker.tracked(spark, path, want.schema)
         assert [r[:2] for r in got.collect()] == [r[:2] for r in want.collect()] and got.count() == 15
+    files = lambda: len(list((tmp_path / "ring").glob("*.parquet")))
+    assert files() == 4
+    commits.vacuum(spark, path, -1)  # what snapshots stand for goes
+    assert files() == 1 and tracker.tracked(spark, path, want.schema).count() == 15
 
 
 def test_a_record_that_cannot_be_recent_does_not_pass(spark, tmp_path):
