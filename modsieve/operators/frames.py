@@ -111,14 +111,21 @@ def dhash(width: int, height: int, channels: int, data: bytes) -> int | None:
     """The signed 64-bit difference hash of decoded pixels (BGR order), or None."""
     if width <= 0 or height <= 0 or not data:
         return None
-    px = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64) * 257
+    rows, cols = _cells(height, GRID_H), _cells(width, GRID_W)
+    # only the pixels that some cell samples, whatever the image's size
+    sampled = np.frombuffer(data, np.uint8).reshape(height, width, channels)[np.concatenate(rows)][:, np.concatenate(cols)]
+    px = sampled.astype(np.float64) * 257
     if channels == 1:
         luma = 0.299 * px[..., 0] + 0.587 * px[..., 0] + 0.114 * px[..., 0]
     else:
         b, g, r = (np.floor(px[..., i] * px[..., 3] / 257 / 255) if channels == 4 else px[..., i] for i in range(3))
         luma = 0.299 * r + 0.587 * g + 0.114 * b
-    rows, cols = _cells(height, GRID_H), _cells(width, GRID_W)
-    grid = np.array([[luma[np.ix_(y, x)].mean() for x in cols] for y in rows])
+    tall, wide = [len(y) for y in rows], [len(x) for x in cols]
+    if len(set(tall)) == len(set(wide)) == 1:
+        grid = luma.reshape(GRID_H, tall[0], GRID_W, wide[0]).transpose(0, 2, 1, 3).reshape(GRID_H, GRID_W, -1).mean(axis=2)
+    else:
+        y0, x0 = np.cumsum([0, *tall]), np.cumsum([0, *wide])
+        grid = np.array([[luma[y0[i] : y0[i + 1], x0[j] : x0[j + 1]].ravel().mean() for j in range(GRID_W)] for i in range(GRID_H)])
     bits = (grid[:, :-1] < grid[:, 1:]).ravel()
     value = int("".join("01"[int(b)] for b in bits), 2)
     return value - (1 << 64) if value >> 63 else value
