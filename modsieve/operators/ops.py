@@ -155,7 +155,7 @@ def outages(outcomes: DataFrame, seconds: int = 60, samples: int = 10, slice_sec
     window with at least ``samples`` outcomes; the window is open at its old end.
 
     Adapters are few, so their time is cut into slices, each worked on by itself. For the windows a
-    slice also sees the end of the slice before it; runs that touch a slice's edges are joined over
+    slice begins with what is still inside from the slice before it; runs that touch a slice's edges are joined over
     the slices, of which one row each is left by then."""
     length = max(seconds, slice_seconds) * 1_000_000
     micros = F.unix_micros(F.col("at").cast("timestamp"))
@@ -172,10 +172,18 @@ def outages(outcomes: DataFrame, seconds: int = 60, samples: int = 10, slice_sec
     opened = grouped.groupBy("adapter", "_g").agg(F.sum(F.when(F.col("_w") == 1, F.col("n")).otherwise(F.col("lead"))).alias("first"), F.max(F.when(F.col("_w") == 0, F.col("trail"))).alias("trail"), F.max("longest").alias("longest"))
     carried = opened.withColumn("_c", F.coalesce(F.lag("trail").over(Window.partitionBy("adapter").orderBy("_g")), F.lit(0)))
     longest = carried.groupBy("adapter").agg(F.max(F.greatest("longest", F.col("first") + F.col("_c"))).alias("longest_run"))
-    # the window is open at the old end, so it reaches back one microsecond less
-    span = Window.partitionBy("adapter", "_s").orderBy("_t").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    after = rows.filter(F.col("_t") > (F.col("_s") + 1) * length - seconds * 1_000_000).withColumn("_s", F.col("_s") + 1).withColumn("_own", F.lit(False))
-    seen = rows.withColumn("_own", F.lit(True)).unionByName(after)
-    rates = seen.withColumn("_n", F.count("*").over(span)).withColumn("_e", F.count_if(~F.col("ok")).over(span)).filter(F.col("_own") & (F.col("_n") >= samples))
+    # an outcome enters the windows at its time and leaves them ``seconds`` later, and what is inside
+    # is a running sum: frames that move at both ends would add up each window's rows again
+    span, one = seconds * 1_000_000, F.lit(1).cast("long")
+    moments = rows.filter(F.col("_t").isNotNull()).groupBy("adapter", "_s", "_t").agg(F.count("*").alias("_n"), F.count_if(bad).alias("_e"))
+    leaves = F.col("_t") + span
+    both = F.array(F.struct(F.col("_t").alias("t"), one.alias("sign")), F.struct(leaves.alias("t"), (-one).alias("sign")))
+    ends = moments.select("adapter", "_s", "_n", "_e", F.explode(both).alias("_x")).select("adapter", "_s", F.floor(F.col("_x.t") / length).cast("long").alias("_at"), F.col("_x.t").alias("_t"), (F.col("_n") * F.col("_x.sign")).alias("_n"), (F.col("_e") * F.col("_x.sign")).alias("_e"), (F.col("_x.sign") > 0).alias("_own"))
+    # one that leaves in the next slice is inside at that slice's start
+    carried_on = ends.filter(F.col("_at") > F.col("_s")).select("adapter", F.col("_at").alias("_s"), (F.col("_at") * length).alias("_t"), (-F.col("_n")).alias("_n"), (-F.col("_e")).alias("_e"), F.lit(False).alias("_own"))
+    steps = ends.select("adapter", F.col("_at").alias("_s"), "_t", "_n", "_e", "_own").unionByName(carried_on)
+    steps = steps.groupBy("adapter", "_s", "_t").agg(F.sum("_n").alias("_n"), F.sum("_e").alias("_e"), F.max("_own").alias("_own"))
+    inside = Window.partitionBy("adapter", "_s").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    rates = steps.withColumn("_n", F.sum("_n").over(inside)).withColumn("_e", F.sum("_e").over(inside)).filter(F.col("_own") & (F.col("_n") >= samples))
     worst = rates.groupBy("adapter").agg(F.max(F.col("_e") / F.col("_n")).alias("worst_rate"))
     return longest.join(worst, "adapter", "left")

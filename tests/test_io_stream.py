@@ -253,6 +253,25 @@ def test_outages_do_not_depend_on_the_slices(spark):
         assert {r.adapter: (r.longest_run, r.worst_rate) for r in ops.outages(d, 60, 3, length).collect()} == want
 
 
+def test_outages_of_dense_outcomes_are_running_sums(spark):
+    """Frames with a moving start add up every window's rows again: work grows with the square of the density."""
+    import random
+    import re
+
+    g = random.Random(5)
+    rows = [("a", at(g.randrange(0, 240_000_000) / 1e6), i, g.random() > 0.4) for i in range(3000)] + [("a", at(120), 5000 + i, i % 2 == 0) for i in range(20)] + [("a", None, 9000 + i, False) for i in range(9)]
+    d = spark.createDataFrame(rows, "adapter string, at timestamp, seq long, ok boolean").repartition(3)
+    timed = [r for r in rows if r[1]]
+    worst = 0.0
+    for r in timed:
+        near = [x for x in timed if r[1] - dt.timedelta(seconds=20) < x[1] <= r[1]]
+        worst = max(worst, sum(not x[3] for x in near) / len(near)) if len(near) >= 5 else worst
+    for length in (20, 60, 10**6):
+        got = ops.outages(d, 20, 5, length)
+        assert [r.worst_rate for r in got.collect()] == [worst]
+        assert not re.search(r"specifiedwindowframe\(RangeFrame, -?[0-9]", got._jdf.queryExecution().analyzed().toString())
+
+
 def test_no_category_row_is_shuffled_by_its_label(spark):
     for name in ("a1_verdict", "j1_thresholds", "p4_heads", "a1_verdict_heads"):
         plan = M.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
