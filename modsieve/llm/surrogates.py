@@ -57,16 +57,26 @@ HONORIFICS = "先生|女士|小姐|太太|教授|博士|老师|老師|さん|様
 
 _WORD = r"(?:[ODL]['’])?\p{Lu}[\p{L}\p{M}]+"
 _WORDS = rf"{_WORD}(?:-{_WORD})?"
-_ITEM = rf"(?:{_WORDS}|\p{{Lu}}\.(?:-?\p{{Lu}}\.)*)"
-_MORE = rf"(?:(?: (?:{'|'.join(PARTICLES)}))* {_ITEM})"
+#: Loops over words are possessive, as a greedy one takes a stack frame for each word and long runs
+#: end the executor. Where a greedy loop would give words back, the pattern says what it gives back to.
+_ITEM = rf"(?:{_WORDS}|\p{{Lu}}\.(?:-?\p{{Lu}}\.)*+)"
+_MORE = rf"(?:(?: (?:{'|'.join(PARTICLES)})(?= ))*+ {_ITEM})"
+_TITLE = rf"(?:(?:{TITLES})\.? )"
+_KIN = rf"\p{{Lu}}[\p{{L}}\p{{M}}]*(?:{FAMILY})(?!\p{{L}})"
+#: Up to the last family name of a run of items; up to the last top-level domain of a run of labels.
+_TO_KIN = rf"(?: (?!{_KIN}){_ITEM})*+ "
+_TO_LAST_KIN = rf"(?:{_TO_KIN}(?={_KIN}){_ITEM}(?={_TO_KIN}{_KIN}))*+{_TO_KIN}{_KIN}"
+_LABEL = r"[A-Za-z0-9-]++\."
+_TO_TLD = rf"(?:(?![A-Za-z]{{2}}){_LABEL})*+"
+_TO_LAST_TLD = rf"(?:{_TO_TLD}(?=[A-Za-z]{{2}}){_LABEL}(?={_TO_TLD}[A-Za-z]{{2}}))*+{_TO_TLD}[A-Za-z]{{2,}}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_LABEL}{_TO_LAST_TLD}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?=[+(0-9])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9]))",
     "card": r"(?<![0-9A-Za-z])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?=[0-9])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:(?:{TITLES})\.? )+(?:(?:{'|'.join(PARTICLES)}) )*{_ITEM}{_MORE}*|(?:{'|'.join(n.title() for n in LISTED)}){_MORE}+|(?!(?:{STARTERS}) ){_WORD}(?: {_ITEM})* \p{{Lu}}[\p{{L}}\p{{M}}]*(?:{FAMILY})(?!\p{{L}}))",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE}++(?:(?:{'|'.join(PARTICLES)}) )*+{_ITEM}{_MORE}*+|(?:{_TITLE}(?={_TITLE}))++{_ITEM}{_MORE}*+|(?:{'|'.join(n.title() for n in LISTED)}){_MORE}++|(?!(?:{STARTERS}) ){_WORD}{_TO_LAST_KIN})",
     "cjk": rf"(?:[\u4E00-\u9FFF]{{2,4}}?|[\u30A1-\u30FA]{{2,8}}|[\uAC00-\uD7A3]{{2,4}}?)(?:{HONORIFICS})",
 }
 KINDS = tuple(PATTERNS)
@@ -216,7 +226,7 @@ def _word(word: Column, tweak: Column) -> Column:
 
 def _bare(s: Column) -> Column:
     """A name without its title."""
-    return F.regexp_replace(s, rf"^(?:(?:{TITLES})\.? )+|(?:{HONORIFICS})$", "")
+    return F.regexp_replace(s, rf"^{_TITLE}++|(?:{HONORIFICS})$", "")
 
 
 def _wide(s: Column, tweak: Column) -> Column:

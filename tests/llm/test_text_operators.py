@@ -569,3 +569,12 @@ def test_numbers_in_many_formats_have_one_surrogate_each(spark):
     for r in surrogates.replaced(spark.createDataFrame(rows, DOCS).repartition(8), "k").collect():
         for part in r.text.split(" ; "):
             assert len({re.sub(r"\D", "", x) for x in part.split(" = ")}) == 1
+
+
+def test_long_runs_of_names_and_labels_do_not_exhaust_the_stack(spark):
+    n = 30_000
+    texts = ["Anna" + " Haus" * n, "Haus" * 2 + " Haus" * n + " Ivanov", "Dr " * n + "Haus", "Mr " + "J." * n, "Mr" + " de" * n + " Haus", "u@" + "a1." * n + "com", "u@" + "ab." * n + "com"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    got = d.select("i", F.regexp_extract_all("t", F.lit(surrogates.ANY), F.lit(0)).alias("found"), surrogates._bare(F.col("t")).alias("bare")).collect()
+    assert {r.i: r.found for r in got} == {i: [t] for i, t in enumerate(texts)}
+    assert {r.i: r.bare for r in got}[2] == "Haus"
