@@ -10,10 +10,11 @@ smoothed share of the class's words.
 Classes lie in groups of about the square root of their number. Scoring normalises exactly, first
 over the groups and then over the classes of the right group, by batched matrix products.
 
-Training has two steps, both by NCE against unigram noise. All parameters are fitted on the driver on a bounded
-sample of about ``DRAWS`` tokens. Then, with the context vectors and maps held, the class and group
-vectors and biases are trained on every training token: chunk by chunk, in Spark, from the first
-step's values, and averaged by tokens (a convex problem, for which averages are sound).
+Training is NCE against unigram noise on every training token, in Spark. Documents are dealt to a few
+rounds by a hash of their ids. In a round each chunk trains all parameters on its documents of the
+round, from the values of the round before, and the chunks' parameters are averaged by tokens. The
+sums are of integers (parameters in steps of 2 ** -24), so the order of tasks changes nothing. A small
+corpus is gone through several times.
 
 Words are counted by 64-bit hashes, over all training documents. Chunks send their distinct words,
 with counts, to partitions by hash and get the totals back; no vocabulary is broadcast or collected
@@ -45,16 +46,12 @@ TAIL_BITS = 12
 TAILS = 1 << TAIL_BITS
 CONTEXTS = 4
 SIZE = 24
-#: The first step: tokens drawn, times each is used and batches at least, and its rate; the second
-#: step's rate.
-DRAWS = 1_000_000
-EPOCHS = 5
-STEPS = 600
-RATE = 0.02
-LAST_RATE = 0.006
-NOISE, LAST_NOISE, GROUP_NOISE = 64, 32, 16
-BATCH = 4096
-LAST_BATCH = 1 << 14
+#: Of each round: its share of the documents, its rate and its batch.
+ROUNDS = ((1, 0.03, 2048), (1, 0.02, 2048), (2, 0.01, 4096), (4, 0.005, 4096))
+#: Tokens that a small corpus is gone through for, steps of a chunk that are enough for it.
+TOKENS, STEPS = 5_000_000, 600
+NOISE, GROUP_NOISE = 64, 16
+UNIT, WEIGHT = 1 << 24, 1024
 PIECE = 4 << 20
 SLICE, ROWS = 1 << 17, 1 << 11
 PART_WORDS_BYTES = 24 << 20
@@ -171,21 +168,6 @@ def _windows(c: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _draws(batches, classes, rate):
-    """Windows and classes of the training documents that a share of all hashes picks."""
-    bound = min(int(rate * (1 << 64)), (1 << 64) - 1)
-    for b in batches:
-        for _, _, ids, off, raw in chunks.unpacked(b):
-            use = np.flatnonzero((_crc(ids) != 1) & (W.mix(ids.view(np.uint64) ^ np.uint64(0x9E37)) <= np.uint64(bound)))
-            if not len(use):
-                continue
-            part = np.concatenate([raw[off[i] : off[i + 1]] for i in use])
-            t, to = tokens(part, np.concatenate([[0], np.cumsum(np.diff(off)[use])]))
-            c, _ = classes.of(t)
-            rows = np.column_stack([_windows(c, to, classes.n), c]).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i : i + SLICE].tobytes() for i in range(0, len(rows), SLICE)], pa.binary())], names=["rows"])
-
-
 def _summed(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Rows of ``values`` added up by number."""
     size = values.shape[1]
@@ -209,15 +191,12 @@ def _minus_logistic(x: np.ndarray) -> np.ndarray:
     return np.divide(-1, x, out=x)
 
 
-def train(q: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray, classes: Classes, epochs: int, rate: float, held: bool, seed: int = 3) -> dict[str, np.ndarray]:
-    """Parameters after NCE (Adam steps) on the given tokens; ``held`` keeps context vectors and maps."""
+def train(q: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray, classes: Classes, epochs: int, rate: float, seed: int = 3, batch: int = 4096) -> dict[str, np.ndarray]:
+    """Parameters after NCE (Adam steps) on the given tokens."""
     g = np.random.default_rng(seed)
-    names = [k for k in q if not held or k not in ("context", "maps")]
-    q = {k: x.copy() if k in names else x for k, x in q.items()}
-    m, v = ({k: np.zeros_like(q[k]) for k in names} for _ in range(2))
-    batch, draws = (LAST_BATCH, LAST_NOISE) if held else (BATCH, NOISE)
-    log_noise, log_groups = (np.log(n * x).astype(np.float32) for n, x in ((draws, classes.share), (GROUP_NOISE, classes.group_share)))
-    mapped = [q["context"] @ q["maps"][k] for k in range(CONTEXTS)] if held else None
+    q = {k: x.copy() for k, x in q.items()}
+    m, v = ({k: np.zeros_like(x) for k, x in q.items()} for _ in range(2))
+    log_noise, log_groups = (np.log(n * x).astype(np.float32) for n, x in ((NOISE, classes.share), (GROUP_NOISE, classes.group_share)))
     edges, group_edges = np.cumsum(classes.share), np.cumsum(classes.group_share)
     steps, step = epochs * -(-len(target) // batch), 0
     for _ in range(epochs):
@@ -227,16 +206,11 @@ def train(q: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray, cla
             at = order[i : i + batch]
             w, x = target[at], windows[at]
             size = np.float32(len(at))
-            if held:
-                p = mapped[0][x[:, 0]]
-                for k in range(1, CONTEXTS):
-                    p += mapped[k][x[:, k]]
-            else:
-                each = [q["context"][x[:, k]] for k in range(CONTEXTS)]
-                p = sum(e @ q["maps"][k] for k, e in enumerate(each))
+            each = [q["context"][x[:, k]] for k in range(CONTEXTS)]
+            p = sum(e @ q["maps"][k] for k, e in enumerate(each))
             gp, grad = 0, {}
             for name, bias, own, noise, log in (
-                ("word", "bias", w, np.minimum(np.searchsorted(edges, g.random(draws)), classes.n - 1), log_noise),
+                ("word", "bias", w, np.minimum(np.searchsorted(edges, g.random(NOISE)), classes.n - 1), log_noise),
                 ("group", "group_bias", w // classes.width, np.minimum(np.searchsorted(group_edges, g.random(GROUP_NOISE)), classes.groups - 1), log_groups),
             ):
                 real = np.einsum("ij,ij->i", p, q[name][own]) + q[bias][own] - log[own]
@@ -247,36 +221,42 @@ def train(q: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray, cla
                 to = np.concatenate([own, noise])
                 grad[name] = _summed(to, np.concatenate([up[:, None] * p, down.T @ p]) / size, len(q[name]))
                 grad[bias] = np.bincount(to, np.concatenate([up, down.sum(axis=0)]) / size, len(q[bias])).astype(np.float32)
-                if not held:
-                    gp = gp + (up[:, None] * q[name][own] + down @ q[name][noise]) / size
-            if not held:
-                grad["maps"] = np.stack([e.T @ gp for e in each])
-                grad["context"] = _summed(x.T.ravel(), np.concatenate([gp @ q["maps"][k].T for k in range(CONTEXTS)]), classes.n + 1)
+                gp = gp + (up[:, None] * q[name][own] + down @ q[name][noise]) / size
+            grad["maps"] = np.stack([e.T @ gp for e in each])
+            grad["context"] = _summed(x.T.ravel(), np.concatenate([gp @ q["maps"][k].T for k in range(CONTEXTS)]), classes.n + 1)
             now = rate * (1 - step / (steps + 1))
-            for k in names:
+            for k in q:
                 m[k] += np.float32(0.1) * (grad[k] - m[k])
                 v[k] += np.float32(0.001) * (grad[k] * grad[k] - v[k])
                 q[k] += np.float32(now / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
     return q
 
 
-OUTPUTS = ("word", "bias", "group", "group_bias")
+def _bounds(r: int) -> tuple[int, int]:
+    """The hashes of round ``r``'s documents: from, and to before."""
+    shares = [s for s, _, _ in ROUNDS]
+    return tuple((sum(shares[:k]) << 64) // sum(shares) for k in (r, r + 1))
 
 
-def _refined(batches, classes, first):
-    """The class and group parameters after training on each chunk, summed up, weighted by tokens."""
-    total, weight = None, 0
+def _trained(batches, classes, q, r, epochs):
+    """The parameters after a round on each chunk, weighted by tokens and summed up, in integers."""
+    _, rate, batch = ROUNDS[r]
+    lo, hi = (np.uint64(x) for x in (_bounds(r)[0], _bounds(r)[1] - 1))
+    total, weight = 0, 0
     for b in batches:
         for _, _, ids, off, raw in chunks.unpacked(b):
-            t, to = tokens(raw, off)
-            use = np.flatnonzero(np.repeat(_crc(ids) != 1, np.diff(to)))
+            h = W.mix(ids.view(np.uint64) ^ np.uint64(0x9E37))
+            use = np.flatnonzero((_crc(ids) != 1) & (h >= lo) & (h <= hi))
             if not len(use):
                 continue
+            part = np.concatenate([raw[off[i] : off[i + 1]] for i in use])
+            t, to = tokens(part, np.concatenate([[0], np.cumsum(np.diff(off)[use])]))
             c, _ = classes.of(t)
-            got = train(first, _windows(c, to, classes.n)[use], c[use], classes, 1, LAST_RATE, True)
-            flat = np.concatenate([got[k].ravel() for k in OUTPUTS]).astype(np.float64) * len(use)
-            total, weight = flat if total is None else total + flat, weight + len(use)
-    if total is not None:
+            # chunks draw noise of their own, or averages would keep it
+            got = train(q, _windows(c, to, classes.n), c, classes, epochs, rate, zlib.crc32(ids.tobytes()) + r, batch)
+            n = -(-len(c) // WEIGHT)
+            total, weight = total + np.rint(np.concatenate([got[k].ravel() for k in q]).astype(np.float64) * UNIT).astype(np.int64) * n, weight + n
+    if weight:
         cut = np.array_split(total, 64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([x.tobytes() for x in cut], pa.binary()), pa.array([weight] * 64, pa.int64())], names=["cut", "sums", "weight"])
 
@@ -287,12 +267,32 @@ def _added(pdf_batches):
     weight: dict[int, int] = {}
     for pdf in pdf_batches:
         for k, x, n in zip(pdf.cut, pdf.sums, pdf.weight, strict=True):
-            own = np.frombuffer(x)
+            own = np.frombuffer(x, np.int64)
             total[k] = total[k] + own if k in total else own
             weight[k] = weight.get(k, 0) + n
     yield pd.DataFrame({"cut": list(total), "sums": [x.tobytes() for x in total.values()], "weight": list(weight.values())})
 
 
+def fit(packed: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
+    """The parameters after all rounds over the training documents of the chunks."""
+    q = start(classes)
+    each = classes.tokens / max(1, packed.count())  # tokens of a chunk
+    for r, (share, _, batch) in enumerate(ROUNDS):
+        steps = max(1, each * share / sum(s for s, _, _ in ROUNDS) / batch)
+        epochs = max(1, min(-(-TOKENS // classes.tokens), int(np.ceil(STEPS / len(ROUNDS) / steps))))
+
+        def trained(batches, q=q, r=r, epochs=epochs):
+            yield from _trained(batches, classes, q, r, epochs)
+
+        schema = "cut int, sums binary, weight long"
+        sums = packed.mapInArrow(trained, schema).repartition(16, "cut").mapInPandas(_added, schema).toPandas().sort_values("cut")  # 64 rows
+        if len(sums):  # else no document of a small corpus is in this round
+            flat = np.concatenate([np.frombuffer(x, np.int64) / (n * UNIT) for x, n in zip(sums.sums, sums.weight, strict=True)])
+            cuts = np.cumsum([x.size for x in q.values()])[:-1]
+            q = {k: x.reshape(q[k].shape).astype(np.float32) for k, x in zip(q, np.split(flat, cuts), strict=True)}
+    return q
+
+
 def log_probability(q: dict[str, np.ndarray], mapped: list[np.ndarray], windows: np.ndarray, target: np.ndarray, classes: Classes) -> np.ndarray:
     """Normalised log10 probabilities of the targets after their windows, by matrix products."""
     out = np.empty(len(target), np.float64)
@@ -331,7 +331,6 @@ def _picked(score: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _scores(batches, classes, model, parts):
     un = zstandard.ZstdDecompressor()
     if model is not None:
-        model = {k: x.astype(np.float32) for k, x in model.items()}
         mapped = [model["context"] @ model["maps"][k] for k in range(CONTEXTS)]
     n_tokens, n_words = classes.tokens, classes.words
     for b in batches:
@@ -376,26 +375,7 @@ def score(docs: DataFrame) -> DataFrame:
     best = answers.select(F.inline("top")).orderBy(F.desc("n"), "hash").limit(TOP).collect()  # TOP rows
     tails = answers.select(F.inline("tails")).groupBy("tail").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # TAILS rows
     classes = Classes([(r.hash, r.n) for r in best], [(r.tail, r.n, r.v) for r in tails])
-    model = None
-    if classes.tokens:
-        rate = DRAWS / classes.tokens
-
-        def draws(batches):
-            yield from _draws(batches, classes, rate)
-
-        rows = packed.mapInArrow(draws, "rows binary").toPandas().rows  # about DRAWS rows of ten bytes
-        known = np.concatenate([np.frombuffer(x, np.int16) for x in rows]).reshape(-1, CONTEXTS + 1).astype(np.int64) if len(rows) else np.empty((0, CONTEXTS + 1), np.int64)
-        known = known[np.lexsort(known.T)]  # tasks end in any order
-        epochs = max(EPOCHS, -(-STEPS // max(1, -(-len(known) // BATCH))))
-        first = train(start(classes), known[:, :-1], known[:, -1], classes, epochs, RATE, False)
-
-        def refined(batches):
-            yield from _refined(batches, classes, first)
-
-        sums = packed.mapInArrow(refined, "cut int, sums binary, weight long").repartition(16, "cut").mapInPandas(_added, "cut int, sums binary, weight long").toPandas().sort_values("cut")  # 64 rows
-        flat = np.concatenate([np.frombuffer(x) / n for x, n in zip(sums.sums, sums.weight, strict=True)])
-        cuts = np.cumsum([first[k].size for k in OUTPUTS])[:-1]
-        model = {"context": first["context"], "maps": first["maps"], **{k: x.reshape(first[k].shape) for k, x in zip(OUTPUTS, np.split(flat, cuts), strict=True)}}
+    model = fit(packed, classes) if classes.tokens else None
     shared = spark.sparkContext.broadcast((classes, model))  # TOP + TAILS classes
 
     def scores(batches):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -371,6 +372,31 @@ def test_tail_words_share_their_class(spark):
     assert list(to) == [0, 6] and len(set(t.tolist())) == 6 and tail[0] == tail[1] and t[5] == language_model.END
 
 
+def test_every_training_token_trains_all_parameters(spark, monkeypatch):
+    """Each training document is in one round, a round moves every kind of parameter, and neither order nor
+    numbers of chunks change the result."""
+    g = random.Random(9)
+    rows = [(i, " ".join(g.choices(["red", "green", "blue", "grey"], k=30))) for i in range(400)]
+    bounds = [language_model._bounds(r) for r in range(len(language_model.ROUNDS))]
+    assert bounds[0][0] == 0 and bounds[-1][1] == 1 << 64 and all(a[1] == b[0] for a, b in itertools.pairwise(bounds))
+    packed = language_model.chunks.packed(frame(spark, rows).select("doc_id", "text").repartition(1), 1)
+    batches = packed.toArrow().to_batches()
+    classes = language_model.Classes([(7, 5)], [(k, 1000, 40) for k in range(language_model.TAILS)])
+    first = language_model.start(classes)
+    seen = []
+    train = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda q, w, c, *a: (seen.append(len(c)), train(q, w, c, *a))[1])
+    for r in range(len(bounds)):
+        got = list(language_model._trained(batches, classes, first, r, 1))
+        moved = np.concatenate([np.frombuffer(x, np.int64) / (n * language_model.UNIT) for b in got for x, n in zip(b.column("sums").to_pylist(), b.column("weight").to_pylist(), strict=True)])
+        parts = np.split(moved, np.cumsum([x.size for x in first.values()])[:-1])
+        assert all(np.abs(x - first[k].ravel()).max() > 1e-3 for k, x in zip(first, parts, strict=True))
+    assert sum(seen) == 31 * sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(400))
+    monkeypatch.undo()
+    one, two = ({r.doc_id: r.score for r in language_model.score(frame(spark, rows).repartition(3, "doc_id")).collect()} for _ in range(2))
+    assert one == two
+
+
 # --- pipeline
 
 
